@@ -13,18 +13,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.operators.cells import choose_pivots, nearest_cell, visited_cells
 from kinmatch.operators.scoring import Scoring, result_schema, score_block
 
 
-def _part(id_col: str, parts) -> F.Column:
+def partitions_for(spark: SparkSession, rows: int, rows_each: int = 2048) -> int:
+    """Shuffle partitions for work that grows inside the tasks, where sizing by shuffled bytes gives too few:
+    one per `rows_each` rows, from the cores in use up to the session's shuffle partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(max(cores, rows // rows_each), max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _part(id_col: str, parts) -> Column:
     return F.pmod(F.xxhash64(id_col), parts.cast("bigint")).cast("int")
 
 
-def _each_part(parts) -> F.Column:
+def _each_part(parts) -> Column:
     return F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
 
 
@@ -38,14 +45,12 @@ def split_blocks(
 ) -> tuple[DataFrame, DataFrame, list[str], int]:
     """Both sides with their block columns, the full block key, and the number of partitions to use.
     `spread` is the least number of block pairs wanted when all rows share one key."""
-    limit = q.sparkSession.sparkContext.defaultParallelism
-    shuffle = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not keys:
         rows = min(block_rows, max(64, math.isqrt(max(nq * ni // max(spread, 1), 1))))
         pq, pi = math.ceil(max(nq, 1) / rows), math.ceil(max(ni, 1) / rows)
         q = q.withColumn("_pq", _part("query_id", F.lit(pq))).withColumn("_pi", _each_part(F.lit(pi)))
         items = items.withColumn("_pi", _part("item_id", F.lit(pi))).withColumn("_pq", _each_part(F.lit(pq)))
-        return q, items, ["_pq", "_pi"], min(pq * pi, max(shuffle, limit))
+        return q, items, ["_pq", "_pi"], partitions_for(q.sparkSession, pq * pi, 1)
     for n, name, source in ((nq, "_nq", q), (ni, "_ni", items)):
         if n > block_rows:
             table = _split_table(source, keys, block_rows, name)
@@ -55,8 +60,8 @@ def split_blocks(
     nq_parts, ni_parts = (F.coalesce(F.col(n), F.lit(1)) for n in ("_nq", "_ni"))
     q = q.withColumn("_pq", _part("query_id", nq_parts)).withColumn("_pi", _each_part(ni_parts))
     items = items.withColumn("_pi", _part("item_id", ni_parts)).withColumn("_pq", _each_part(nq_parts))
-    wanted = max(limit, 4 * (nq + ni) // block_rows)
-    return q.drop("_nq", "_ni"), items.drop("_nq", "_ni"), [*keys, "_pq", "_pi"], min(wanted, max(shuffle, limit))
+    partitions = partitions_for(q.sparkSession, nq + ni, max(block_rows // 4, 1))
+    return q.drop("_nq", "_ni"), items.drop("_nq", "_ni"), [*keys, "_pq", "_pi"], partitions
 
 
 def add_cells(

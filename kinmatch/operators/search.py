@@ -12,19 +12,20 @@ A query's blank values switch its clauses off, also required ones, so queries ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from kinmatch.operators.blocks import add_cells, block_join, scan_join
+from kinmatch.operators.blocks import add_cells, block_join, partitions_for, scan_join
 from kinmatch.operators.scoring import Scoring
-from kinmatch.operators.term_stats import add_counts, idf
-from kinmatch.operators.value_groups import count_rows, frequent_only, value_group_matches
+from kinmatch.operators.term_stats import add_counts, idf, idf_value, slot_counts
+from kinmatch.operators.value_groups import count_rows, frequent_only, group_patterns, value_group_matches
 from kinmatch.plans.spec import SearchSpec
 from kinmatch.session import scratch_folder
 
@@ -36,9 +37,10 @@ class MatchOptions:
     exclude_self: bool = False
     match_all: bool = True  # queries without any value match everything with score 1
     block_rows: int = 1024  # rows per side of a scored block
-    scan_queries: int = 32  # up to this many queries are scored in one pass over the items
+    scan_queries: int = 16  # up to this many queries are scored in one pass over the items
     rare_rows: int | None = None  # exact values on at most this many items are joined directly
     cell_rows: int = 65536  # wanted items per metric cell; fewer items than twice this use no cells
+    broadcast_bytes: int = 8 << 20  # largest value-count table of a field that is broadcast
     stage_rows: int = 1_000_000  # from this many queries on, prepared queries are written once and reread
 
 
@@ -48,13 +50,15 @@ class MatchResult:
     pairs: DataFrame  # best rows and counts per block, see `score_block`
     queries: DataFrame  # (query_id)
     merged: bool  # whether a pair can occur twice in `pairs`
+    kept: list[DataFrame] = field(default_factory=list)  # small persisted helper tables
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> MatchResult:
         """Keep the scored pairs while both `hits` and `summary` are read."""
         return replace(self, pairs=self.pairs.persist(level))
 
     def unpersist(self) -> None:
-        self.pairs.unpersist()
+        for df in [self.pairs, *self.kept]:
+            df.unpersist()
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -69,25 +73,22 @@ class MatchResult:
     @cached_property
     def hits(self) -> DataFrame:
         """(query_id, item_id, rank, score, matched_queries[, explanation])."""
-        made = [
-            F.struct(
-                F.lit(c.name).alias("name"),
-                F.lit(c.occur).alias("occur"),
-                F.col("bases")[i].alias("base"),
-                F.lit(float(c.weight)).alias("weight"),
-                (F.col("bases")[i] * F.lit(float(c.weight))).alias("score"),
-                (F.col("hits").bitwiseAND(F.lit(1 << i)) != 0).alias("hit"),
-            )
-            for i, c in enumerate(self.spec.clauses)
-        ]
-        hit = F.filter(F.array(*made), lambda s: s["hit"]) if made else F.array()
-        names = F.transform(hit, lambda s: s["name"]) if made else F.array().cast("array<string>")
-        out = self.ranked.select(
-            "query_id", "item_id", "rank", "score", names.alias("matched_queries"), hit.alias("explanation")
+        clauses = self.spec.clauses
+        named = self.ranked.withColumns(
+            {
+                "_hit": F.expr(f"filter(array({', '.join(map(str, range(len(clauses))))}), i -> shiftright(hits, i) & 1L = 1L)"),
+                "_names": F.lit([c.name for c in clauses]).cast("array<string>"),
+                "_occur": F.lit([c.occur for c in clauses]).cast("array<string>"),
+                "_weight": F.lit([float(c.weight) for c in clauses]).cast("array<double>"),
+            }
         )
-        if not self.spec.explain or not made:
-            return out.drop("explanation")
-        return out.withColumn("explanation", F.transform("explanation", lambda s: s.dropFields("hit")))
+        columns = ["query_id", "item_id", "rank", "score", "transform(_hit, i -> _names[i]) AS matched_queries"]
+        if self.spec.explain:
+            columns.append(
+                "transform(_hit, i -> named_struct('name', _names[i], 'occur', _occur[i], 'base', bases[i], "
+                "'weight', _weight[i], 'score', bases[i] * _weight[i])) AS explanation"
+            )
+        return named.selectExpr(*columns)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -112,76 +113,63 @@ def _column(df: DataFrame, name: str, dtype: str) -> Column:
 
 
 def _prepare(df: DataFrame, spec: SearchSpec, id_col: str, name: str, item_side: bool) -> DataFrame:
-    """id, v<slot>, t<slot>; on the query side also the mask of active clauses."""
-    cols, act = [F.col(id_col).alias(name)], F.lit(0).cast("bigint")
+    """id, v<slot>, t<slot>; on the query side also act, the mask of clauses whose value is not blank."""
+    cols, active = [F.col(id_col).alias(name)], ["0L"]
     slots = {"vector": 0, "exact": 0}
     for i, c in enumerate(spec.clauses):
         slot = slots[c.kind]
         slots[c.kind] += 1
         if c.kind == "vector":
             vector = _column(df, c.column, "array<float>")
+            given = F.size(vector) > 0
             if c.field in df.columns:
-                vector = F.when(F.col(f"`{c.field}`").cast("string") != "", vector)
-            vector = F.when(F.size(vector) > 0, vector)
-            cols.append(vector.alias(f"v{slot}"))
-            on = vector.isNotNull()
+                given = given & (F.col(f"`{c.field}`").cast("string") != "")
+            cols.append(F.when(given, vector).alias(f"v{slot}"))
+            active.append(f"CASE WHEN v{slot} IS NOT NULL THEN {1 << i}L ELSE 0L END")
         else:
-            text = F.coalesce(_column(df, c.field, "string"), F.lit(""))
-            cols.append(text.alias(f"t{slot}"))
-            on = text != ""
-        act = act.bitwiseOR(F.when(on, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return df.select(*cols) if item_side else df.select(*cols, act.alias("act"))
-
-
-def _has(mask: str, i: int) -> Column:
-    return F.col(mask).bitwiseAND(F.lit(1 << i)) != 0
+            cols.append(F.coalesce(_column(df, c.field, "string"), F.lit("")).alias(f"t{slot}"))
+            active.append(f"CASE WHEN t{slot} <> '' THEN {1 << i}L ELSE 0L END")
+    out = df.select(*cols)
+    return out if item_side else out.withColumn("act", F.expr(" | ".join(active)))
 
 
-def _mask(bits: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0)).cast("bigint")
-
-
-def _bit(on: Column, i: int) -> Column:
-    return F.when(on, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+def _on(mask: str, i: int) -> str:
+    return f"({mask} & {1 << i}L) <> 0L"
 
 
 def _route(q: DataFrame, spec: SearchSpec, rare: int) -> DataFrame:
-    """Add gens and heavy (see `scoring.py`) from the active clauses and the value counts c<slot>."""
-    vector_must = [i for i, c in enumerate(spec.clauses) if c.kind == "vector" and c.occur == "must"]
-    vector_must.sort(key=lambda i: -spec.clauses[i].min_score)
-    vector_should = [i for i, c in enumerate(spec.clauses) if c.kind == "vector" and c.occur == "should"]
-    exact = [i for i, c in enumerate(spec.clauses) if c.kind == "exact"]
-    exact_must = [i for i in exact if spec.clauses[i].occur == "must"]
-
-    def is_rare(i: int) -> Column:
-        return F.coalesce(F.col(f"c{exact.index(i)}"), F.lit(0)) <= rare if rare else F.lit(False)
-
-    required_vector = F.lit(None).cast("bigint")
-    for i in reversed(vector_must):
-        required_vector = F.when(_has("act", i), F.lit(1 << i).cast("bigint")).otherwise(required_vector)
-    rare_must = F.lit(None).cast("bigint")
-    for i in reversed(exact_must):
-        rare_must = F.when(_has("act", i) & is_rare(i), F.lit(1 << i).cast("bigint")).otherwise(rare_must)
-    one = F.coalesce(required_vector, rare_must)
-    many = _mask([_bit(_has("act", i), i) for i in vector_should] + [_bit(_has("act", i) & is_rare(i), i) for i in exact])
-    heavy = _mask([_bit(_has("act", i) & ~is_rare(i), i) for i in exact])
-    # with a required value the groups must contain it, which `one` being null guarantees
-    q = q.withColumn("gens", F.coalesce(one, many))
-    return q.withColumn("heavy", F.when(one.isNotNull(), F.lit(0).cast("bigint")).otherwise(heavy))
-
-
-def _score_of_hits(q: DataFrame, items: DataFrame, spec: SearchSpec, opt: MatchOptions, total: int, rare: int) -> DataFrame:
-    """Add base (score of a hit per exact clause) and, where needed, the value counts c<slot>."""
-    exact = [c for c in spec.clauses if c.kind == "exact"]
-    bases = []
-    for slot, c in enumerate(exact):
-        if opt.term_scoring == "bm25" or rare:
-            q = add_counts(q, items, f"t{slot}", f"t{slot}", f"c{slot}")
-        if opt.term_scoring == "bm25":
-            bases.append(F.coalesce(idf(F.col(f"c{slot}"), total) * F.lit(opt.term_scale), F.lit(0.0)))
-        else:
-            bases.append(F.lit(float(opt.term_scale)))
-    return q.withColumn("base", F.array(*bases) if bases else F.array().cast("array<double>"))
+    """Add gens and heavy (see `scoring.py`) from the active clauses and the value counts n_t<slot>."""
+    numbered = list(enumerate(spec.clauses))
+    exact = [i for i, c in numbered if c.kind == "exact"]
+    must_vectors = [i for i, c in numbered if c.kind == "vector" and c.occur == "must"]
+    must_vectors.sort(key=lambda i: -spec.clauses[i].min_score)
+    should_vectors = sum(1 << i for i, c in numbered if c.kind == "vector" and c.occur == "should")
+    scarce = {i: f"{_on('act', i)} AND coalesce(n_t{slot}, 0L) <= {rare}" for slot, i in enumerate(exact)}
+
+    # one clause that every match has to hit, if there is one: a required vector, else a required rare value
+    single = [(_on("act", i), i) for i in must_vectors]
+    if rare:
+        single += [(scarce[i], i) for i in exact if spec.clauses[i].occur == "must"]
+    rare_bits = " | ".join([f"CASE WHEN {scarce[i]} THEN {1 << i}L ELSE 0L END" for i in exact if rare] or ["0L"])
+    q = q.withColumn("_rare", F.expr(rare_bits))
+    when = " ".join(f"WHEN {condition} THEN {1 << i}L" for condition, i in single)
+    any_match = f"(act & {should_vectors}L) | _rare"
+    groups = f"act & {sum(1 << i for i in exact)}L & ~_rare"
+    q = q.withColumn("gens", F.expr(f"CASE {when} ELSE {any_match} END" if when else any_match))
+    when = " OR ".join(condition for condition, _ in single)
+    return q.withColumn("heavy", F.expr(f"CASE WHEN {when} THEN 0L ELSE {groups} END" if when else groups)).drop("_rare")
+
+
+def _with_bases(q: DataFrame, spec: SearchSpec, opt: MatchOptions, total: int) -> DataFrame:
+    """Add base, the score of a hit per exact clause, from the value counts n_t<slot>."""
+    slots = range(sum(c.kind == "exact" for c in spec.clauses))
+    scale = F.lit(float(opt.term_scale))
+    if opt.term_scoring == "constant":
+        bases = [scale for _ in slots]
+    else:
+        bases = [idf(F.coalesce(F.col(f"n_t{s}"), F.lit(0)), total) * scale for s in slots]
+    q = q.withColumn("base", F.array(*bases) if bases else F.array().cast("array<double>"))
+    return q.drop(*[f"n_t{s}" for s in slots])
 
 
 def match(
@@ -198,60 +186,90 @@ def match(
     """Find, for each query row, the items that satisfy `spec`, best first.
 
     Both tables hold the spec's exact fields and `<field>Embedding` vectors; ids are unique in each.
-    `index_name` restricts both to one index. Options can also be given as keywords."""
+    `index_name` restricts both to one index. Options can also be given as keywords. Small jobs run at
+    once (counts, and which clauses the queries use); the search itself is lazy."""
     opt = replace(options or MatchOptions(), **changes)
     if opt.term_scoring not in ("bm25", "constant"):
         raise ValueError(f"unknown term_scoring {opt.term_scoring!r}")
     if index_name is not None:
         queries = queries.where(F.col("index_name") == index_name)
         items = items.where(F.col("index_name") == index_name)
-    scoring = Scoring.of(spec, opt.exclude_self)
     exact = [i for i, c in enumerate(spec.clauses) if c.kind == "exact"]
     rare = opt.rare_rows if opt.rare_rows is not None else (0 if len(exact) <= 5 else 4096)
     side = _prepare(items, spec, item_id, "item_id", True)
     q = _prepare(queries, spec, query_id, "query_id", False)
-    ids = q.select("query_id")
-    total, nq = items.count(), queries.count()
-
+    nq = queries.count()
     if nq <= opt.scan_queries:
-        q = _score_of_hits(q, side, spec, opt, total, 0)
-        few = q.withColumn("gens", F.lit(0).cast("bigint")).withColumn("heavy", F.lit(0).cast("bigint")).toArrow()
-        narrowed = _required_values(items, spec, few)
-        pairs = scan_join(few, _prepare(narrowed, spec, item_id, "item_id", True), scoring, ids.schema[0].dataType.simpleString())
-        if opt.match_all:
-            pairs = _with_match_all(pairs, q, side, scoring, total, 0 in few.column("act").to_pylist())
-        return MatchResult(spec, pairs, ids, False)
-
-    q = _route(_score_of_hits(q, side, spec, opt, total, rare), spec, rare)
-    q = q.drop(*[c for c in q.columns if c.startswith("c") and c[1:].isdigit()])
+        return _scan(q, items, spec, item_id, opt)
+
+    total = nq if queries.sameSemantics(items) else items.count()
+    kept: list[DataFrame] = []
+    slots = [f"t{s}" for s in range(len(exact))]
+    plain = q
+    if exact and (rare or opt.term_scoring == "bm25"):
+        counts = slot_counts(side, slots).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(counts)
+        q = add_counts(q, counts, slots, opt.broadcast_bytes)
+    q = _with_bases(_route(q, spec, rare), spec, opt, total)
     if nq >= opt.stage_rows:
         path = scratch_folder(q.sparkSession, "queries")
         q.write.parquet(path)
         q = q.sparkSession.read.parquet(path)
+    # without rare values the routes do not depend on the counts, so the profile can skip them
+    routed = q if rare or nq >= opt.stage_rows else _route(plain, spec, 0)
+    return _batch(q, routed, side, spec, nq, total, rare, kept, opt)
+
 
-    key = next((i for i in exact if spec.clauses[i].occur == "must"), None)
-    keyed = _has("act", key) if key is not None else F.lit(False)
-    asked = [F.count_if(_has("gens", i) & on).alias(f"{i}{tag}") for i in range(len(spec.clauses)) for on, tag in ((keyed, "k"), (~keyed, "u"))]
-    profile = q.agg(
-        F.count_if(F.col("act") == 0).alias("blank"), F.collect_set(F.when(F.col("heavy") != 0, F.col("heavy"))).alias("heavy"), *asked
+def _batch(q, routed, side, spec: SearchSpec, nq: int, total: int, rare: int, kept: list, opt: MatchOptions) -> MatchResult:
+    """Many queries: one part per generating clause in use, and the value groups."""
+    scoring = Scoring.of(spec, opt.exclude_self)
+    key = next((i for i, c in enumerate(spec.clauses) if c.kind == "exact" and c.occur == "must"), None)
+    keyed = _on("act", key) if key is not None else "false"
+    used = [(gen, on, with_key) for gen in range(len(spec.clauses)) for on, with_key in ((keyed, True), (f"NOT ({keyed})", False))]
+    profile = routed.selectExpr(
+        "count_if(act = 0) AS blank",
+        "collect_set(CASE WHEN heavy <> 0 THEN heavy END) AS heavy",
+        *[f"count_if({_on('gens', gen)} AND {on})" for gen, on, _ in used],
     ).first()
 
     parts: list[DataFrame] = []
-    for gen, clause in enumerate(spec.clauses):
-        for on, tag in ((keyed, "k"), (~keyed, "u")):
-            if profile[f"{gen}{tag}"]:
-                part = q.where(_has("gens", gen) & on)
-                parts.append(_pass(part, side, scoring, gen, key if tag == "k" else None, profile[f"{gen}{tag}"], total, opt))
-    masks = profile["heavy"]
-    if masks:
-        grouped = frequent_only(side, scoring, rare) if rare else side
-        parts.append(value_group_matches(q, grouped, scoring, masks))
-    if not parts:
-        parts.append(count_rows(ids.limit(0), F.lit(0), side))
-    pairs = reduce(DataFrame.unionByName, parts)
-    if opt.match_all:
-        pairs = _with_match_all(pairs, q, side, scoring, total, profile["blank"] > 0)
-    return MatchResult(spec, pairs, ids, bool(masks) and len(parts) > 1)
+    for (gen, on, with_key), n in zip(used, profile[2:]):
+        if n:
+            part = q if n == nq else q.where(f"{_on('gens', gen)} AND {on}")
+            parts.append(_pass(part, side, scoring, gen, key if with_key else None, n, total, opt))
+    grouped = group_patterns(scoring, profile["heavy"])
+    if grouped:
+        frequent = frequent_only(side, scoring, rare) if rare else side
+        parts.append(value_group_matches(q, frequent, scoring, grouped, partitions_for(q.sparkSession, nq)))
+    ids = q.select("query_id") if rare else routed.select("query_id")
+    pairs = reduce(DataFrame.unionByName, parts) if parts else count_rows(ids.limit(0), F.lit(0), side)
+    if opt.match_all and profile["blank"]:
+        pairs = _with_match_all(pairs, routed, side, scoring, total)
+    return MatchResult(spec, pairs, ids, bool(grouped) and len(parts) > 1, kept)
+
+
+def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: MatchOptions) -> MatchResult:
+    """A few queries: they are collected, and every item is scored against them in one pass."""
+    scoring = Scoring.of(spec, opt.exclude_self)
+    side = _prepare(items, spec, item_id, "item_id", True)
+    few = q.toArrow()
+    slots = [f"t{s}" for s in range(sum(c.kind == "exact" for c in spec.clauses))]
+    wanted = [(s, v) for s in slots for v in few.column(s).unique().to_pylist() if v]
+    counted = wanted if opt.term_scoring == "bm25" else []
+    found = side.agg(F.count("*"), *[F.count_if(F.col(s) == v) for s, v in counted]).first()
+    total, n = found[0], dict(zip(counted, found[1:]))
+    zeros = pa.array([0] * few.num_rows, pa.int64())
+    bases = [
+        [opt.term_scale * (idf_value(n.get((s, v), 0), total) if opt.term_scoring == "bm25" else 1.0) for s, v in zip(slots, row)]
+        for row in zip(*[few.column(s).to_pylist() for s in slots])
+    ] or [[] for _ in range(few.num_rows)]
+    few = few.append_column("gens", zeros).append_column("heavy", zeros)
+    few = few.append_column("base", pa.array(bases, pa.list_(pa.float64())))
+    narrowed = _prepare(_required_values(items, spec, few), spec, item_id, "item_id", True)
+    pairs = scan_join(few, narrowed, scoring, q.schema["query_id"].dataType.simpleString())
+    if opt.match_all and 0 in few.column("act").to_pylist():
+        pairs = _with_match_all(pairs, q, side, scoring, total)
+    return MatchResult(spec, pairs, q.select("query_id"), False)
 
 
 def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: int, opt: MatchOptions) -> DataFrame:
@@ -286,10 +304,8 @@ def _required_values(items: DataFrame, spec: SearchSpec, few) -> DataFrame:
     return items
 
 
-def _with_match_all(pairs: DataFrame, q: DataFrame, items: DataFrame, scoring: Scoring, total: int, needed: bool) -> DataFrame:
+def _with_match_all(pairs: DataFrame, q: DataFrame, items: DataFrame, scoring: Scoring, total: int) -> DataFrame:
     """Queries without any active clause get the first items by id, with score 1."""
-    if not needed:
-        return pairs
     keep = scoring.keep + (1 if scoring.exclude_self else 0)
     first = items.select("item_id").orderBy("item_id").limit(keep).toArrow().column(0).to_pylist()
     blank = q.where(F.col("act") == 0).select("query_id")

@@ -72,15 +72,10 @@ def frequent_only(items: DataFrame, scoring: Scoring, threshold: int) -> DataFra
     return items
 
 
-def value_group_matches(q: DataFrame, items: DataFrame, scoring: Scoring, heavy_masks: Iterable[int]) -> DataFrame:
-    """Rows as from `score_block`, for the queries with a non-zero `heavy` mask."""
-    patterns = group_patterns(scoring, heavy_masks)
-    cols, key, whole = _key(scoring)
-    keep = scoring.keep + (1 if scoring.exclude_self else 0)
-    must_mask = F.lit(_bits(i for i, c in enumerate(scoring.clauses) if c.occur == "must" and c.kind == "exact"))
-
-    # item side: distinct value combinations first, then one row per usable subset of them
-    items = items.select("item_id", *cols)
+def _groups(items: DataFrame, cols: list[str], key: Column, whole: Column, patterns: Iterable[int], keep: int) -> DataFrame:
+    """(pattern, key, n, ids): count and lowest `keep` ids of every value combination. Items are reduced to
+    their distinct value combinations first, so that only those are spread over the field subsets; both
+    windows are cut to `keep` rows per group before they are shuffled."""
     spread = F.explode(_patterns(patterns)).alias("pattern")
     counts = items.groupBy(*cols).agg(F.count("*").alias("n")).select("*", spread).where(whole)
     counts = counts.groupBy("pattern", key.alias("key")).agg(F.sum("n").alias("n"))
@@ -88,13 +83,27 @@ def value_group_matches(q: DataFrame, items: DataFrame, scoring: Scoring, heavy_
     ids = items.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep).drop("_r")
     ids = ids.select("*", spread).where(whole).select("pattern", key.alias("key"), "item_id")
     first = W.partitionBy("pattern", "key").orderBy("item_id")
-    ids = ids.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep).drop("_r")
+    ids = ids.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
+    ids = ids.groupBy("pattern", "key").agg(F.collect_list("item_id").alias("ids"))
+    return counts.join(ids, ["pattern", "key"])
+
+
+def value_group_matches(
+    q: DataFrame, items: DataFrame, scoring: Scoring, patterns: dict[int, int], partitions: int
+) -> DataFrame:
+    """Rows as from `score_block`, for the queries with a non-zero `heavy` mask; see `group_patterns`.
+    A query's total stands on the row of its best item here."""
+    cols, key, whole = _key(scoring)
+    keep = scoring.keep + (1 if scoring.exclude_self else 0)
+    must_mask = F.lit(_bits(i for i, c in enumerate(scoring.clauses) if c.occur == "must" and c.kind == "exact"))
+    exact = [i for i, c in enumerate(scoring.clauses) if c.kind == "exact"]
+    items = items.select("item_id", *cols)
+    groups = _groups(items, cols, key, whole, patterns, keep)
 
-    # query side: one row per distinct combination of frequent values
+    # one row per distinct combination of frequent query values, then one per usable field subset
     def masked(i: int, value: Column, blank) -> Column:
         return F.when(F.col("heavy").bitwiseAND(F.lit(1 << i)) != 0, value).otherwise(F.lit(blank))
 
-    exact = [i for i, c in enumerate(scoring.clauses) if c.kind == "exact"]
     combos = q.where(F.col("heavy") != 0).select(
         "query_id",
         "heavy",
@@ -106,40 +115,42 @@ def value_group_matches(q: DataFrame, items: DataFrame, scoring: Scoring, heavy_
         lambda p: (p.bitwiseAND(F.col("heavy")) == p)
         & (p.bitwiseAND(must_mask) == F.col("heavy").bitwiseAND(must_mask)),
     )
-    distinct = combos.groupBy("heavy", *cols).agg(F.first("base").alias("base"))
-    asked = distinct.withColumn("pattern", F.explode(usable)).withColumn("key", key)
+    combo = ["heavy", *cols]
+    asked = combos.groupBy(*combo).agg(F.first("base").alias("base"))
+    asked = asked.withColumn("pattern", F.explode(usable)).withColumn("key", key)
 
     zero = F.lit(0.0)
     bases = [zero] * len(scoring.clauses)
     for slot, i in enumerate(exact):
         bases[i] = F.when(F.col("pattern").bitwiseAND(F.lit(1 << i)) != 0, F.col("base")[slot]).otherwise(zero)
     score = reduce(lambda a, b: a + b, [b * F.lit(float(c.weight)) for b, c in zip(bases, scoring.clauses)])
-    found = asked.join(ids, ["pattern", "key"]).select(
-        "heavy",
-        *cols,
-        "item_id",
-        F.struct(F.round(score, DIGITS).alias("score"), F.col("pattern").alias("hits"), F.array(*bases).alias("bases")).alias(
-            "best"
-        ),
+    sign = F.try_element_at(F.create_map(*[F.lit(v) for pair in patterns.items() for v in pair]), F.col("pattern").cast("int"))
+    found = asked.join(groups, ["pattern", "key"]).select(
+        *combo, "pattern", "n", "ids", sign.alias("sign"), F.round(score, DIGITS).alias("score"), F.array(*bases).alias("bases")
     )
-    found = found.groupBy("heavy", *cols, "item_id").agg(F.max("best").alias("best"))
-    order = W.partitionBy("heavy", *cols).orderBy(F.col("best.score").desc(), "item_id")
+
+    # a subset with `keep` items makes every lower-scored subset superfluous
+    per_combo = W.partitionBy(*combo)
+    found = found.repartition(partitions, *combo)
+    found = found.withColumn("enough", F.max(F.when(F.col("n") >= keep, F.col("score"))).over(per_combo))
+    found = found.withColumn("total", F.sum(F.col("sign") * F.col("n")).over(per_combo))
+    found = found.where(F.col("enough").isNull() | (F.col("score") >= F.col("enough")))
+    best = F.max(F.struct("score", F.col("pattern").alias("hits"), "bases")).alias("best")
+    found = found.withColumn("item_id", F.explode("ids")).groupBy(*combo, "item_id").agg(best, F.first("total").alias("total"))
+    order = per_combo.orderBy(F.col("best.score").desc(), "item_id")
     found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
-    sign = F.lit(0)
-    for pattern, s in patterns.items():
-        if s:
-            sign = F.when(F.col("pattern") == pattern, F.lit(s)).otherwise(sign)
-    totals = asked.join(counts, ["pattern", "key"]).groupBy("heavy", *cols).agg(F.sum(sign * F.col("n")).alias("n"))
 
     # back to the single queries
-    lookup = combos.drop("base")
-    hits = lookup.join(found, ["heavy", *cols]).select(
-        "query_id", "item_id", "best.score", "best.hits", "best.bases", F.lit(None).cast("bigint").alias("n")
+    rows = combos.drop("base").join(found, combo)
+    own = F.col("query_id") == F.col("item_id") if scoring.exclude_self else F.lit(False)
+    out = rows.select(
+        "query_id",
+        F.when(~own, F.col("item_id")).alias("item_id"),
+        F.when(~own, F.col("best.score")).alias("score"),
+        F.col("best.hits").alias("hits"),
+        F.col("best.bases").alias("bases"),
+        F.when(F.col("_r") == 1, F.col("total")).cast("bigint").alias("n"),
     )
-    if scoring.exclude_self:
-        hits = hits.where(F.col("query_id") != F.col("item_id"))
-    total_rows = count_rows(lookup.join(totals, ["heavy", *cols]), F.col("n"), items)
-    out = hits.unionByName(total_rows)
     return out.unionByName(_self_rows(q, items, scoring)) if scoring.exclude_self else out
 
 
