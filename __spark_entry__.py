@@ -6,12 +6,14 @@ import os
 import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle as sql  # noqa: E402
+import workbook_sample  # noqa: E402
 from kinmatch import Clause, SearchSpec, match  # noqa: E402
 from kinmatch.functions import cells, display, embed, text  # noqa: E402
 from kinmatch.operators.grouping import group_items  # noqa: E402
@@ -24,7 +26,9 @@ from kinmatch.sources import files  # noqa: E402
 from kinmatch.sources import ingest as ing  # noqa: E402
 from kinmatch.sources.tables import Tables, queue_page  # noqa: E402
 from kinmatch.streaming.landing import ingest_stream, landing_csv  # noqa: E402
-from workbook_sample import make_workbook  # noqa: E402
+
+cloudpickle.register_pickle_by_value(workbook_sample)
+make_workbook = workbook_sample.make_workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -298,13 +302,12 @@ def _stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_size("textEmbedding").cast("bigint").alias("dim"), F.round(total, 5).alias("total"))
 
 
-def _text_lengths(texts: list[str]) -> list[list[float]]:
-    return [[float(len(t)), float(len(t.split(" ")))] for t in texts]
-
-
 def _function_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    def lengths(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(len(t.split(" ")))] for t in texts]
+
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    docs = embed.function_embedder(_text_lengths)(docs, "text", "v")
+    docs = embed.function_embedder(lengths)(docs, "text", "v")
     return docs.select("doc_id", F.col("v")[0].cast("double").alias("chars"), F.col("v")[1].cast("double").alias("words"))
 
 

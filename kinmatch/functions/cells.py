@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.functions.text import dedupe_names, strip
+from kinmatch.functions.text import dedupe_names
 
+# Blanks around a number; unlike in names the ASCII separators are not among them.
+_NUMBER_SPACE = r"(?U)^\s+|\s+\z"
 # Python refuses to read integers of more digits than this.
 _MAX_INT_DIGITS = 4300
 
 
 def _int_text(c: Column) -> Column:
-    s = strip(c)
+    s = F.regexp_replace(c, _NUMBER_SPACE, "")
     digits = F.regexp_replace(s, "[+_-]", "")
     magnitude = F.regexp_replace(digits, "^0+(?=.)", "")
     signed = F.when(F.startswith(s, F.lit("-")) & (magnitude != "0"), F.concat(F.lit("-"), magnitude)).otherwise(
