@@ -22,6 +22,7 @@ from kinmatch.plans.spec import Clause, SearchSpec
 
 DIGITS = 6  # scores are rounded before they are ranked
 _SIM_DIGITS = 12  # similarities are rounded before the inclusive threshold test
+_TILE = 1024  # rows per side that are scored at once
 
 
 @dataclass(frozen=True)
@@ -54,21 +55,28 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out, valid
 
 
-def _similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """1 / (1 + squared distance) of the row pairs (r, c)."""
+def _grid_similarity(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 / (1 + squared distance) of all rows of q with all rows of x."""
+    if q.shape[1] != x.shape[1] and len(q) and len(x):
+        raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
+    d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
+    return np.round(1.0 / (1.0 + np.maximum(d2, 0.0)), _SIM_DIGITS)
+
+
+def _pair_similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The same for the row pairs (r, c) only."""
     if not r.size:
         return np.zeros(0)
+    if r.size * 8 > len(q) * len(x):
+        return _grid_similarity(q, x)[r, c]
     if q.shape[1] != x.shape[1]:
         raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
-    if r.size * 8 > len(q) * len(x):
-        d2 = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T))[r, c]
-    else:
-        d2 = np.empty(r.size)
-        for start in range(0, r.size, 65536):
-            part = slice(start, start + 65536)
-            diff = q[r[part]] - x[c[part]]
-            d2[part] = np.einsum("ij,ij->i", diff, diff)
-    return np.round(1.0 / (1.0 + np.maximum(d2, 0.0)), _SIM_DIGITS)
+    d2 = np.empty(r.size)
+    for start in range(0, r.size, 65536):
+        part = slice(start, start + 65536)
+        diff = q[r[part]] - x[c[part]]
+        d2[part] = np.einsum("ij,ij->i", diff, diff)
+    return np.round(1.0 / (1.0 + d2), _SIM_DIGITS)
 
 
 def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,68 +86,81 @@ def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, n
     return codes[: len(left)], codes[len(left) :]
 
 
-def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None) -> pa.Table:
-    """Rows (query_id, item_id, score, hits, bases, n): the kept pairs (bases: unweighted score per clause),
-    then per query one row with a null item and the number of pairs it adds to the query's total. With `gen` only pairs which that clause
-    hits, and no earlier generator of the query, are taken; without it every pair is."""
-    if not (q.num_rows and items.num_rows):
-        none = np.zeros(0, np.int64)
-        return _result(q, items, none, none, np.zeros(0), none, np.zeros((0, 1)), none)
-    items = items.sort_by("item_id")
-    act, gens, heavy = (q.column(n).to_numpy() for n in ("act", "gens", "heavy"))
+def _best(r: np.ndarray, c: np.ndarray, score: np.ndarray, keep: int | None) -> np.ndarray:
+    """Positions of the `keep` best pairs per row, best first; items are in id order, so c breaks ties."""
+    order = np.lexsort((c, -score, r))
+    if keep is None or not order.size:
+        return order
+    first = np.searchsorted(r[order], r[order], side="left")
+    return order[np.arange(order.size) - first < keep]
+
+
+@dataclass
+class _Tile:
+    """A part of the block pair: its clause values on both sides."""
+
+    act: np.ndarray
+    gens: np.ndarray
+    heavy: np.ndarray
+    base: np.ndarray | None
+    own: tuple[np.ndarray, np.ndarray] | None
+    vectors: dict[int, tuple]  # clause -> (query matrix, has vector, item matrix, has vector)
+    codes: dict[int, tuple]  # clause -> (query codes, item codes)
+
+    def part(self, a: slice, b: slice) -> _Tile:
+        return _Tile(
+            self.act[a],
+            self.gens[a],
+            self.heavy[a],
+            None if self.base is None else self.base[a],
+            None if self.own is None else (self.own[0][a], self.own[1][b]),
+            {i: (qv[a], qo[a], xv[b], xo[b]) for i, (qv, qo, xv, xo) in self.vectors.items()},
+            {i: (left[a], right[b]) for i, (left, right) in self.codes.items()},
+        )
+
+    def pairs(self, gen: int | None, scoring: Scoring, items: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs to look at: those that the generating clause hits, or all."""
+        if gen is None:
+            r, c = np.divmod(np.arange(len(self.act) * items), items)
+        elif gen in self.vectors:
+            qv, q_ok, xv, x_ok = self.vectors[gen]
+            qi, xi = np.nonzero(q_ok & ((self.act >> gen) & 1 == 1))[0], np.nonzero(x_ok)[0]
+            r, c = np.nonzero(_grid_similarity(qv[qi], xv[xi]) >= scoring.clauses[gen].min_score)
+            r, c = qi[r], xi[c]
+        else:
+            left, right = self.codes[gen]
+            r, c = np.nonzero((left[:, None] == right[None, :]) & ((self.act >> gen) & 1 == 1)[:, None])
+        if self.own is not None:
+            other = self.own[0][r] != self.own[1][c]
+            r, c = r[other], c[other]
+        return r, c
+
+
+def _score_tile(t: _Tile, scoring: Scoring, gen: int | None, items: int):
+    """Kept pairs (r, c, score, hits, bases) of a tile and the number of counted pairs per query row."""
     clauses = scoring.clauses
-    vectors = {
-        i: (_matrix(q.column(f"v{scoring.slot(i)}")), _matrix(items.column(f"v{scoring.slot(i)}")))
-        for i, c in enumerate(clauses)
-        if c.kind == "vector"
-    }
-    codes = {
-        i: _codes(q.column(f"t{scoring.slot(i)}"), items.column(f"t{scoring.slot(i)}"))
-        for i, c in enumerate(clauses)
-        if c.kind == "exact"
-    }
-    on = [(act >> i) & 1 == 1 for i in range(len(clauses))]
-
-    # pairs to look at
-    if gen is None:
-        r, c = np.divmod(np.arange(q.num_rows * items.num_rows), max(items.num_rows, 1))
-    elif gen in vectors:
-        (qv, q_ok), (xv, x_ok) = vectors[gen]
-        qi, xi = np.nonzero(q_ok & on[gen])[0], np.nonzero(x_ok)[0]
-        r, c = np.divmod(np.arange(qi.size * xi.size), max(xi.size, 1))
-        near = _similarity(qv[qi], xv[xi], r, c) >= clauses[gen].min_score
-        r, c = qi[r[near]], xi[c[near]]
-    else:
-        r, c = np.nonzero((codes[gen][0][:, None] == codes[gen][1][None, :]) & on[gen][:, None])
-    if scoring.exclude_self:
-        left, right = _codes(q.column("query_id"), items.column("item_id"))
-        other = left[r] != right[c]
-        r, c = r[other], c[other]
-
-    # clause hits and scores
+    r, c = t.pairs(gen, scoring, items)
     n = r.size
     score, bases = np.zeros(n), np.zeros((n, len(clauses)))
     hits, required, must_on = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool)
     optional, group_required, group_optional = np.zeros(n, np.int32), np.ones(n, bool), np.zeros(n, np.int32)
     group_any, taken_before = np.zeros(n, bool), np.zeros(n, bool)
-    base = np.stack(q.column("base").to_numpy()) if codes else None
     for i, clause in enumerate(clauses):
-        active = on[i][r]
-        if i in vectors:
-            (qv, q_ok), (xv, x_ok) = vectors[i]
+        active = (t.act[r] >> i) & 1 == 1
+        if i in t.vectors:
+            qv, q_ok, xv, x_ok = t.vectors[i]
             use = np.nonzero(active & q_ok[r] & x_ok[c])[0]
-            sim = np.zeros(n)
-            sim[use] = _similarity(qv, xv, r[use], c[use])
-            hit = np.zeros(n, bool)
-            hit[use] = sim[use] >= clause.min_score
+            sim = np.full(n, -1.0)
+            sim[use] = _pair_similarity(qv, xv, r[use], c[use])
+            hit = (sim >= clause.min_score) & (sim >= 0)
             bases[:, i] = np.where(hit, sim, 0.0)
         else:
-            left, right = codes[i]
+            left, right = t.codes[i]
             hit = active & (left[r] == right[c])
-            bases[:, i] = np.where(hit, base[r, scoring.slot(i)], 0.0)
+            bases[:, i] = np.where(hit, t.base[r, scoring.slot(i)], 0.0)
         score += bases[:, i] * clause.weight
         hits |= hit.astype(np.int64) << i
-        in_group = hit & ((heavy[r] >> i) & 1 == 1)
+        in_group = hit & ((t.heavy[r] >> i) & 1 == 1)
         group_any |= in_group
         if clause.occur == "must":
             required &= hit | ~active
@@ -149,22 +170,57 @@ def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None)
             optional += hit
             group_optional += in_group
         if gen is not None and i < gen:
-            taken_before |= hit & ((gens[r] >> i) & 1 == 1)
+            taken_before |= hit & ((t.gens[r] >> i) & 1 == 1)
     matched = required & (optional >= scoring.min_should) & (must_on | (hits != 0)) & ~taken_before
     counted = matched & ~(group_any & group_required & (group_optional >= scoring.min_should))
-
-    # best rows per query; c follows the item id, so it breaks ties
     score = np.round(score, DIGITS)
     pick = np.nonzero(matched)[0]
-    pick = pick[np.lexsort((c[pick], -score[pick], r[pick]))]
-    if scoring.keep is not None and pick.size:
-        first = np.searchsorted(r[pick], r[pick], side="left")
-        pick = pick[np.arange(pick.size) - first < scoring.keep]
-    counts = np.bincount(r[counted], minlength=q.num_rows)
-    return _result(q, items, r[pick], c[pick], score[pick], hits[pick], bases[pick], counts)
+    pick = pick[_best(r[pick], c[pick], score[pick], scoring.keep)]
+    counts = np.bincount(r[counted], minlength=len(t.act))
+    return (r[pick], c[pick], score[pick], hits[pick], bases[pick]), counts
 
 
-def _result(q, items, r, c, score, hits, bases, counts) -> pa.Table:
+def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None) -> pa.Table:
+    """Rows (query_id, item_id, score, hits, bases, n): the kept pairs (bases: unweighted score per clause),
+    then per query one row with a null item and the number of pairs it adds to the query's total. With
+    `gen` only pairs which that clause hits, and no earlier generator of the query, are taken; without it
+    every pair is. Blocks are scored in tiles, which bounds the memory of a task."""
+    counts = np.zeros(q.num_rows, np.int64)
+    none = np.zeros(0, np.int64)
+    if not (q.num_rows and items.num_rows):
+        return _result(q, items, (none, none, np.zeros(0), none, np.zeros((0, 1))), counts)
+    items = items.sort_by("item_id")
+    vectors, codes = {}, {}
+    for i, clause in enumerate(scoring.clauses):
+        if clause.kind == "vector":
+            name = f"v{scoring.slot(i)}"
+            vectors[i] = (*_matrix(q.column(name)), *_matrix(items.column(name)))
+        else:
+            name = f"t{scoring.slot(i)}"
+            codes[i] = _codes(q.column(name), items.column(name))
+    whole = _Tile(
+        *(q.column(n).to_numpy() for n in ("act", "gens", "heavy")),
+        np.stack(q.column("base").to_numpy()) if codes else None,
+        _codes(q.column("query_id"), items.column("item_id")) if scoring.exclude_self else None,
+        vectors,
+        codes,
+    )
+    found = []
+    for a in range(0, q.num_rows, _TILE):
+        for b in range(0, items.num_rows, _TILE):
+            tile = whole.part(slice(a, a + _TILE), slice(b, b + _TILE))
+            (r, c, *rest), n = _score_tile(tile, scoring, gen, min(_TILE, items.num_rows - b))
+            counts[a : a + _TILE] += n
+            found.append((r + a, c + b, *rest))
+    picked = tuple(np.concatenate(parts) for parts in zip(*found))
+    if items.num_rows > _TILE:
+        pick = _best(*picked[:3], scoring.keep)
+        picked = tuple(p[pick] for p in picked)
+    return _result(q, items, picked, counts)
+
+
+def _result(q: pa.Table, items: pa.Table, picked: tuple, counts: np.ndarray) -> pa.Table:
+    r, c, score, hits, bases = picked
     who = np.nonzero(counts)[0]
     ids, item_ids = q.column("query_id"), items.column("item_id")
 

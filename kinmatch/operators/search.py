@@ -36,7 +36,7 @@ class MatchOptions:
     term_scale: float = 1.0
     exclude_self: bool = False
     match_all: bool = True  # queries without any value match everything with score 1
-    block_rows: int = 1024  # rows per side of a scored block
+    block_rows: int = 8192  # rows per side of a block pair; larger blocks repeat rows less often
     scan_queries: int = 16  # up to this many queries are scored in one pass over the items
     rare_rows: int | None = None  # exact values on at most this many items are joined directly
     cell_rows: int = 65536  # wanted items per metric cell; fewer items than twice this use no cells
