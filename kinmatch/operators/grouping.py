@@ -9,17 +9,15 @@ Every round is written to the shared scratch folder, which cuts the lineage and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinmatch.session import scratch_folder
 
 
 def _downward(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with a > b, without loops and repeats."""
-    return (
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    )
+    """Edges (a, b) with a > b, without loops."""
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -54,11 +52,10 @@ def group_items(
     folder = scratch_folder(spark, "groups")
 
     def stored(df: DataFrame, n: int) -> tuple[DataFrame, tuple]:
-        path = f"{folder}/round-{n}"
-        df.write.parquet(path)
-        df = spark.read.parquet(path)
+        path, seen = f"{folder}/round-{n}", Observation()
         digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        return df, tuple(df.agg(F.count("*"), digest).first())
+        df.distinct().observe(seen, F.count("*").alias("n"), digest.alias("digest")).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["digest"])
 
     start = matches.select(F.col(left).alias("a"), F.col(right).alias("b"))
     edges, state = stored(_downward(start), 0)

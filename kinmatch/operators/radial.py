@@ -40,7 +40,8 @@ def radial_join(
         q, side = add_cells(q, side, "v0", min_score, ni // opt.cell_rows)
         keys = ["_cell"]
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
-    pairs = block_join(q, side, keys, scoring, 0, nq=nq, ni=ni, block_rows=opt.block_rows, spread=spread)
+    rows = min(opt.block_rows, 2048)  # every near pair of a block is held at once
+    pairs = block_join(q, side, keys, scoring, 0, nq=nq, ni=ni, block_rows=rows, spread=spread)
     return pairs.where(F.col("item_id").isNotNull()).select("query_id", "item_id", "score")
 
 

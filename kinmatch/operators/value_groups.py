@@ -55,7 +55,7 @@ def _key(scoring: Scoring) -> tuple[list[str], Column, Column]:
 
 
 def _patterns(values: Iterable[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in sorted(values)])
+    return F.expr(f"array({', '.join(f'{v}L' for v in sorted(values))})")
 
 
 def frequent_only(items: DataFrame, scoring: Scoring, threshold: int) -> DataFrame:
@@ -124,7 +124,8 @@ def value_group_matches(
     for slot, i in enumerate(exact):
         bases[i] = F.when(F.col("pattern").bitwiseAND(F.lit(1 << i)) != 0, F.col("base")[slot]).otherwise(zero)
     score = reduce(lambda a, b: a + b, [b * F.lit(float(c.weight)) for b, c in zip(bases, scoring.clauses)])
-    sign = F.try_element_at(F.create_map(*[F.lit(v) for pair in patterns.items() for v in pair]), F.col("pattern").cast("int"))
+    signs = ", ".join(f"{p}L, {s}" for p, s in patterns.items())
+    sign = F.try_element_at(F.expr(f"map({signs})"), F.col("pattern"))
     found = asked.join(groups, ["pattern", "key"]).select(
         *combo, "pattern", "n", "ids", sign.alias("sign"), F.round(score, DIGITS).alias("score"), F.array(*bases).alias("bases")
     )

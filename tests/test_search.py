@@ -66,8 +66,8 @@ SPECS = {
 }
 ROUTES = {
     "groups": dict(scan_queries=0, rare_rows=0, block_rows=16, cell_rows=10**9),
-    "rare": dict(scan_queries=0, rare_rows=12, block_rows=8, cell_rows=10),
-    "direct": dict(scan_queries=0, rare_rows=10**6, block_rows=64, cell_rows=40),
+    "rare": dict(scan_queries=0, rare_rows=12, block_rows=8, cell_rows=10, broadcast_bytes=0),
+    "direct": dict(scan_queries=0, rare_rows=10**6, block_rows=64, cell_rows=40, stage_rows=1),
     "scan": dict(scan_queries=100),
 }
 
