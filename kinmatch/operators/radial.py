@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +32,46 @@ def radial_join(
 ) -> DataFrame:
     """(query_id, item_id, score) of every pair with similarity >= `min_score`. Exact."""
     opt = options or MatchOptions()
-    scoring = Scoring((Clause("v", "vector", "must", 1.0, min_score),), 0, None, opt.exclude_self)
-    one = F.lit(1).cast("bigint")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v0")).where("v0 is not null")
-    q = q.select("*", one.alias("act"), one.alias("gens"), F.lit(0).cast("bigint").alias("heavy"))
-    side = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v0")).where("v0 is not null")
+    scoring, q, side = _vector_sides(queries, items, vector, min_score, query_id, item_id, opt)
     nq, ni, keys = queries.count(), items.count(), []
     if min_score > 0 and ni // opt.cell_rows >= 2:
         q, side = add_cells(q, side, "v0", min_score, ni // opt.cell_rows)
         keys = ["_cell"]
+    return _near_pairs(q, side, keys, scoring, nq, ni, opt)
+
+
+def _vector_sides(queries, items, vector: str, min_score: float, query_id: str, item_id: str, opt: MatchOptions):
+    """The scoring rule and both sides in the scorer's layout, with the vector as the one required clause."""
+    scoring = Scoring((Clause("v", "vector", "must", 1.0, min_score),), 0, None, opt.exclude_self)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v0")).where("v0 is not null")
+    q = q.selectExpr("*", "1L AS act", "1L AS gens", "0L AS heavy")
+    return scoring, q, items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v0")).where("v0 is not null")
+
+
+def _near_pairs(q, side, keys: list[str], scoring: Scoring, nq: int, ni: int, opt: MatchOptions) -> DataFrame:
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
     rows = min(opt.block_rows, 2048)  # every near pair of a block is held at once
     pairs = block_join(q, side, keys, scoring, 0, nq=nq, ni=ni, block_rows=rows, spread=spread)
     return pairs.where(F.col("item_id").isNotNull()).select("query_id", "item_id", "score")
 
 
+def _projection_buckets(vector: Column, tables: int, bucket_length: float, seed: int) -> Column:
+    """array<bigint>: per hash table the bucket of the vector's projection on a random unit direction."""
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            if not len(s):
+                yield pd.Series([], dtype=object)
+                continue
+            x = np.stack(s.to_numpy()).astype(np.float64)
+            directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables))
+            directions /= np.sqrt((directions * directions).sum(0))
+            yield pd.Series(list(np.floor(x @ directions / bucket_length).astype(np.int64)))
+
+    return buckets(vector)
+
+
 def lsh_radial_join(
     queries: DataFrame,
     items: DataFrame,
@@ -55,17 +82,14 @@ def lsh_radial_join(
     tables: int = 8,
     bucket_length: float = 1.0,
     seed: int = 42,
+    options: MatchOptions | None = None,
 ) -> DataFrame:
-    """Approximate radial join by random projections: every pair given is right, some may be missing."""
-    reach = (1.0 / min_score - 1.0) ** 0.5
-
-    def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        return df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias(name), array_to_vector(vector).alias("v"))
-
-    left, right = side(queries, query_id, "query_id"), side(items, item_id, "item_id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    near = lsh.fit(right).approxSimilarityJoin(left, right, reach * (1 + 1e-9) + 1e-12, "d")
-    score = F.round(1 / (1 + F.col("d") * F.col("d")), 6)
-    return near.select(F.col("datasetA.query_id"), F.col("datasetB.item_id"), score.alias("score"))
+    """Approximate radial join by random projections (p-stable hashing, Datar et al. 2004): only rows that
+    share a bucket in some table are compared. Every pair given is right, some may be missing. Buckets of
+    any size are split into blocks like other keys, and only near pairs leave a block."""
+    opt = options or MatchOptions()
+    scoring, q, side = _vector_sides(queries, items, vector, min_score, query_id, item_id, opt)
+    hashed = F.posexplode(_projection_buckets(F.col("v0"), tables, bucket_length, seed)).alias("_table", "_bucket")
+    nq, ni = queries.count() * tables, items.count() * tables
+    pairs = _near_pairs(q.select("*", hashed), side.select("*", hashed), ["_table", "_bucket"], scoring, nq, ni, opt)
+    return pairs.distinct()

@@ -27,9 +27,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kinmatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext
