@@ -17,6 +17,7 @@ import workbook_sample  # noqa: E402
 from kinmatch import Clause, SearchSpec, match  # noqa: E402
 from kinmatch.functions import cells, display, embed, text  # noqa: E402
 from kinmatch.operators.grouping import group_items  # noqa: E402
+from kinmatch.operators.related import embed_queries, related_items  # noqa: E402
 from kinmatch.operators.radial import lsh_radial_join, radial_join  # noqa: E402
 from kinmatch.operators.term_stats import term_stats  # noqa: E402
 from kinmatch.plans.spec_table import spec_fields  # noqa: E402
@@ -89,6 +90,8 @@ PARTS = SearchSpec((Clause("brand", "exact"), Clause("type", "exact", "should",
 PARTS_TWO = SearchSpec((Clause("brand", "exact"), Clause("type", "exact"), Clause("size", "exact"), Clause("name", "exact")), 10, True, 2)
 NAMES = SearchSpec((Clause("name", "vector", "must", 2.0, 0.6), Clause("brand", "exact", "must"), Clause("size", "exact")), 10)
 
+ACTORS = SearchSpec((Clause("actors", "vector", "must", 2.0, 0.7), Clause("brand", "exact", "must"), Clause("type", "exact")), 10)
+
 
 def _search(items: Query, spec: SearchSpec, shape: Callable[..., DataFrame], **options) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,6 +143,21 @@ def _hashed_parts(spark: SparkSession, sf: str) -> DataFrame:
     return embed.hashed_embedder()(_parts(spark, sf), "name", "nameEmbedding")
 
 
+def _adhoc(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with name lists; the queries repeat names and have no vectors yet."""
+    parts, embedder = _parts(spark, sf), embed.hashed_embedder()
+    names = F.regexp_replace("name", " ", ", ")
+    items = embedder(parts.withColumn("actors", names), "actors", "actorsEmbedding")
+    raw = parts.withColumn("actors", F.concat(names, F.lit(" ,, "), F.split("name", " ")[0]))
+    return _hits(match(embed_queries(raw, ACTORS, embedder), items, ACTORS))
+
+
+def _by_index(spark: SparkSession, sf: str) -> DataFrame:
+    items = _docs(spark, sf).withColumn("index_name", F.concat(F.lit("item001-"), F.col("lang")))
+    catalog = cat.create_index(cat.empty_catalog(spark), ROLES, "en", index_name="item001-en").catalog
+    return _hits(related_items(cat.save_spec(catalog, "item001-en", HYBRID), items, items, "item001-en"))
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings")
     return radial_join(vectors, vectors, "embedding", 0.45, "vec_id", "vec_id")
@@ -165,6 +183,8 @@ SEARCHES: dict[str, Query] = {
     "batch_map_names": _search(_hashed_parts, NAMES, _hits),
     "single_item_search": _single,
     "hits_with_source": _with_source,
+    "adhoc_search": _adhoc,
+    "search_by_index": _by_index,
 }
 
 PART_NAMES = (
@@ -193,6 +213,14 @@ SEARCH_SQL = {
     "batch_map_parts_summary": sql.brute_sql(sql.PARTS, PARTS, sql.SUMMARY),
     "batch_map_parts_two": sql.brute_sql(sql.PARTS, PARTS_TWO, sql.HITS),
     "batch_map_names": sql.brute_sql(PART_NAMES, NAMES, sql.HITS),
+    "adhoc_search": sql.brute_sql(
+        PART_NAMES.replace("p_name AS name", "replace(p_name, ' ', ', ') AS name").replace(
+            "AS nameEmbedding", "AS actorsEmbedding"
+        ),
+        ACTORS,
+        sql.HITS,
+    ),
+    "search_by_index": sql.brute_sql(f"SELECT * FROM ({sql.DOCS}) WHERE lang = 'en'", HYBRID, sql.HITS),
     "single_item_search": sql.brute_sql(
         sql.DOCS, HYBRID, sql.HITS, queries="SELECT * FROM items ORDER BY item_id LIMIT 1"
     ),
