@@ -55,20 +55,38 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out, valid
 
 
-def _grid_similarity(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """1 / (1 + squared distance) of all rows of q with all rows of x."""
+def _grid_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distance of all rows of q from all rows of x."""
     if q.shape[1] != x.shape[1] and len(q) and len(x):
         raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
-    d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
+    d2 = q @ x.T
+    d2 *= -2.0
+    d2 += (q * q).sum(1)[:, None]
+    d2 += (x * x).sum(1)[None, :]
+    return d2
+
+
+def _similarity(d2: np.ndarray) -> np.ndarray:
     return np.round(1.0 / (1.0 + np.maximum(d2, 0.0)), _SIM_DIGITS)
 
 
+def _near(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs with similarity >= `least`, and that similarity. Distances sort out most pairs, the rest are
+    tested exactly."""
+    d2 = _grid_distance(q, x)
+    loose = least - 1e-11
+    r, c = np.nonzero(d2 <= 1.0 / loose - 1.0) if loose > 0 else np.nonzero(~np.isnan(d2))
+    sim = _similarity(d2[r, c])
+    near = sim >= least
+    return r[near], c[near], sim[near]
+
+
 def _pair_similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The same for the row pairs (r, c) only."""
+    """Similarity of the row pairs (r, c)."""
     if not r.size:
         return np.zeros(0)
     if r.size * 8 > len(q) * len(x):
-        return _grid_similarity(q, x)[r, c]
+        return _similarity(_grid_distance(q, x)[r, c])
     if q.shape[1] != x.shape[1]:
         raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
     d2 = np.empty(r.size)
@@ -76,7 +94,7 @@ def _pair_similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray)
         part = slice(start, start + 65536)
         diff = q[r[part]] - x[c[part]]
         d2[part] = np.einsum("ij,ij->i", diff, diff)
-    return np.round(1.0 / (1.0 + d2), _SIM_DIGITS)
+    return _similarity(d2)
 
 
 def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +105,20 @@ def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, n
 
 
 def _best(r: np.ndarray, c: np.ndarray, score: np.ndarray, keep: int | None) -> np.ndarray:
-    """Positions of the `keep` best pairs per row, best first; items are in id order, so c breaks ties."""
-    order = np.lexsort((c, -score, r))
-    if keep is None or not order.size:
-        return order
+    """Positions of the `keep` best pairs per row, best first; items are in id order, so c breaks ties.
+    The pairs come in row order."""
+    if keep is None or not r.size:
+        return np.lexsort((c, -score, r))
+    candidates = np.arange(r.size)
+    if r.size > 8 * keep * len(np.unique(r)):
+        # many pairs per row: drop those below the row's keep-th best score before sorting
+        rows, row = np.unique(r, return_inverse=True)
+        place = np.arange(r.size) - np.searchsorted(r, r, side="left")
+        grid = np.full((rows.size, max(int(place.max()) + 1, keep)), -np.inf)
+        grid[row, place] = score
+        least = np.partition(grid, -keep, axis=1)[:, -keep]
+        candidates = np.nonzero(score >= least[row])[0]
+    order = candidates[np.lexsort((c[candidates], -score[candidates], r[candidates]))]
     first = np.searchsorted(r[order], r[order], side="left")
     return order[np.arange(order.size) - first < keep]
 
@@ -118,28 +146,30 @@ class _Tile:
             {i: (left[a], right[b]) for i, (left, right) in self.codes.items()},
         )
 
-    def pairs(self, gen: int | None, scoring: Scoring, items: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs to look at: those that the generating clause hits, or all."""
+    def pairs(self, gen: int | None, scoring: Scoring, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The pairs to look at: those that the generating clause hits, or all; and for a vector clause
+        their similarity."""
+        sim = None
         if gen is None:
             r, c = np.divmod(np.arange(len(self.act) * items), items)
         elif gen in self.vectors:
             qv, q_ok, xv, x_ok = self.vectors[gen]
             qi, xi = np.nonzero(q_ok & ((self.act >> gen) & 1 == 1))[0], np.nonzero(x_ok)[0]
-            r, c = np.nonzero(_grid_similarity(qv[qi], xv[xi]) >= scoring.clauses[gen].min_score)
+            r, c, sim = _near(qv[qi], xv[xi], scoring.clauses[gen].min_score)
             r, c = qi[r], xi[c]
         else:
             left, right = self.codes[gen]
             r, c = np.nonzero((left[:, None] == right[None, :]) & ((self.act >> gen) & 1 == 1)[:, None])
         if self.own is not None:
             other = self.own[0][r] != self.own[1][c]
-            r, c = r[other], c[other]
-        return r, c
+            r, c, sim = r[other], c[other], None if sim is None else sim[other]
+        return r, c, sim
 
 
 def _score_tile(t: _Tile, scoring: Scoring, gen: int | None, items: int):
     """Kept pairs (r, c, score, hits, bases) of a tile and the number of counted pairs per query row."""
     clauses = scoring.clauses
-    r, c = t.pairs(gen, scoring, items)
+    r, c, near = t.pairs(gen, scoring, items)
     n = r.size
     score, bases = np.zeros(n), np.zeros((n, len(clauses)))
     hits, required, must_on = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool)
@@ -147,7 +177,10 @@ def _score_tile(t: _Tile, scoring: Scoring, gen: int | None, items: int):
     group_any, taken_before = np.zeros(n, bool), np.zeros(n, bool)
     for i, clause in enumerate(clauses):
         active = (t.act[r] >> i) & 1 == 1
-        if i in t.vectors:
+        if i == gen and near is not None:
+            hit = np.ones(n, bool)
+            bases[:, i] = near
+        elif i in t.vectors:
             qv, q_ok, xv, x_ok = t.vectors[i]
             use = np.nonzero(active & q_ok[r] & x_ok[c])[0]
             sim = np.full(n, -1.0)
@@ -214,6 +247,8 @@ def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None)
             found.append((r + a, c + b, *rest))
     picked = tuple(np.concatenate(parts) for parts in zip(*found))
     if items.num_rows > _TILE:
+        by_row = np.argsort(picked[0], kind="stable")
+        picked = tuple(p[by_row] for p in picked)
         pick = _best(*picked[:3], scoring.keep)
         picked = tuple(p[pick] for p in picked)
     return _result(q, items, picked, counts)

@@ -58,3 +58,13 @@ def test_mixed_dimensions_fail():
     rows = pa.chunked_array([pa.array([[1.0, 2.0], [1.0]], pa.list_(pa.float32()))])
     with pytest.raises(ValueError, match="dimension"):
         sc._matrix(rows)
+
+
+def test_best_of_many():
+    """The early cut of rows with many pairs keeps the same pairs, with many equal scores."""
+    rnd = np.random.default_rng(9)
+    r = np.sort(rnd.integers(0, 6, 3000))
+    c = np.arange(3000)
+    score = rnd.integers(0, 5, 3000).astype(float)
+    want = [i for k in range(6) for i in sorted(np.nonzero(r == k)[0], key=lambda i: (-score[i], c[i]))[:7]]
+    assert sc._best(r, c, score, 7).tolist() == want
