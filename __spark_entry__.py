@@ -655,9 +655,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return SEARCHES["hybrid_topk"](spark, "/root/testdata/sf0.001")
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries of the corpus operators and their SQL; none if that part is not installed."""
+    try:
+        import corpus_pipeline
+        from kinmatch.llm import queries as corpus
+    except ModuleNotFoundError as x:
+        if x.name not in ("corpus_pipeline", "kinmatch.llm", "kinmatch.llm.queries"):
+            raise
+        return {}, {}
+    found = {**corpus.QUERIES, "pipeline": corpus_pipeline.run}
+    return found, corpus.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
 def queries() -> dict[str, Query]:
-    return {**SEARCHES, **OTHER_JOINS, **FUNCTIONS, **SOURCES}
+    return {**SEARCHES, **OTHER_JOINS, **FUNCTIONS, **SOURCES, **_corpus()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SEARCH_SQL, **OTHER_JOINS_SQL, **FUNCTIONS_SQL, **SOURCES_SQL}
+    return {**SEARCH_SQL, **OTHER_JOINS_SQL, **FUNCTIONS_SQL, **SOURCES_SQL, **_corpus()[1]}
