@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.llm.near_duplicates import near_duplicates
 from kinmatch.llm.quality import COUNTS, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +17,17 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf))
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality(_documents(spark, sf).select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
 }
 
