@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinmatch.llm.flat import LOWER, U, flat_text, mix, slices, span_hashes, words
-from kinmatch.operators.grouping import group_items
 from kinmatch.session import scratch_folder
 
 SHINGLE = 5
@@ -261,6 +260,7 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
     slim = classes.select("cls", "tokens")
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        sizes, _ = store.put(sizes)  # stored, so that the join below shuffles both sides and a hot node can be split
         shared, many = store.put(rows.join(sizes, "node"))
         leaves.append(shared.where(F.col("n") <= LEAF).select("node", "cls"))
         large = shared.where(F.col("n") > LEAF).select("node", "cls")
@@ -291,6 +291,36 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
     return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), ring
 
 
+def _components(store: _Store, links: DataFrame) -> DataFrame:
+    """(cls, group): the smallest class of each component, by rounds of large-star and small-star contraction.
+
+    The grouped minima are stored before they are joined, so that both sides are shuffled and a hub with very many
+    links is split by adaptive execution. Ends when a round changes nothing.
+    """
+
+    def down(edges: DataFrame) -> DataFrame:
+        return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+    def lowest(edges: DataFrame) -> DataFrame:
+        return store.put(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")))[0]
+
+    def stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        edges, n = store.put(edges)
+        return edges, (n, edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
+
+    edges, state = stored(down(links))
+    before = None
+    while state != before:
+        low = lowest(edges)
+        large, _ = store.put(down(edges.join(low, edges.b == low.node, "left").select("a", F.coalesce("low", "b").alias("b"))))
+        low = lowest(large)
+        small = large.join(low, large.a == low.node).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        before = state
+        edges, state = stored(down(small.unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))))
+    heads = edges.select(F.col("b").alias("cls"), F.col("b").alias("group")).distinct()
+    return edges.select(F.col("a").alias("cls"), F.col("b").alias("group")).unionByName(heads)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = (texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm, "a string, b string")
@@ -298,7 +328,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
-    one, two = (groups.select(F.col("item_id").alias(s), F.col("group_id").alias(f"group_{s}")) for s in "ab")
+    one, two = (groups.select(F.col("cls").alias(s), F.col("group").alias(f"group_{s}")) for s in "ab")
     joined = pairs.join(one, "a", "left").join(two, "b", "left")
     return joined.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select(*pairs.columns)
 
@@ -313,8 +343,8 @@ def _texts(store: _Store, plain: DataFrame, classes: DataFrame, pairs: DataFrame
 
 def _ring_pairs(met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidates between the ring of a large node and the classes that left it, where components differ."""
-    named = met.join(groups.withColumnRenamed("item_id", "cls"), "cls", "left")
-    named = named.select("node", "cls", "leaves", "ring", F.coalesce("group_id", "cls").alias("group"))
+    named = met.join(groups, "cls", "left")
+    named = named.select("node", "cls", "leaves", "ring", F.coalesce("group", "cls").alias("group"))
     ring = named.where("ring").select("node", F.col("cls").alias("a"), F.col("group").alias("group_a"))
     gone = named.where("leaves").select("node", F.col("cls").alias("b"), F.col("group").alias("group_b"))
     pairs = ring.join(gone, "node").where("group_a != group_b").select("a", "b").distinct()
@@ -341,19 +371,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ends = pairs.select("*", F.col("a").alias("end")).unionByName(pairs.select("*", F.col("b").alias("end")))
         best, _ = store.put(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
         links, _ = store.put(_linked(best, texts))
-        groups = group_items(links, "a", "b")
+        groups = _components(store, links)
         others = _between(pairs.join(best, ["a", "b"], "left_anti"), groups)
         more, n_more = store.put(_linked(others, texts))
         if n_more:
             links = links.unionByName(more)
-            groups = group_items(links, "a", "b")
+            groups = _components(store, links)
         ring, n_ring = store.put(_ring_pairs(met, groups, classes))
         if n_ring:
-            groups = group_items(links.unionByName(_linked(ring, _texts(store, plain, classes, ring))), "a", "b")
-        named = classes.select("cls", "rep").join(groups.withColumnRenamed("item_id", "cls"), "cls")
-        least = named.groupBy("group_id").agg(F.min("rep").alias("least"))
-        names = names.join(named.join(least, "group_id").select("cls", "least"), "cls", "left")
+            groups = _components(store, links.unionByName(_linked(ring, _texts(store, plain, classes, ring))))
+        named = classes.select("cls", "rep").join(groups, "cls")
+        least = named.groupBy("group").agg(F.min("rep").alias("least"))
+        names = names.join(named.join(least, "group").select("cls", "least"), "cls", "left")
         names = names.select("cls", F.coalesce("least", "component_id").alias("component_id"))
+    names, _ = store.put(names)  # as above: a class may hold a third of all rows
     out = signed.select("doc_id", "n_shingles", "cls").join(names, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
