@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.llm.line_windows import line_windows
 from kinmatch.llm.near_duplicates import near_duplicates
+from kinmatch.llm.personal_data import BASE_KINDS, personal_data
 from kinmatch.llm.quality import COUNTS, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +28,53 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def _written(spans) -> F.Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data(_documents(spark, sf).select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+
+
+def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
+    cut = line_windows(_documents(spark, sf).select("doc_id", "text"), keep=["doc_id"])
+    return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
+    "op3_personal_data": op3_personal_data,
+    "op5_line_windows": op5_line_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines of a text, windows of three lines that hold a word, those seen earlier, the lines they cover.
+_OP5_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
+w AS (
+    SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS w
+    FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+r AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth
+    FROM w WHERE w IS NOT NULL AND regexp_matches(w, '[^ \\x09-\\x0D]')
+),
+c AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) v(k) WHERE nth > 1),
+m AS (
+    SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS gone,
+        c.pos IS NOT NULL AND lag(c.pos) OVER (PARTITION BY l.doc_id ORDER BY l.pos) IS NULL AS opens
+    FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_windows": _OP5_SQL,
+}
