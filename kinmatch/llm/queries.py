@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm.line_windows import line_windows
 from kinmatch.llm.near_duplicates import near_duplicates
+from kinmatch.llm.packing import pack
 from kinmatch.llm.personal_data import BASE_KINDS, personal_data
 from kinmatch.llm.quality import COUNTS, quality
+from kinmatch.llm.token_files import read_token_files, write_token_files
+from kinmatch.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,11 +49,23 @@ def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder, path = scratch_folder(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json")
+    write_token_files(_documents(spark, sf), folder, path, end_id=1)
+    return read_token_files(spark, folder, path, ids=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op5_line_windows": op5_line_windows,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_files": op9_token_files,
 }
 
 #: Lines of a text, windows of three lines that hold a word, those seen earlier, the lines they cover.
