@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.llm.bpe import decode_ids, encode_texts
 from kinmatch.llm.line_windows import line_windows
 from kinmatch.llm.near_duplicates import near_duplicates
 from kinmatch.llm.packing import pack
@@ -49,6 +50,13 @@ def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode_ids(encode_texts(_documents(spark, sf).select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op5_line_windows": op5_line_windows,
+    "op6_bpe": op6_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
 }

@@ -37,7 +37,7 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.whole = tokenizer(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks, JOINED at a time: the tokens of a chunk are those whose offsets lie in it."""
@@ -53,6 +53,9 @@ class ChunkEncoder:
             made.update((c, ids[x:y].tobytes()) for c, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
         return made
 
+    def _whole(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
         known = self.known
@@ -66,7 +69,7 @@ class ChunkEncoder:
         out = []
         for t, w, chunks in zip(texts, whole, pieces, strict=True):
             if w:
-                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self._whole(t), np.uint32))
             else:
                 out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32))
         for c in fresh if full else long:
