@@ -8,13 +8,15 @@ sets is at least 0.75. Documents of equal sets form a class, and only one text p
    path and token. Similar classes choose the same tokens, and the two chosen at a node make a pair at the threshold
    follow each other with a chance of 0.94, at any depth with 0.89 or more; TREES independent trees miss it with a
    chance of 2e-5.
-3. A node of at most LEAF classes is a leaf: all pairs in it are compared by their minwise tokens. A larger node picks
-   PIVOTS classes, compares all others with them, and branches on without the classes that nearly equal a pivot: these
-   would stay together for ever. So no node's classes are ever compared in square number, and a hot group costs a few
-   rows per member. What lies near a pivot without being linked to it (the ring) is remembered, since it may be linked
-   to a class that left: unless it ends in the same component, it is compared with those that left that node.
-4. Candidates (estimate at least CANDIDATE) are confirmed on whole sets, taken from whole texts: first the best
-   candidate of each class, then those between different components. Components follow from confirmed links only.
+3. A node of at most LEAF classes is a leaf and is compared exhaustively, by minwise tokens. A larger node picks PIVOTS
+   classes, compares all others with them, and branches on without the classes that nearly equal a pivot: these would
+   stay together for ever. What lies near a pivot without such nearness (the ring) is remembered, since it may be linked
+   to a class that left.
+4. Candidates (estimate at least CANDIDATE) are confirmed on whole sets, taken from whole texts, in two turns. First every
+   leaf gives a spanning forest of its candidates, best first, and pivots give theirs: a handful for each class, however
+   large its group. Components follow from confirmed links. Then leaves, and rings with the classes that left their
+   node, are compared again, in blocks, for candidates between different components, and all of these are confirmed.
+   So no link that joins two components is lost, and pairs inside a component are never listed.
 
 Every level, candidate set and confirmed link table is written to the shared scratch folder. Nothing is collected.
 
@@ -37,15 +39,17 @@ from kinmatch.session import scratch_folder
 
 SHINGLE = 5
 NUM, DEN = 75, 100  # linked: DEN * intersection >= NUM * union
-HASHES = 128
+HASHES = 256
+BRANCHING = 128  # of these may be chosen as branches; estimates use one byte of all
 TREES = 5
 CHOSEN = 2
-LEAF = 32
+LEAF = 256
 PIVOTS = 3
-#: Estimates from HASHES tokens have a standard deviation of 0.04 at 0.75: candidates are taken from three below.
-CANDIDATE = 0.62
+#: Estimates from HASHES tokens have a standard deviation of 0.027 at 0.75: candidates are taken from three below.
+CANDIDATE = 0.67
 #: A class leaves a large node if it looks like a pivot by so much; RING: 1 - 2 * (1 - 0.75) less the error of estimates.
 LEAVE, RING = 0.78, 0.38
+BLOCK = 256
 
 _SHINGLE_FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=U)) | U(1)
 _A, _B = mix(np.arange(1000, 1000 + HASHES, dtype=U)) | U(1), mix(np.arange(5000, 5000 + HASHES, dtype=U))
@@ -94,7 +98,7 @@ def children(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     out, rows, taken = [], np.arange(len(nodes)), None
     for r in range(CHOSEN):
         pick = mix(nodes + U(0x9E3779B97F4A7C15 * (r + 1) % 2**64))
-        at = (pick % U(HASHES)).astype(np.int64) if r == 0 else (taken + 1 + (pick % U(HASHES - 1)).astype(np.int64)) % HASHES
+        at = (pick % U(BRANCHING)).astype(np.int64) if r == 0 else (taken + 1 + (pick % U(BRANCHING - 1)).astype(np.int64)) % BRANCHING
         taken = at if r == 0 else taken
         out.append(mix(mix(nodes ^ (at.astype(U) << U(40))) + tokens[rows, at].astype(U)))
     return np.stack(out, axis=1)
@@ -141,7 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(s))
             keys.append(class_key(s) if len(s) else None)
             t = signature(s) if len(s) else None
-            tokens.append(t.tobytes() if len(s) else None)
+            tokens.append(t[:BRANCHING].tobytes() if len(s) else None)
             low.append((t & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
         made = [pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "cls", "tokens", "token_bytes"])
@@ -161,48 +165,82 @@ def _branch_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), _lists(nodes, nodes.shape[1])], ["cls", "nodes"])
 
 
-def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by node; the last node of a batch, at most LEAF rows, waits for the next batch."""
+def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, n: int) -> list[int]:
+    """Positions of the pairs that make a spanning forest of n members, best estimates first."""
+    root, kept = list(range(n)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in np.argsort(-est, kind="stable").tolist():
+        x, y = top(int(i[k])), top(int(j[k]))
+        if x != y:
+            root[y] = x
+            kept.append(k)
+            if len(kept) == n - 1:
+                break
+    return kept
+
+
+def _compare_cells(forest: bool):
+    """Compares the members of each cell; rows come sorted by cell, and a cell has a bounded number of rows.
+
+    With `forest`, a spanning forest of the candidates, else all candidates whose groups differ. side: 0 meets all, 1 meets
+    only 2. The last cell of a batch waits for the next batch.
+    """
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
-        node = part.column("node").to_numpy()
+        cell = part.column("cell").to_numpy()
         names = part.column("cls").to_pylist()
         tokens = _matrix(part.column("token_bytes").combine_chunks())
-        cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]]).tolist()
+        side = part.column("side").to_numpy()
+        group = np.zeros(len(cell), np.int64) if forest else part.column("group").to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]).tolist()
         left, right, share = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
+            if b - a < 2 or not (forest or (group[a:b] != group[a]).any()):
                 continue
-            m = tokens[a:b]
             i, j = np.triu_indices(b - a, 1)
-            est = _estimates(m[i], m[j])
-            for k in np.flatnonzero(est >= CANDIDATE).tolist():
+            s, g = side[a:b], group[a:b]
+            if not forest:
+                meet = (g[i] != g[j]) & ((s[i] == 0) | (s[i] != s[j]))
+                i, j = i[meet], j[meet]
+            m = tokens[a:b]
+            est = np.concatenate([_estimates(m[i[k : k + 4096]], m[j[k : k + 4096]]) for k in range(0, len(i), 4096)]) if len(i) else np.empty(0)
+            near = est >= CANDIDATE
+            i, j, est = i[near], j[near], est[near]
+            for k in _forest(i, j, est, b - a) if forest else range(len(i)):
                 x, y = names[a + int(i[k])], names[a + int(j[k])]
                 left.append(min(x, y))
                 right.append(max(x, y))
                 share.append(float(est[k]))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(share, pa.float64())], ["a", "b", "est"])
 
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        node = part.column("node").to_numpy()
-        cut = int(np.searchsorted(node, node[-1], "left"))
-        if cut:
-            yield pairs(part.slice(0, cut))
-        rest = part.slice(cut)
-    if rest is not None:
-        yield pairs(rest)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            cell = part.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1], "left"))
+            if cut:
+                yield pairs(part.slice(0, cut))
+            rest = part.slice(cut)
+        if rest is not None:
+            yield pairs(rest)
+
+    return compare
 
 
 def _meet_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens = _matrix(batch.column("tokens")).view(np.uint32)
-        low = (tokens & np.uint32(255)).astype(np.uint8)
+        tokens, low = _matrix(batch.column("tokens")).view(np.uint32), _matrix(batch.column("token_bytes"))
         est = np.stack([_estimates(low, _matrix(batch.column(f"tokens_{k}"))) for k in range(PIVOTS)], axis=1)
         best = est.max(axis=1)
         nodes = children(batch.column("node").to_numpy().view(U), tokens)
@@ -227,14 +265,6 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(linked)), part.column("b").filter(pa.array(linked))], ["a", "b"])
 
 
-def _near_ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            est = _estimates(_matrix(batch.column("bytes_a")), _matrix(batch.column("bytes_b")))
-            near = pa.array(est >= CANDIDATE)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-
-
 # ---- operator -----------------------------------------------------------------------------------------
 
 
@@ -252,12 +282,19 @@ class _Store:
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
-def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, est) that share a leaf or a pivot, and the rows that met pivots in large nodes."""
+def _cells(rows: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Candidates (a, b, est) of the cells of rows (cell, cls, side and, without `forest`, group)."""
+    rows = rows.join(classes.select("cls", "token_bytes"), "cls")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "cls")
+    return rows.mapInArrow(_compare_cells(forest), "a string, b string, est double")
+
+
+def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, est): forests of leaves and links to pivots. The leaves (node, cls). What met pivots in large nodes."""
     spark = store.spark
     rows = classes.mapInArrow(_branch_roots, "cls string, nodes array<bigint>").select("cls", F.explode("nodes").alias("node"))
     leaves, found, met = [], [], []
-    slim = classes.select("cls", "tokens")
+    slim = classes.select("cls", "tokens", "token_bytes")
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes, _ = store.put(sizes)  # stored, so that the join below shuffles both sides and a hot node can be split
@@ -281,14 +318,35 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
-    leaf = leaf.join(classes.select("cls", "token_bytes"), "cls").repartition("node").sortWithinPartitions("node")
-    pairs = leaf.mapInArrow(_compare_leaves, "a string, b string, est double")
+    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side")), classes, True)
     for more in found:
         pairs = pairs.unionByName(more)
     ring = spark.createDataFrame([], "node bigint, cls string, leaves boolean, ring boolean")
     for more in met:
         ring = ring.unionByName(more)
-    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), ring
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), leaf, ring
+
+
+def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates between different components: in leaves, and between the ring of a large node and what left it."""
+    group = F.xxhash64(F.coalesce("group", "cls")).alias("group")
+    named = leaf.join(groups, "cls", "left").select("node", "cls", group)
+    # Leaves that lie in one component have nothing to compare.
+    mixed = named.groupBy("node").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("node")
+    mixed, _ = store.put(mixed)
+    rows = named.join(mixed, "node").select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side"), "group")
+    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", F.when(F.col("leaves"), 1).otherwise(2).alias("side"), group)
+    size = [F.sum(F.when(F.col("side") == k, 1).otherwise(0)).alias(f"n_{k}") for k in (1, 2)]
+    sizes = named.groupBy("node").agg(*size, F.min("group").alias("g"), F.max("group").alias("h")).where("g != h AND n_1 > 0 AND n_2 > 0")
+    sizes, n_sizes = store.put(sizes.select("node", *[F.ceil(F.col(f"n_{k}") / BLOCK).cast("int").alias(f"b_{k}") for k in (1, 2)]))
+    if n_sizes:
+        # Each class in one block of its side, and that block in a cell with every block of the other side.
+        named = named.join(sizes, "node")
+        own, other = F.when(F.col("side") == 1, F.col("b_1")).otherwise(F.col("b_2")), F.when(F.col("side") == 1, F.col("b_2")).otherwise(F.col("b_1"))
+        named = named.select("node", "cls", "side", "group", F.pmod(F.xxhash64("cls"), own).alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
+        blocks = [F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))]
+        rows = rows.unionByName(named.select(F.xxhash64("node", *blocks).alias("cell"), "cls", "side", "group"))
+    return _cells(rows, classes, False).select("a", "b").distinct()
 
 
 def _components(store: _Store, links: DataFrame) -> DataFrame:
@@ -341,18 +399,6 @@ def _texts(store: _Store, plain: DataFrame, classes: DataFrame, pairs: DataFrame
     return store.put(texts.dropDuplicates(["cls"]))[0]
 
 
-def _ring_pairs(met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates between the ring of a large node and the classes that left it, where components differ."""
-    named = met.join(groups, "cls", "left")
-    named = named.select("node", "cls", "leaves", "ring", F.coalesce("group", "cls").alias("group"))
-    ring = named.where("ring").select("node", F.col("cls").alias("a"), F.col("group").alias("group_a"))
-    gone = named.where("leaves").select("node", F.col("cls").alias("b"), F.col("group").alias("group_b"))
-    pairs = ring.join(gone, "node").where("group_a != group_b").select("a", "b").distinct()
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("token_bytes").alias(f"bytes_{side}")), side)
-    return pairs.mapInArrow(_near_ring, "a string, b string")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id)."""
     store = _Store(docs.sparkSession)
@@ -363,7 +409,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same = [F.first(c).alias(c) for c in ("tokens", "token_bytes")]
     classes, _ = store.put(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *same))
 
-    pairs, met = _candidates(store, classes)
+    pairs, leaf, met = _candidates(store, classes)
     pairs, n_pairs = store.put(pairs)
     names = classes.select("cls", F.col("rep").alias("component_id"))
     if n_pairs:
@@ -377,9 +423,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if n_more:
             links = links.unionByName(more)
             groups = _components(store, links)
-        ring, n_ring = store.put(_ring_pairs(met, groups, classes))
-        if n_ring:
-            groups = _components(store, links.unionByName(_linked(ring, _texts(store, plain, classes, ring))))
+        rest, n_rest = store.put(_other_candidates(store, leaf, met, groups, classes).join(pairs, ["a", "b"], "left_anti"))
+        if n_rest:
+            more, n_more = store.put(_linked(rest, _texts(store, plain, classes, rest)))
+            groups = _components(store, links.unionByName(more)) if n_more else groups
         named = classes.select("cls", "rep").join(groups, "cls")
         least = named.groupBy("group").agg(F.min("rep").alias("least"))
         names = names.join(named.join(least, "group").select("cls", "least"), "cls", "left")
