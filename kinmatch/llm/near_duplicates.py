@@ -274,11 +274,12 @@ class _Store:
     def __init__(self, spark) -> None:
         self.spark, self.folder, self.number = spark, scratch_folder(spark, "near-duplicates"), 0
 
-    def put(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """The stored table and its number of rows."""
+    def put(self, df: DataFrame, *digest: str) -> tuple[DataFrame, int]:
+        """The stored table and its number of rows, or a digest of the columns asked for."""
         self.number += 1
         path, seen = f"{self.folder}/{self.number}", Observation()
-        df.observe(seen, F.count("*").alias("n")).write.parquet(path)
+        value = F.sum(F.xxhash64(*digest).cast("decimal(38,0)")) if digest else F.count("*")
+        df.observe(seen, value.alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
@@ -362,23 +363,31 @@ def _components(store: _Store, links: DataFrame) -> DataFrame:
     def lowest(edges: DataFrame) -> DataFrame:
         return store.put(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")))[0]
 
-    def stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-        edges, n = store.put(edges)
-        return edges, (n, edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
-
-    edges, state = stored(down(links))
-    before = None
+    edges, state = store.put(down(links), "a", "b")
+    before = -1
     while state != before:
         low = lowest(edges)
         large, _ = store.put(down(edges.join(low, edges.b == low.node, "left").select("a", F.coalesce("low", "b").alias("b"))))
         low = lowest(large)
         small = large.join(low, large.a == low.node).select(F.col("b").alias("a"), F.col("low").alias("b"))
         before = state
-        edges, state = stored(down(small.unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))))
+        edges, state = store.put(down(small.unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))), "a", "b")
     heads = edges.select(F.col("b").alias("cls"), F.col("b").alias("group")).distinct()
     return edges.select(F.col("a").alias("cls"), F.col("b").alias("group")).unionByName(heads)
 
 
+def _joined(store: _Store, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: the known ones are single nodes now, so that the rounds work on few edges."""
+    one, two = (groups.select(F.col("cls").alias(s), F.col("group").alias(f"group_{s}")) for s in "ab")
+    edges = links.join(one, "a", "left").join(two, "b", "left")
+    edges = edges.select(F.coalesce("group_a", "a").alias("a"), F.coalesce("group_b", "b").alias("b"))
+    higher, _ = store.put(_components(store, edges))
+    kept = groups.join(higher.select(F.col("cls").alias("group"), F.col("group").alias("new")), "group", "left")
+    kept = kept.select("cls", F.coalesce("new", "group").alias("group"))
+    new = higher.join(groups.select("cls"), "cls", "left_anti")
+    return store.put(kept.unionByName(new.select("cls", "group")))[0]
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = (texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm, "a string, b string")
@@ -417,16 +426,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ends = pairs.select("*", F.col("a").alias("end")).unionByName(pairs.select("*", F.col("b").alias("end")))
         best, _ = store.put(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
         links, _ = store.put(_linked(best, texts))
-        groups = _components(store, links)
+        groups, _ = store.put(_components(store, links))
         others = _between(pairs.join(best, ["a", "b"], "left_anti"), groups)
         more, n_more = store.put(_linked(others, texts))
         if n_more:
-            links = links.unionByName(more)
-            groups = _components(store, links)
+            groups = _joined(store, groups, more)
         rest, n_rest = store.put(_other_candidates(store, leaf, met, groups, classes).join(pairs, ["a", "b"], "left_anti"))
         if n_rest:
             more, n_more = store.put(_linked(rest, _texts(store, plain, classes, rest)))
-            groups = _components(store, links.unionByName(more)) if n_more else groups
+            groups = _joined(store, groups, more) if n_more else groups
         named = classes.select("cls", "rep").join(groups, "cls")
         least = named.groupBy("group").agg(F.min("rep").alias("least"))
         names = names.join(named.join(least, "group").select("cls", "least"), "cls", "left")
