@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -22,11 +23,17 @@ def tokenizer(path: str) -> Tokenizer:
     return cache[key]
 
 
+#: A full stop or comma beside another mark: the two are one word of the pattern.
+GLUED = re.compile(r"[.,](?=[^\w\s]|_)|[.,](?<=[^\w\s][.,])|[.,](?<=_[.,])")
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizer that never joins what white space parts, remembering the ids of such chunks.
 
-    Holds for tokenizers that drop white space and normalise without crossing it. Texts that hold a special token's
-    string, which may span white space, are encoded whole. At most LIMIT chunks of at most LONGEST characters are
+    Holds for tokenizers that compose characters, lower-case, drop white space, and take runs of letters and runs of marks
+    as words. To meet fewer chunks, texts in Latin-1 are lower-cased first, and full stops and commas that stand between
+    letters, digits and white space are set apart. Texts that hold a special token's string, in any case, are encoded
+    whole. At most LIMIT chunks of at most LONGEST characters are
     remembered; that bounds memory and never changes a result.
     """
 
@@ -37,38 +44,56 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.whole = tokenizer(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, JOINED at a time: the tokens of a chunk are those whose offsets lie in it."""
-        made, joined = {}, []
-        for i in range(0, len(chunks), self.JOINED):
-            joined.append(" ".join(chunks[i : i + self.JOINED]))
-        for k, e in enumerate(self.whole.encode_batch(joined, add_special_tokens=False)):
-            part = chunks[k * self.JOINED : (k + 1) * self.JOINED]
-            ids = np.array(e.ids, np.uint32)
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ends = np.cumsum([len(c) + 1 for c in part])
-            cuts = [0, *np.searchsorted(at, ends).tolist()]
-            made.update((c, ids[x:y].tobytes()) for c, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
+        """Ids of chunks, JOINED at a time. Each chunk of letters ends with the only word end in it; the tokens of other
+        chunks are those whose offsets lie in it."""
+        made = {}
+        for plain in (True, False):
+            some = [c for c in chunks if c.isalpha() == plain]
+            parts = [some[i : i + self.JOINED] for i in range(0, len(some), self.JOINED)]
+            for part, e in zip(parts, self.whole.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(self.final[ids]) + 1
+                if not plain or len(cuts) != len(part):
+                    at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+                    cuts = np.searchsorted(at, np.cumsum([len(c) + 1 for c in part]))
+                data, cuts = ids.tobytes(), (cuts * 4).tolist()
+                made.update((c, data[x:y]) for c, x, y in zip(part, [0, *cuts[:-1]], cuts, strict=True))
         return made
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """None: to be encoded whole."""
+        low = text.lower()
+        if any(s in low for s in self.special) or any(c in text for c in (self.ODD[:4] if text.isascii() else self.ODD)):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            low = text
+        if not GLUED.search(low):
+            low = low.replace(".", " . ").replace(",", " , ")
+        return low.split()
+
     def _whole(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
         known = self.known
-        whole = [any(s in t for s in self.special) or any(c in t for c in (self.ODD[:4] if t.isascii() else self.ODD)) for t in texts]
-        pieces = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        fresh = list(set().union(*pieces).difference(known)) if pieces else []
+        pieces = [self._chunks(t) for t in texts]
+        fresh = list(set().union(*[p for p in pieces if p is not None]).difference(known))
         made = self._fresh(fresh)
         long = [c for c in fresh if len(c) > self.LONGEST]
         full = len(known) + len(made) > self.LIMIT
         known.update(made)
         out = []
-        for t, w, chunks in zip(texts, whole, pieces, strict=True):
-            if w:
+        for t, chunks in zip(texts, pieces, strict=True):
+            if chunks is None:
                 out.append(np.array(self._whole(t), np.uint32))
             else:
                 out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32))
