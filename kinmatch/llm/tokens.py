@@ -38,8 +38,9 @@ class ChunkEncoder:
     """
 
     LIMIT, LONGEST, JOINED = 700_000, 40, 1000
-    #: White space of the normaliser that str.split() does not know, or the other way round: such texts go whole.
-    ODD = [chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x180E, 0x200B, 0xFEFF)]
+    #: White space of the normaliser that str.split() does not know, or the other way round, and the one letter that
+    #: grows when lower-cased: such texts go whole.
+    ODD = [chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x180E, 0x200B, 0xFEFF, 0x130)]
 
     def __init__(self, path: str) -> None:
         self.whole = tokenizer(path)
