@@ -14,6 +14,7 @@ from kinmatch.llm.near_duplicates import near_duplicates
 from kinmatch.llm.packing import pack
 from kinmatch.llm.personal_data import BASE_KINDS, personal_data
 from kinmatch.llm.quality import COUNTS, quality
+from kinmatch.llm.repeated_bytes import remove_repeats
 from kinmatch.llm.token_files import read_token_files, write_token_files
 from kinmatch.session import scratch_folder
 
@@ -67,6 +68,11 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(spark, folder, path, ids=False)
 
 
+def op10_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    cut = remove_repeats(_documents(spark, sf))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
+    "op10_repeated_bytes": op10_repeated_bytes,
 }
 
 #: Lines of a text, windows of three lines that hold a word, those seen earlier, the lines they cover.
