@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.bpe import decode_ids, encode_texts
 from kinmatch.llm.line_windows import line_windows
 from kinmatch.llm.near_duplicates import near_duplicates
+from kinmatch.llm.nearest import nearest
 from kinmatch.llm.packing import pack
 from kinmatch.llm.personal_data import BASE_KINDS, personal_data
 from kinmatch.llm.quality import COUNTS, quality
@@ -58,6 +59,10 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_personal_data": op3_personal_data,
     "op5_line_windows": op5_line_windows,
     "op6_bpe": op6_bpe,
+    "op7_nearest": op7_nearest,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_repeated_bytes": op10_repeated_bytes,
