@@ -14,7 +14,7 @@ sets is at least 0.75. Documents of equal sets form a class, and only one text p
    to a class that left.
 4. Candidates (estimate at least CANDIDATE) are confirmed on whole sets, taken from whole texts, in two turns. First every
    leaf gives a spanning forest of its candidates, best first, and pivots give theirs: a handful for each class, however
-   large its group. Components follow from confirmed links. Then leaves, and rings with the classes that left their
+   large its group. Texts are kept by the task that read them (parts.py), and only those of candidates are moved. Components follow from confirmed links. Then leaves, and rings with the classes that left their
    node, are compared again, in blocks, for candidates between different components, and all of these are confirmed.
    So no link that joins two components is lost, and pairs inside a component are never listed.
 
@@ -31,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinmatch.llm.flat import LOWER, U, flat_text, mix, slices, span_hashes, words
+from kinmatch.llm.parts import by_part, read_part, to_parts, write_parts
 from kinmatch.session import scratch_folder
 
 SHINGLE = 5
@@ -43,7 +45,7 @@ HASHES = 256
 BRANCHING = 128  # of these may be chosen as branches; estimates use one byte of all
 TREES = 5
 CHOSEN = 2
-LEAF = 256
+LEAF = 1000
 PIVOTS = 3
 #: Estimates from HASHES tokens have a standard deviation of 0.027 at 0.75: candidates are taken from three below.
 CANDIDATE = 0.67
@@ -148,13 +150,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(t[:BRANCHING].tobytes() if len(s) else None)
             low.append((t & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
         made = [pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "cls", "tokens", "token_bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *made], ["doc_id", "uid", "n_shingles", "cls", "tokens", "token_bytes"])
 
 
-def _class_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        keys = [class_key(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("text")], ["cls", "text"])
+def _class_texts(folder: str):
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_part(batches):
+            wanted, names = rows.column("uid").combine_chunks(), rows.column("cls").combine_chunks()
+            for batch in read_part(folder, part, ["uid", "text"]):
+                at = pc.index_in(batch.column("uid"), wanted)
+                there = at.is_valid()
+                yield pa.RecordBatch.from_arrays([names.take(at.filter(there)), batch.column("text").filter(there)], ["cls", "text"])
+
+    return fetch
 
 
 def _branch_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,19 +401,10 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm, "a string, b string")
 
 
-def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    one, two = (groups.select(F.col("cls").alias(s), F.col("group").alias(f"group_{s}")) for s in "ab")
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select(*pairs.columns)
-
-
-def _texts(store: _Store, plain: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One whole text for each class in the pairs. Ids may repeat, so the class of every text read is worked out again."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    chosen = plain.join(needed.select("rep").distinct(), plain.doc_id.eqNullSafe(F.col("rep")), "left_semi").select("text")
-    texts = chosen.mapInArrow(_class_texts, "cls string, text string").join(needed.select("cls"), "cls", "left_semi")
-    return store.put(texts.dropDuplicates(["cls"]))[0]
+def _texts(store: _Store, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One whole text for each class in the pairs."""
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "uid"), "cls")
+    return store.put(to_parts(needed).mapInArrow(_class_texts(f"{store.folder}/texts"), "cls string, text string"))[0]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,27 +412,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     store = _Store(docs.sparkSession)
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_shingles bigint, cls string, tokens binary, token_bytes binary"
-    signed, _ = store.put(plain.mapInArrow(_sign, shape))
+    shape = f"doc_id {kind}, uid bigint, n_shingles bigint, cls string, tokens binary, token_bytes binary"
+    signed, _ = store.put(write_parts(plain, f"{store.folder}/texts").mapInArrow(_sign, shape))
     same = [F.first(c).alias(c) for c in ("tokens", "token_bytes")]
-    classes, _ = store.put(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *same))
+    classes, _ = store.put(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), *same))
 
     pairs, leaf, met = _candidates(store, classes)
     pairs, n_pairs = store.put(pairs)
     names = classes.select("cls", F.col("rep").alias("component_id"))
     if n_pairs:
-        texts = _texts(store, plain, classes, pairs)
-        ends = pairs.select("*", F.col("a").alias("end")).unionByName(pairs.select("*", F.col("b").alias("end")))
-        best, _ = store.put(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
-        links, _ = store.put(_linked(best, texts))
+        links, _ = store.put(_linked(pairs, _texts(store, classes, pairs)))
         groups, _ = store.put(_components(store, links))
-        others = _between(pairs.join(best, ["a", "b"], "left_anti"), groups)
-        more, n_more = store.put(_linked(others, texts))
-        if n_more:
-            groups = _joined(store, groups, more)
         rest, n_rest = store.put(_other_candidates(store, leaf, met, groups, classes).join(pairs, ["a", "b"], "left_anti"))
         if n_rest:
-            more, n_more = store.put(_linked(rest, _texts(store, plain, classes, rest)))
+            more, n_more = store.put(_linked(rest, _texts(store, classes, rest)))
             groups = _joined(store, groups, more) if n_more else groups
         named = classes.select("cls", "rep").join(groups, "cls")
         least = named.groupBy("group").agg(F.min("rep").alias("least"))

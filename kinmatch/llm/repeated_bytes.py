@@ -33,12 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as ds
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.flat import U, flat_text, mix, slices
+from kinmatch.llm.parts import by_part, read_part, to_parts, write_parts
 from kinmatch.session import scratch_folder
 
 LENGTH = 100
@@ -89,39 +88,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, keys.view(np.int64)
 
 
-def _texts(folder: str, part: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """The stored rows of one task's folder, in order."""
-    store, root = fs.FileSystem.from_uri(folder)
-    found = ds.dataset(f"{root}/part={part}", filesystem=store, format="parquet")
-    yield from found.to_batches(columns=columns, batch_size=1000, batch_readahead=1, fragment_readahead=1, use_threads=False)
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows sorted by `part`, a table for each: as many as one input task's rows, or their anchors."""
-    held: list[pa.Table] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = batch.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if last is not None and parts[a] != last:
-                yield last, pa.concat_tables(held)
-                held = []
-            last = int(parts[a])
-            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-    if held:
-        yield last, pa.concat_tables(held)
-
-
 def _find_anchors(folder: str, splitters: list[int]):
     cuts = np.array(splitters, np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
+        for part, rows in by_part(batches):
             wanted = rows.column("uid").combine_chunks()
-            for batch in slices(_texts(folder, part, ["uid", "text"]), "text"):
+            for batch in slices(read_part(folder, part, ["uid", "text"]), "text"):
                 batch = batch.filter(pc.is_in(batch.column("uid"), wanted))
                 if not batch.num_rows:
                     continue
@@ -181,10 +154,10 @@ def _fetch_contexts(folder: str, splitters: list[int], buckets: int):
         return pa.RecordBatch.from_arrays([*[pa.array(x) for x in made], raw, pa.array(np.full(n, settled))], names)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
+        for part, rows in by_part(batches):
             uids, places = rows.column("uid").to_numpy(), rows.column("pos").to_numpy()
             keys, hot = rows.column("key").to_numpy(), rows.column("hot").to_numpy(zero_copy_only=False)
-            for batch in slices(_texts(folder, part, ["uid", "ord", "text"]), "text"):
+            for batch in slices(read_part(folder, part, ["uid", "ord", "text"]), "text"):
                 own = batch.column("uid").to_numpy()
                 a, b = np.searchsorted(uids, own[0], "left"), np.searchsorted(uids, own[-1], "right")
                 for i in range(a, b, 20_000):
@@ -302,9 +275,9 @@ def _cuts(key: np.ndarray, rows: int = 10_000) -> Iterator[tuple[int, int]]:
 
 def _cut_texts(folder: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
+        for part, rows in by_part(batches):
             uids, a, b = (rows.column(c).to_numpy() for c in ("uid", "a", "b"))
-            for batch in slices(_texts(folder, part, ["uid", "doc_id", "text"]), "text"):
+            for batch in slices(read_part(folder, part, ["uid", "doc_id", "text"]), "text"):
                 data, offsets = flat_text(batch.column("text"))
                 own = batch.column("uid").to_numpy()
                 first, last = np.searchsorted(uids, own, "left"), np.searchsorted(uids, own, "right")
@@ -346,19 +319,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    def at_text(df: DataFrame, *order: str) -> DataFrame:
-        """Rows to the task of their text's folder."""
-        df = df.withColumn("part", F.shiftright("uid", 33).cast("int"))
-        return df.repartitionById(buckets, F.pmod("part", F.lit(buckets))).sortWithinPartitions("part", "uid", *order)
-
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    base = base.withColumns({"uid": F.monotonically_increasing_id(), "ord": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))})
+    base = base.withColumn("ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
     base = base.withColumns({"n": F.octet_length("text").cast("int"), "digest": F.unhex(F.md5(F.col("text").cast("binary")))})
-    # Numbers are drawn once: what is stored has them, and its folder is the task's.
-    base = base.withColumn("part", F.shiftright("uid", 33).cast("int")).sortWithinPartitions("part", "uid")
-    base.write.partitionBy("part").option("compression", "zstd").parquet(texts)
-    narrow = spark.read.schema("uid bigint, ord bigint, n int, digest binary").parquet(texts).select("uid", "ord", "n", "digest")
+    narrow = write_parts(base, texts).select("uid", "ord", "n", "digest")
 
     first = stored(narrow.where(F.col("n") >= LENGTH).groupBy("digest").agg(F.count("*").alias("c"), F.min("ord").alias("first")).where("c > 1").select("digest", "first"), "first")
     state = stored(narrow.join(first, "digest", "left").select("uid", "n", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copy")), "state")
@@ -366,22 +331,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     shape = "key bigint, uid bigint, pos int, bucket int"
     sample = fresh.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE)
-    keys = at_text(sample).mapInArrow(_find_anchors(texts, []), shape)
+    keys = to_parts(sample).mapInArrow(_find_anchors(texts, []), shape)
     shares = [k / buckets for k in range(1, buckets)]
     splitters = sorted(set(keys.agg(F.percentile("key", F.array(*map(F.lit, shares)))).first()[0] or [])) if shares else []
     splitters = [int(x) for x in splitters]
 
-    found = at_text(fresh).mapInArrow(_find_anchors(texts, splitters), shape)
+    found = to_parts(fresh).mapInArrow(_find_anchors(texts, splitters), shape)
     found = found.repartitionById(buckets, F.col("bucket")).drop("bucket").sortWithinPartitions("key", "uid", "pos")
     shared = stored(found.mapInArrow(_keep_shared, "key bigint, uid bigint, pos int"), "shared")
     hot = stored(shared.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("hot")), "hot")
     shared = shared.join(hot, "key", "left").select("key", "uid", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
 
     shape = "bucket int, key bigint, ord bigint, uid bigint, pos int, low int, high int, context binary, settled boolean"
-    around = at_text(shared, "pos").mapInArrow(_fetch_contexts(texts, splitters, buckets), shape)
+    around = to_parts(shared, "pos").mapInArrow(_fetch_contexts(texts, splitters, buckets), shape)
     around = around.repartitionById(buckets, F.col("bucket")).drop("bucket").sortWithinPartitions("key", "ord", "pos", "uid")
     spans = stored(around.mapInArrow(_resolve, "uid bigint, a int, b int"), "spans")
 
     every = state.select("uid", F.lit(0).alias("a"), F.when(F.col("copy"), F.col("n")).otherwise(0).alias("b"))
-    rows = at_text(every.unionByName(spans), "a", "b")
+    rows = to_parts(every.unionByName(spans), "a", "b")
     return rows.mapInArrow(_cut_texts(texts), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
