@@ -215,11 +215,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, most = np.full(len(key), CONTEXT), np.full(len(key), -1)
         for before, h in _window_hashes(context):
             fits = np.flatnonzero((low <= before) & (before <= high))
+            if not len(fits):
+                continue
             h = (h ^ group)[fits]
             sort = np.argsort(h, kind="stable")  # keeps the order by document and place
             h, who = h[sort], fits[sort]
             later = np.concatenate([[False], h[1:] == h[:-1]])
-            head = np.maximum.accumulate(np.where(later, 0, np.arange(len(later)))) if len(later) else later
+            head = np.maximum.accumulate(np.where(later, 0, np.arange(len(later))))
             later &= (order[who] != order[who[head]]) | (pos[who] != pos[who[head]])
             hit = who[later]
             least[hit] = np.minimum(least[hit], before)
