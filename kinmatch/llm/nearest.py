@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from kinmatch.session import scratch_folder
 
-MIN_BITS = 256
-EPSILON = 2.5
-ROWS, QUERIES = 8192, 2048
+MIN_BITS = 512
+EPSILON = 1.9
+ROWS, QUERIES = 16384, 2048
 SEED = 20260
 
 
