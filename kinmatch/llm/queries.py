@@ -17,6 +17,7 @@ from kinmatch.llm.personal_data import BASE_KINDS, personal_data
 from kinmatch.llm.quality import COUNTS, quality
 from kinmatch.llm.repeated_bytes import remove_repeats
 from kinmatch.llm.token_files import read_token_files, write_token_files
+from kinmatch.llm.toxicity import toxicity
 from kinmatch.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
     cut = line_windows(_documents(spark, sf).select("doc_id", "text"), keep=["doc_id"])
     return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
+    "op4_toxicity": op4_toxicity,
     "op5_line_windows": op5_line_windows,
     "op6_bpe": op6_bpe,
     "op7_nearest": op7_nearest,
