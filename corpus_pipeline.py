@@ -8,11 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinmatch.llm.line_windows import line_windows_stage
+from kinmatch.llm.near_duplicates import near_duplicates_stage
+from kinmatch.llm.packing import packing_stage
+from kinmatch.llm.personal_data import personal_data_stage
 from kinmatch.llm.quality import quality_stage
 from kinmatch.session import scratch_folder
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_windows", line_windows_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("personal_data", personal_data_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: Near-duplicate search, personal data and packing cannot be expressed in SQL; tests compare with brute force.
