@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice of a batch holds about so many bytes of text, or one row. Bounds the memory of a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U = np.uint64
 _P, _P_INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

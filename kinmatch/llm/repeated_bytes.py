@@ -5,7 +5,7 @@ that a repeat covers is removed. Strings are judged on the input, never across d
 
 Sorting the suffix of every byte would move LENGTH bytes for each byte of text. So suffixes are sampled by their content:
 in each window of LENGTH bytes the least GRAM-byte hash is an anchor, and equal strings have equal anchors in them. Only
-suffixes at anchors are sorted, about one in thirty.
+suffixes at anchors are sorted, about one in forty.
 
 1. Texts are written to the shared scratch folder as they are read, one folder for each task, with row numbers; later
    steps bring their small rows to the task that reads that folder, so that texts are never shuffled. Documents that
@@ -41,11 +41,14 @@ from kinmatch.llm.parts import by_part, read_part, to_parts, write_parts
 from kinmatch.session import scratch_folder
 
 LENGTH = 100
-GRAM = 32
+GRAM = 16
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 GROUP = 1000
 SAMPLE = 2000
+#: Slices of about so many bytes of text, and pieces of so many contexts: both bound the memory of a task.
+SLICE = 1 << 20
+PIECE = 5_000
 LAST = (1 << 63) - 1
 _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -94,7 +97,7 @@ def _find_anchors(folder: str, splitters: list[int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_part(batches):
             wanted = rows.column("uid").combine_chunks()
-            for batch in slices(read_part(folder, part, ["uid", "text"]), "text"):
+            for batch in slices(read_part(folder, part, ["uid", "text"]), "text", SLICE):
                 batch = batch.filter(pc.is_in(batch.column("uid"), wanted))
                 if not batch.num_rows:
                     continue
@@ -157,11 +160,11 @@ def _fetch_contexts(folder: str, splitters: list[int], buckets: int):
         for part, rows in by_part(batches):
             uids, places = rows.column("uid").to_numpy(), rows.column("pos").to_numpy()
             keys, hot = rows.column("key").to_numpy(), rows.column("hot").to_numpy(zero_copy_only=False)
-            for batch in slices(read_part(folder, part, ["uid", "ord", "text"]), "text"):
+            for batch in slices(read_part(folder, part, ["uid", "ord", "text"]), "text", SLICE):
                 own = batch.column("uid").to_numpy()
                 a, b = np.searchsorted(uids, own[0], "left"), np.searchsorted(uids, own[-1], "right")
-                for i in range(a, b, 20_000):
-                    some = slice(i, min(b, i + 20_000))
+                for i in range(a, b, PIECE):
+                    some = slice(i, min(b, i + PIECE))
                     data, offsets = flat_text(batch.column("text"))
                     row = np.searchsorted(own, uids[some])
                     start, end = offsets[row], offsets[row + 1]
@@ -265,7 +268,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield grouped(held)
 
 
-def _cuts(key: np.ndarray, rows: int = 10_000) -> Iterator[tuple[int, int]]:
+def _cuts(key: np.ndarray, rows: int = PIECE) -> Iterator[tuple[int, int]]:
     """(start, length) of pieces of about `rows` rows that part no key."""
     start = 0
     while start < len(key):
@@ -339,7 +342,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     splitters = [int(x) for x in splitters]
 
     found = to_parts(fresh).mapInArrow(_find_anchors(texts, splitters), shape)
-    found = found.repartitionById(buckets, F.col("bucket")).drop("bucket").sortWithinPartitions("key", "uid", "pos")
+    found = found.repartitionById(buckets, F.col("bucket")).drop("bucket").sortWithinPartitions("key")
     shared = stored(found.mapInArrow(_keep_shared, "key bigint, uid bigint, pos int"), "shared")
     hot = stored(shared.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("hot")), "hot")
     shared = shared.join(hot, "key", "left").select("key", "uid", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
