@@ -10,12 +10,12 @@ sets is at least 0.75. Documents of equal sets form a class, and only one text p
    chance of 2e-5.
 3. A node of at most LEAF classes is a leaf and is compared exhaustively, by minwise tokens. A larger node picks PIVOTS
    classes, compares all others with them, and branches on without the classes that nearly equal a pivot: these would
-   stay together for ever. What lies near a pivot without such nearness (the ring) is remembered, since it may be linked
-   to a class that left.
+   stay together for ever. What left is remembered, and what lies near a pivot without such nearness (the ring), since
+   classes that left may be linked to each other and to the ring.
 4. Candidates (estimate at least CANDIDATE) are confirmed on whole sets, taken from whole texts, in two turns. First every
    leaf gives a spanning forest of its candidates, best first, and pivots give theirs: a handful for each class, however
-   large its group. Texts are kept by the task that read them (parts.py), and only those of candidates are moved. Components follow from confirmed links. Then leaves, and rings with the classes that left their
-   node, are compared again, in blocks, for candidates between different components, and all of these are confirmed.
+   large its group. Texts are kept by the task that read them (parts.py), and only those of candidates are moved. Components follow from confirmed links. Then leaves, and the classes that left a node
+   with each other and with its ring, are compared again, in blocks, for candidates between different components, and all of these are confirmed.
    So no link that joins two components is lost, and pairs inside a component are never listed.
 
 Every level, candidate set and confirmed link table is written to the shared scratch folder. Nothing is collected.
@@ -207,7 +207,7 @@ def _compare_cells(forest: bool):
     """Compares the members of each cell; rows come sorted by cell, and a cell has a bounded number of rows.
 
     With `forest`, a spanning forest of the candidates, else all candidates whose groups differ, each under the first root
-    branch that its members share only. side: 0 meets all, 1 meets only 2. The last cell of a batch waits for the next.
+    branch that its members share only. side: 0 meets all, 1 meets only 2, 2 only 1. The last cell of a batch waits for the next.
     """
     places = np.array(root_places())
 
@@ -269,9 +269,8 @@ def _meet_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = children(batch.column("node").to_numpy().view(U), tokens)
         names = batch.column("cls").to_pylist()
         pivots = [batch.column(f"pivot_{k}").to_pylist() for k in range(PIVOTS)]
-        leaves, most = best >= LEAVE, est.argmax(axis=1).tolist()
-        # Who leaves is linked to its best pivot; who stays meets the pivots in the second turn.
-        links = [[{"b": pivots[k][r], "est": float(est[r, k])}] if leaves[r] and pivots[k][r] != c else [] for r, (c, k) in enumerate(zip(names, most, strict=True))]
+        leaves = best >= LEAVE
+        links = [[{"b": pivots[k][r], "est": float(est[r, k])} for k in range(PIVOTS) if est[r, k] >= CANDIDATE and pivots[k][r] != c] for r, c in enumerate(names)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), batch.column("cls"), batch.column("root"), pa.array(leaves), pa.array(~leaves & (best >= RING)), _lists(nodes, CHOSEN), pa.array(links, pa.list_(pa.struct([("b", pa.string()), ("est", pa.float64())])))],
             ["node", "cls", "root", "leaves", "ring", "nodes", "links"],
@@ -353,24 +352,42 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates between different components: in leaves, and between the ring of a large node and what left it."""
+    """Candidates between different components: in leaves, among what left a large node, and between that and the ring."""
     group = F.xxhash64(F.coalesce("group", "cls")).alias("group")
     named = leaf.join(groups, "cls", "left").select("node", "cls", "root", group)
     # Leaves that lie in one component have nothing to compare.
     mixed = named.groupBy("node").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("node")
     mixed, _ = store.put(mixed)
     rows = named.join(mixed, "node").select(F.col("node").alias("cell"), "cls", "root", F.lit(0).alias("side"), "group")
-    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "root", F.when(F.col("leaves"), 1).otherwise(2).alias("side"), group)
-    size = [F.sum(F.when(F.col("side") == k, 1).otherwise(0)).alias(f"n_{k}") for k in (1, 2)]
-    sizes = named.groupBy("node").agg(*size, F.min("group").alias("g"), F.max("group").alias("h")).where("g != h AND n_1 > 0 AND n_2 > 0")
-    sizes, n_sizes = store.put(sizes.select("node", *[F.ceil(F.col(f"n_{k}") / BLOCK).cast("int").alias(f"b_{k}") for k in (1, 2)]))
+    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "root", "leaves", group)
+    # The largest group of a node has nothing to compare inside; all that left and is of other groups (first) meets all.
+    counts = named.groupBy("node", "group").agg(F.count_if("leaves").alias("n_left"), F.count("*").alias("n"))
+    most = F.max(F.struct("n", "group", "n_left"))
+    sizes = counts.groupBy("node").agg(most.alias("main"), F.sum("n").alias("n"), F.sum("n_left").alias("n_left"))
+    first, main_left = F.col("n_left") - F.col("main.n_left"), F.col("main.n_left")
+    ring = F.col("n") - F.col("main.n") - first
+    blocks = [F.ceil(n / BLOCK).cast("int").alias(b) for n, b in ((first, "b_first"), (F.col("n") - first, "b_rest"), (main_left, "b_main"), (ring, "b_ring"))]
+    sizes, n_sizes = store.put(sizes.where(F.col("n") > F.col("main.n")).select("node", F.col("main.group").alias("main"), *blocks))
     if n_sizes:
-        # Each class in one block of its side, and that block in a cell with every block of the other side.
-        named = named.join(sizes, "node")
-        own, other = F.when(F.col("side") == 1, F.col("b_1")).otherwise(F.col("b_2")), F.when(F.col("side") == 1, F.col("b_2")).otherwise(F.col("b_1"))
-        named = named.select("node", "cls", "root", "side", "group", F.pmod(F.xxhash64("cls"), own).alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
-        blocks = [F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))]
-        rows = rows.unionByName(named.select(F.xxhash64("node", *blocks).alias("cell"), "cls", "root", "side", "group"))
+        # Each class in one block of its part, and that block in a cell with every block of each part that it meets.
+        named = named.join(sizes, "node").withColumn("hash", F.xxhash64("cls"))
+        is_first, is_main = F.expr("leaves AND group != main"), F.expr("leaves AND group = main")
+        parts = [
+            (0, is_first, "b_first", "b_first", None),
+            (1, is_first, "b_first", "b_rest", 1),
+            (1, ~is_first, "b_rest", "b_first", 2),
+            (2, is_main, "b_main", "b_ring", 1),
+            (2, F.expr("NOT leaves AND group != main"), "b_ring", "b_main", 2),
+        ]
+        for kind, member, own, other, side in parts:
+            met_by = named.where(member & (F.col(other) > 0)).withColumn("own", F.pmod(F.col("hash"), F.col(own)))
+            met_by = met_by.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            if side is None:  # blocks of one part: a block meets itself once
+                cell, at = [F.least("own", "other"), F.greatest("own", "other")], F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
+            else:
+                cell, at = [F.col("own"), F.col("other")][:: 1 if side == 1 else -1], F.lit(side)
+            cell = F.xxhash64("node", F.lit(kind), *[c.cast("bigint") for c in cell]).alias("cell")
+            rows = rows.unionByName(met_by.select(cell, "cls", "root", at.alias("side"), "group"))
     return _cells(rows, classes, False).select("a", "b").distinct()
 
 
