@@ -110,16 +110,6 @@ def roots(trees: int = TREES) -> np.ndarray:
     return mix(np.arange(7_000, 7_000 + trees, dtype=U))
 
 
-def root_places(trees: int = TREES) -> list[int]:
-    """The tokens chosen at the roots, in the order of their branches."""
-    out = []
-    for root in roots(trees):
-        first = int(mix(np.array([root]) + U(0x9E3779B97F4A7C15))[0] % U(BRANCHING))
-        second = int(mix(np.array([root]) + U(2 * 0x9E3779B97F4A7C15 % 2**64))[0] % U(BRANCHING - 1))
-        out += [first, (first + 1 + second) % BRANCHING]
-    return out
-
-
 def _signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a).view(np.int64)
 
@@ -206,17 +196,14 @@ def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, n: int) -> list[int]:
 def _compare_cells(forest: bool):
     """Compares the members of each cell; rows come sorted by cell, and a cell has a bounded number of rows.
 
-    With `forest`, a spanning forest of the candidates, else all candidates whose groups differ, each under the first root
-    branch that its members share only. side: 0 meets all, 1 meets only 2, 2 only 1. The last cell of a batch waits for the next.
+    With `forest`, a spanning forest of the candidates, else all candidates whose groups differ, in every cell where
+    they meet. side: 0 meets all, 1 meets only 2, 2 only 1. The last cell of a batch waits for the next.
     """
-    places = np.array(root_places())
-
     def pairs(part: pa.Table) -> pa.RecordBatch:
         cell = part.column("cell").to_numpy()
         names = part.column("cls").to_pylist()
         tokens = _matrix(part.column("token_bytes").combine_chunks())
         side = part.column("side").to_numpy()
-        root = part.column("root").to_numpy()
         group = np.zeros(len(cell), np.int64) if forest else part.column("group").to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]).tolist()
         left, right, share = [], [], []
@@ -232,9 +219,6 @@ def _compare_cells(forest: bool):
             est = np.concatenate([_estimates(m[i[k : k + 4096]], m[j[k : k + 4096]]) for k in range(0, len(i), 4096)]) if len(i) else np.empty(0)
             near = est >= CANDIDATE
             i, j, est = i[near], j[near], est[near]
-            if not forest and len(i):
-                first = (m[i][:, places] == m[j][:, places]).argmax(axis=1) == root[a]
-                i, j, est = i[first], j[first], est[first]
             for k in _forest(i, j, est, b - a) if forest else range(len(i)):
                 x, y = names[a + int(i[k])], names[a + int(j[k])]
                 left.append(min(x, y))
@@ -272,8 +256,8 @@ def _meet_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = best >= LEAVE
         links = [[{"b": pivots[k][r], "est": float(est[r, k])} for k in range(PIVOTS) if est[r, k] >= CANDIDATE and pivots[k][r] != c] for r, c in enumerate(names)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("cls"), batch.column("root"), pa.array(leaves), pa.array(~leaves & (best >= RING)), _lists(nodes, CHOSEN), pa.array(links, pa.list_(pa.struct([("b", pa.string()), ("est", pa.float64())])))],
-            ["node", "cls", "root", "leaves", "ring", "nodes", "links"],
+            [batch.column("node"), batch.column("cls"), pa.array(leaves), pa.array(~leaves & (best >= RING)), _lists(nodes, CHOSEN), pa.array(links, pa.list_(pa.struct([("b", pa.string()), ("est", pa.float64())])))],
+            ["node", "cls", "leaves", "ring", "nodes", "links"],
         )
 
 
@@ -316,15 +300,15 @@ def _cells(rows: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
 def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, est): forests of leaves and links to pivots. The leaves (node, cls). What met pivots in large nodes."""
     spark = store.spark
-    rows = classes.mapInArrow(_branch_roots, "cls string, nodes array<bigint>").select("cls", F.posexplode("nodes").alias("root", "node"))
+    rows = classes.mapInArrow(_branch_roots, "cls string, nodes array<bigint>").select("cls", F.explode("nodes").alias("node"))
     leaves, found, met = [], [], []
     slim = classes.select("cls", "tokens", "token_bytes")
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes, _ = store.put(sizes)  # stored, so that the join below shuffles both sides and a hot node can be split
         shared, many = store.put(rows.join(sizes, "node"))
-        leaves.append(shared.where(F.col("n") <= LEAF).select("node", "cls", "root"))
-        large = shared.where(F.col("n") > LEAF).select("node", "cls", "root")
+        leaves.append(shared.where(F.col("n") <= LEAF).select("node", "cls"))
+        large = shared.where(F.col("n") > LEAF).select("node", "cls")
         if not many or large.isEmpty():
             break
         # PIVOTS members of each node by the least of as many hashes; grouped minima combine before the shuffle.
@@ -333,19 +317,19 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
         for k in range(PIVOTS):
             pivots = pivots.join(classes.select(F.col("cls").alias(f"pivot_{k}"), F.col("token_bytes").alias(f"tokens_{k}")), f"pivot_{k}")
         meeting = large.join(slim, "cls").join(pivots, "node")
-        shape = "node bigint, cls string, root int, leaves boolean, ring boolean, nodes array<bigint>, links array<struct<b:string,est:double>>"
+        shape = "node bigint, cls string, leaves boolean, ring boolean, nodes array<bigint>, links array<struct<b:string,est:double>>"
         level, _ = store.put(meeting.mapInArrow(_meet_pivots, shape))
         link = level.select("cls", F.explode("links").alias("l"))
         found.append(link.select(F.least("cls", "l.b").alias("a"), F.greatest("cls", "l.b").alias("b"), F.col("l.est").alias("est")))
-        met.append(level.select("node", "cls", "root", "leaves", "ring"))
-        rows = level.where(~F.col("leaves")).select("cls", "root", F.explode("nodes").alias("node"))
+        met.append(level.select("node", "cls", "leaves", "ring"))
+        rows = level.where(~F.col("leaves")).select("cls", F.explode("nodes").alias("node"))
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
-    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls", "root", F.lit(0).alias("side")), classes, True)
+    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side")), classes, True)
     for more in found:
         pairs = pairs.unionByName(more)
-    ring = spark.createDataFrame([], "node bigint, cls string, root int, leaves boolean, ring boolean")
+    ring = spark.createDataFrame([], "node bigint, cls string, leaves boolean, ring boolean")
     for more in met:
         ring = ring.unionByName(more)
     return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), leaf, ring
@@ -354,12 +338,12 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
 def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidates between different components: in leaves, among what left a large node, and between that and the ring."""
     group = F.xxhash64(F.coalesce("group", "cls")).alias("group")
-    named = leaf.join(groups, "cls", "left").select("node", "cls", "root", group)
+    named = leaf.join(groups, "cls", "left").select("node", "cls", group)
     # Leaves that lie in one component have nothing to compare.
     mixed = named.groupBy("node").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("node")
     mixed, _ = store.put(mixed)
-    rows = named.join(mixed, "node").select(F.col("node").alias("cell"), "cls", "root", F.lit(0).alias("side"), "group")
-    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "root", "leaves", group)
+    rows = named.join(mixed, "node").select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side"), "group")
+    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "leaves", group)
     # The largest group of a node has nothing to compare inside; all that left and is of other groups (first) meets all.
     counts = named.groupBy("node", "group").agg(F.count_if("leaves").alias("n_left"), F.count("*").alias("n"))
     most = F.max(F.struct("n", "group", "n_left"))
@@ -387,7 +371,7 @@ def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: Da
             else:
                 cell, at = [F.col("own"), F.col("other")][:: 1 if side == 1 else -1], F.lit(side)
             cell = F.xxhash64("node", F.lit(kind), *[c.cast("bigint") for c in cell]).alias("cell")
-            rows = rows.unionByName(met_by.select(cell, "cls", "root", at.alias("side"), "group"))
+            rows = rows.unionByName(met_by.select(cell, "cls", at.alias("side"), "group"))
     return _cells(rows, classes, False).select("a", "b").distinct()
 
 

@@ -68,3 +68,10 @@ def test_bridged_groups_in_large_nodes(spark, monkeypatch, seed):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()}
     assert got == {i: head(i) for i in range(len(texts))}
+
+
+def test_pairs_from_any_root(spark):
+    """Two classes whose bytes agree everywhere meet in a node below the last root only."""
+    same = bytes(range(256))
+    leaf = [(5, "x", 9), (5, "y", 9)]
+    assert other_pairs(spark, leaf, [], [("x", "x"), ("y", "y")], dict.fromkeys("xy", same)) == [("x", "y")]
