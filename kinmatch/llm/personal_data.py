@@ -39,7 +39,7 @@ PHONE_DIGITS = (9, 15)
 
 ACCOUNT_CUES = ["account", "acct", "iban", "konto", "cuenta", "compte", "passport", "customer id"]
 SECRET_CUES = ["password", "passwd", "token", "api_key", "apikey", "secret"]
-_AFTER_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9]{0,33}(?:[ -][A-Za-z0-9]{2,6}){0,8})")
+_AFTER_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9]{0,33}(?:(?: [A-Za-z0-9]{2,34}|-[A-Za-z0-9]{1,34})(?![A-Za-z0-9])){0,8})")
 _AFTER_SECRET = re.compile(r"\s*[=:]\s*(\"[^\"\s]+\"|'[^'\s]+'|[^\s\"']+)")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 _URL_END = frozenset(" \t\n\x0b\f\r<>\"'`{}|\\^")
@@ -161,16 +161,35 @@ def iban_holds(value: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_at(text: str, start: int) -> tuple[int, int] | None:
+    """The longest whole groups from `start` whose IBAN check digits hold."""
+    found = _IBAN.match(text, start)
+    for end in range(found.end(), start + 14, -1) if found else ():
+        ends = not (text[end - 1] == " " or (end < len(text) and text[end].isalnum()))
+        if ends and iban_holds(text[start:end]):
+            return start, end
+    return None
+
+
 def account_at(text: str, after: int) -> tuple[int, int] | None:
-    """The identifier that follows a cue: at least six characters, four of them digits; an IBAN if one fits there."""
+    """The identifier that follows a cue: at least six characters, four of them digits; an IBAN if one fits there.
+
+    Of several groups, those after the first count up to the last that holds a digit, and no further than to a word that
+    holds none and is not all capitals.
+    """
     found = _AFTER_ACCOUNT.match(text, after)
     if not found:
         return None
-    iban = _IBAN.match(text, found.start(1))
-    if iban and iban_holds(iban[0]):
-        return iban.span()
-    value = found[1].split(" ")[0]
-    if len(value) < 6 or sum(c in DIGITS for c in value) < 4:
+    if iban := iban_at(text, found.start(1)):
+        return iban
+    groups, kept = found[1].split(" "), 1
+    for k, group in enumerate(groups[1:], 2):
+        if any(c in DIGITS for c in group):
+            kept = k
+        elif not group.isupper():
+            break
+    value = " ".join(groups[:kept])
+    if sum(c.isalnum() for c in value) < 6 or sum(c in DIGITS for c in value) < 4:
         return None
     return found.start(1), found.start(1) + len(value)
 
@@ -194,6 +213,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
                     add("ip", last, *ip)
                 if last >= ends["card"] and (card := card_at(text, last)):
                     add("card", last, *card)
+                if last >= max(2, ends["account"] + 2) and (last == 2 or not text[last - 3].isalnum()) and (iban := iban_at(text, last - 2)):
+                    add("account", *iban)
         elif anchor == "at":
             if last >= ends["email"] and (email := email_at(text, last, ends["email"])):
                 add("email", *email)
