@@ -25,6 +25,33 @@ def _int_text(c: Column) -> Column:
     return F.when(is_int, signed).otherwise(c)
 
 
+def _large_text(c: Column) -> Column:
+    """All digits of a finite float of 2**62 or more: an integer of at most 56 bits times a power of two, in limbs of
+    nine digits, lowest first."""
+    div = lambda a, b: F.call_function("div", a, b)
+    base, none = F.lit(10**9).cast("bigint"), F.array().cast("array<bigint>")
+    shift = (F.floor(F.log2(F.abs(c))) - 54).cast("int")
+    start = F.abs(c) / F.pow(F.lit(2.0), shift)
+    start = start.cast("bigint")
+
+    def doubled(limbs: Column, step: Column) -> Column:
+        times = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.lit(29), shift - 29 * step).cast("int"))
+        return F.aggregate(
+            limbs,
+            F.struct(F.lit(0).cast("bigint").alias("carry"), none.alias("out")),
+            lambda s, d: F.struct(
+                div(d * times + s["carry"], base).alias("carry"),
+                F.concat(s["out"], F.array((d * times + s["carry"]) % base)).alias("out"),
+            ),
+            lambda s: F.concat(s["out"], F.array(s["carry"])),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(shift / 29).cast("int") - 1)
+    limbs = F.aggregate(steps, F.array(start % base, div(start, base)), doubled)
+    digits = F.array_join(F.transform(F.reverse(limbs), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(digits, "^0+", ""))
+
+
 def _float_text(c: Column) -> Column:
     c = c.cast("double")
     whole = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
@@ -32,7 +59,7 @@ def _float_text(c: Column) -> Column:
         F.when(F.isnan(c), F.lit("nan"))
         .when(F.abs(c) < F.lit(9.0e18), whole.cast("string"))
         .when(F.abs(c) == F.lit(float("inf")), F.lit(None).cast("string"))
-        .otherwise(c.try_cast("decimal(38,0)").cast("string"))
+        .when(F.abs(c) >= F.lit(9.0e18), _large_text(c))
     )
 
 

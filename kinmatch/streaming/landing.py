@@ -53,6 +53,18 @@ def _role_groups(catalog: DataFrame | None, names: list[str]) -> dict[tuple, lis
     return groups
 
 
+def _write_misplaced(batch: DataFrame, tables: Tables, is_workbook: bool) -> None:
+    """Rows of files outside assets/<identity>/<index>/ become error rows without an index, once for each file."""
+    error = F.lit("path gives no index name")
+    lost = batch.where(F.col("index_name").isNull()).select(
+        "index_name", "source_path", "row_no", (F.coalesce("error", error) if is_workbook else error).alias("error")
+    )
+    stored = tables.read(batch.sparkSession, "ingest_errors", lost.schema)
+    if stored is not None:
+        lost = lost.join(stored.where(F.col("index_name").isNull()).select("source_path").distinct(), "source_path", "left_anti")
+    tables.append(lost.select("index_name", "source_path", "row_no", "error"), "ingest_errors")
+
+
 def ingest_stream(
     rows: DataFrame,
     tables: Tables,
@@ -63,7 +75,7 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Normalise, embed and append every batch of `landing_csv` or `landing_workbooks` rows. The source's
     checkpoint skips files already taken, and a batch that runs again adds nothing. Indexes with equal
-    field roles share one plan. `catalog` defaults to the stored index_config table, read per batch."""
+    field roles share one plan. Rows whose path gives no index name go to ingest_errors. `catalog` defaults to the stored index_config table, read per batch."""
     is_workbook = "cells" in rows.columns
 
     def write(batch: DataFrame, _: int) -> None:
@@ -92,6 +104,8 @@ def ingest_stream(
                     positioned=is_workbook,
                 )
                 tables.write_batch(result, group, files)
+            if any(r.index_name is None for r in seen):
+                _write_misplaced(batch, tables, is_workbook)
         finally:
             batch.unpersist()
 
