@@ -23,7 +23,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Near-duplicate search, personal data and packing cannot be expressed in SQL; tests compare with brute force.
+#: Near-duplicate search, personal data and packing cannot be expressed in SQL, so the pipeline as a whole has none; only
+#: the line stage's operator (op5) has. No test runs the pipeline.
 ORACLE_SQL = None
 
 
