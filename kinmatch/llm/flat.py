@@ -62,9 +62,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run of bytes that are no white space), and each text's first word, len + 1."""
-    inside = ~SPACES[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes that `apart`, white space, lacks), and each text's first word, len + 1."""
+    inside = ~apart[data]
     if not len(data):
         empty = np.empty(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
