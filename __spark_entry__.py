@@ -17,7 +17,7 @@ import workbook_sample  # noqa: E402
 from kinmatch import Clause, SearchSpec, match  # noqa: E402
 from kinmatch.functions import cells, display, embed, text  # noqa: E402
 from kinmatch.operators.grouping import group_items  # noqa: E402
-from kinmatch.operators.related import embed_queries, related_items  # noqa: E402
+from kinmatch.operators.related import embed_queries, map_queue, related_items
 from kinmatch.operators.radial import lsh_radial_join, radial_join  # noqa: E402
 from kinmatch.operators.term_stats import term_stats  # noqa: E402
 from kinmatch.plans.spec_table import spec_fields  # noqa: E402
@@ -152,6 +152,31 @@ def _adhoc(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(match(embed_queries(raw, ACTORS, embedder), items, ACTORS))
 
 
+QUEUE_ROLES = {"Actors": "VECTOR", "brand": "EXACT", "size": "EXACT"}
+QUEUE_SPEC = SearchSpec((Clause("actors", "vector", "must", 2.0, 0.6), Clause("brand", "exact", "must"), Clause("size", "exact", "should", 3.0)), 10)
+
+
+def _queue_mapped(spark: SparkSession, sf: str):
+    """Ingest to queue to search: parts are ingested, then some texts in the queue are edited or blanked, and some items gone."""
+    names = F.concat(F.regexp_replace("p_name", " ", ", "), F.lit(" ,, "), F.split("p_name", " ")[0])
+    size = F.col("p_size").cast("string").alias("size")
+    raw = files.read_parquet(spark, f"{sf}/part.parquet").select("source_path", "row_no", "block_start", "p_partkey", names.alias("Actors"), F.col("p_brand").alias("brand"), size)
+    made = ing.ingest(raw, QUEUE_ROLES, index_name="item001-u", positioned=True)
+    own_id = F.lpad("pPartkey", 10, "0")
+    key = F.col("pPartkey").cast("bigint")
+    tables = Tables(scratch_folder(spark, "tables"))
+    tables.append(made.items.withColumn("item_id", own_id).where(key % 11 != 0), "items")
+    edited = F.when(key % 13 == 0, F.lit("")).when(key % 7 == 0, F.concat(F.lit("new "), F.col("brand"))).otherwise(F.col("actors"))
+    tables.append(made.queue.withColumn("item_id", own_id).withColumn("actors", edited), "queue")
+    catalog = cat.create_index(cat.empty_catalog(spark), QUEUE_ROLES, "u", "part.xlsx", index_name="item001-u").catalog
+    catalog = cat.save_spec(catalog, "item001-u", QUEUE_SPEC)
+    return map_queue(catalog, tables.read(spark, "queue"), tables.read(spark, "items"), "item001-u", embed.hashed_embedder())
+
+
+def _queue_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return _queue_mapped(spark, sf).vectors.sources.groupBy("field", "source").agg(F.count("*").alias("n"))
+
+
 def _by_index(spark: SparkSession, sf: str) -> DataFrame:
     items = _docs(spark, sf).withColumn("index_name", F.concat(F.lit("item001-"), F.col("lang")))
     catalog = cat.create_index(cat.empty_catalog(spark), ROLES, "en", index_name="item001-en").catalog
@@ -185,6 +210,9 @@ SEARCHES: dict[str, Query] = {
     "hits_with_source": _with_source,
     "adhoc_search": _adhoc,
     "search_by_index": _by_index,
+    "queue_map": lambda spark, sf: _hits(_queue_mapped(spark, sf).result),
+    "queue_map_summary": lambda spark, sf: _summary(_queue_mapped(spark, sf).result),
+    "queue_map_sources": _queue_sources,
 }
 
 PART_NAMES = (
@@ -195,7 +223,26 @@ PART_NAMES = (
     f"FROM (SELECT *, ' ' || lower(name) || ' ' AS t FROM ({sql.PARTS}))))"
 )
 
+QUEUE_TEXT = "CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'new ' || p_brand ELSE replace(p_name, ' ', ', ') END"
+
+
+def _queue_sql(name: str) -> str:
+    """Names, brand, size and vector of every part, from the text `name`; blank texts have no vector."""
+    rows = PART_NAMES.replace("p_name AS name", f"{name} AS name").replace("p_partkey AS item_id", "printf('%010d', p_partkey) AS item_id")
+    vectors = f"SELECT * EXCLUDE (nameEmbedding), CASE WHEN name <> '' THEN list_transform(nameEmbedding, lambda x: coalesce(x, 0)) END AS actorsEmbedding FROM ({rows})"
+    return f"WITH v AS MATERIALIZED ({vectors}) SELECT * FROM v"
+
+
+def _queue_map_sql(select: str) -> str:
+    items = f"SELECT * FROM ({_queue_sql("replace(p_name, ' ', ', ')")}) WHERE CAST(item_id AS BIGINT) % 11 <> 0"
+    return sql.brute_sql(items, QUEUE_SPEC, select, queries=_queue_sql(QUEUE_TEXT))
+
+
 SEARCH_SQL = {
+    "queue_map": _queue_map_sql(sql.HITS),
+    "queue_map_summary": _queue_map_sql(sql.SUMMARY),
+    "queue_map_sources": f"SELECT 'actors' AS field, CASE WHEN {QUEUE_TEXT} = '' THEN 'blank' WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN 'embedded' "
+    "ELSE 'stored' END AS source, count(*) AS n FROM part GROUP BY ALL",
     "hybrid_topk": sql.brute_sql(sql.DOCS, HYBRID, sql.HITS),
     "hybrid_constant_score": sql.brute_sql(sql.DOCS, HYBRID, sql.HITS, scoring="constant"),
     "hybrid_exclude_self": sql.brute_sql(sql.DOCS, HYBRID, sql.HITS, exclude_self=True),

@@ -112,6 +112,16 @@ def _column(df: DataFrame, name: str, dtype: str) -> Column:
     return F.col(f"`{name}`").cast(dtype) if name in df.columns else F.lit(None).cast(dtype)
 
 
+def _check_columns(queries: DataFrame, items: DataFrame, spec: SearchSpec) -> None:
+    """A clause without its column would count as blank in every row, or never hit: that is an error of the caller.
+    Only an exact column may be absent on one side; its value is blank there."""
+    for c in spec.clauses:
+        lacking = [name for name, df in (("queries", queries), ("items", items)) if c.column not in df.columns]
+        if len(lacking) == 2 or lacking and c.kind == "vector":
+            hint = "; queue rows get their vectors from map_queue" if c.kind == "vector" else ""
+            raise ValueError(f"clause {c.name} needs the column {c.column!r}, which {' and '.join(lacking)} lack{hint}")
+
+
 def _prepare(df: DataFrame, spec: SearchSpec, id_col: str, name: str, item_side: bool) -> DataFrame:
     """id, v<slot>, t<slot>; on the query side also act, the mask of clauses whose value is not blank."""
     cols, active = [F.col(id_col).alias(name)], ["0L"]
@@ -185,12 +195,14 @@ def match(
 ) -> MatchResult:
     """Find, for each query row, the items that satisfy `spec`, best first.
 
-    Both tables hold the spec's exact fields and `<field>Embedding` vectors; ids are unique in each.
+    Both tables hold the spec's exact fields and `<field>Embedding` vectors; ids are unique in each. A vector clause
+    whose column a table lacks, and an exact one that both lack, raise a ValueError.
     `index_name` restricts both to one index. Options can also be given as keywords. Small jobs run at
     once (counts, and which clauses the queries use); the search itself is lazy."""
     opt = replace(options or MatchOptions(), **changes)
     if opt.term_scoring not in ("bm25", "constant"):
         raise ValueError(f"unknown term_scoring {opt.term_scoring!r}")
+    _check_columns(queries, items, spec)
     if index_name is not None:
         queries = queries.where(F.col("index_name") == index_name)
         items = items.where(F.col("index_name") == index_name)

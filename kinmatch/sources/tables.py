@@ -35,6 +35,14 @@ class Tables:
         rows = rows.hint("rebalance", "index_name").sortWithinPartitions("index_name", "source_path")
         rows.write.mode("append").partitionBy("index_name").parquet(self.path(name))
 
+    def write_bucketed(self, rows: DataFrame, name: str, buckets: int, key: str = "item_id") -> DataFrame:
+        """The rows as a table of the session's catalog below this root, hashed and sorted by `key` into buckets: joins of
+        such tables by key read matching buckets and need no shuffle. Replaces a table of that name."""
+        spark, table = rows.sparkSession, f"{name}_by_{key}"
+        writer = rows.repartition(buckets, key).write.mode("overwrite").format("parquet")
+        writer.bucketBy(buckets, key).sortBy(key).option("path", self.path(table)).saveAsTable(table)
+        return spark.table(table)
+
     def append_new(self, rows: DataFrame, name: str, keys: list[str], indexes: list[str], files: list[str]) -> None:
         """Append the rows that are not stored yet. Stored rows are looked up only in the partitions and,
         by the row-group statistics of `source_path`, the files that the batch can repeat."""
