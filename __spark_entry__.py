@@ -18,7 +18,8 @@ from kinmatch import Clause, SearchSpec, match  # noqa: E402
 from kinmatch.functions import cells, display, embed, text  # noqa: E402
 from kinmatch.operators.grouping import group_items  # noqa: E402
 from kinmatch.operators.related import embed_queries, map_queue, related_items
-from kinmatch.operators.radial import lsh_radial_join, radial_join  # noqa: E402
+from kinmatch.operators.lsh import Lsh  # noqa: E402
+from kinmatch.operators.radial import lsh_comparisons, lsh_radial_join, radial_join  # noqa: E402
 from kinmatch.operators.term_stats import term_stats  # noqa: E402
 from kinmatch.plans.spec_table import spec_fields  # noqa: E402
 from kinmatch.session import scratch_folder  # noqa: E402
@@ -42,13 +43,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents; those without a vector have a blank vector clause and a blank label."""
     docs, vectors = _table(spark, sf, "documents"), _table(spark, sf, "embeddings")
-    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(
+    return docs.join(vectors, docs.doc_id == vectors.vec_id, "left").select(
         F.col("doc_id").alias("item_id"),
         "text",
         "lang",
         "source",
-        F.col("label").cast("string").alias("label"),
+        F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label"),
         F.col("embedding").alias("textEmbedding"),
     )
 
@@ -289,9 +291,34 @@ def _radial(spark: SparkSession, sf: str) -> DataFrame:
     return radial_join(vectors, vectors, "embedding", 0.42, "vec_id", "vec_id")
 
 
+LSH, LSH_LEAST = Lsh(tables=8, projections=8, width=1.9, probe=0.05), 0.5
+LSH_SPEC = SearchSpec((_vector("must", LSH_LEAST), LANG), 15)
+
+
 def _lsh(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings")
-    return lsh_radial_join(vectors, vectors, "embedding", 0.45, "vec_id", "vec_id")
+    return lsh_radial_join(vectors, vectors, "embedding", LSH_LEAST, "vec_id", "vec_id", LSH)
+
+
+def _lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the near pairs that are found, all and without those of a vector with itself, and of all pairs that are compared."""
+    vectors = _table(spark, sf, "embeddings")
+    pairs = [f(vectors, vectors, "embedding", LSH_LEAST, "vec_id", "vec_id", **o) for f, o in ((radial_join, {}), (lsh_radial_join, {"lsh": LSH}))]
+    near, found = (p.agg(F.count("*").alias(n), F.count_if(F.expr("query_id <> item_id")).alias(f"{n}_others")) for p, n in zip(pairs, ("near", "found")))
+    compared = lsh_comparisons(vectors, vectors, "embedding", LSH_LEAST, LSH)
+    total = vectors.agg(F.count("*").alias("n"))
+    one = [df.withColumn("_one", F.lit(1)) for df in (near, found, compared, total)]
+    row = one[0].join(one[1], "_one").join(one[2], "_one").join(one[3], "_one")
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(1.0), 6)
+    return row.select(
+        "near", "found", "compared", share(F.col("found"), F.col("near")).alias("recall"), share(F.col("found_others"), F.col("near_others")).alias("recall_others"),
+        share(F.col("compared"), F.col("n") * F.col("n")).alias("share"),
+    )
+
+
+def _lsh_hits(spark: SparkSession, sf: str) -> DataFrame:
+    items = _docs(spark, sf)
+    return _hits(match(items, items, LSH_SPEC, lsh=LSH))
 
 
 def _idf(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,10 +329,23 @@ def _idf(spark: SparkSession, sf: str) -> DataFrame:
 OTHER_JOINS: dict[str, Query] = {
     "radial_join": _radial,
     "lsh_join": _lsh,
+    "lsh_recall": _lsh_recall,
+    "lsh_search": _lsh_hits,
     "term_idf": _idf,
     "group_items": lambda spark, sf: group_items(_edges(spark, sf)),
 }
+_LSH_NEAR = f"near AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS score FROM embeddings a, embeddings b WHERE {_DIST} >= {LSH_LEAST})"
 OTHER_JOINS_SQL = {
+    "lsh_join": f"WITH {sql.lsh_places(LSH, LSH_LEAST)}, {_LSH_NEAR} SELECT a AS query_id, b AS item_id, score FROM near "
+    "WHERE EXISTS (SELECT 1 FROM meet WHERE meet.a = near.a AND meet.b = near.b)",
+    "lsh_recall": f"WITH {sql.lsh_places(LSH, LSH_LEAST)}, {_LSH_NEAR}, f AS (SELECT *, EXISTS (SELECT 1 FROM meet WHERE meet.a = near.a AND meet.b = near.b) AS found "
+    "FROM near), c AS (SELECT count(*) AS near, count(*) FILTER (found) AS found, count(*) FILTER (a <> b) AS others, count(*) FILTER (found AND a <> b) AS found_others FROM f), "
+    "m AS (SELECT count(*) AS compared FROM meet), t AS (SELECT count(*) AS n FROM embeddings) "
+    "SELECT near, found, compared, round(found / near, 6) AS recall, round(CASE WHEN others > 0 THEN found_others / others ELSE 1 END, 6) AS recall_others, "
+    "round(compared / (n * n), 6) AS share FROM c, m, t",
+    "lsh_search": sql.brute_sql(sql.DOCS, LSH_SPEC, sql.HITS)
+    .replace("AS h0", "AND EXISTS (SELECT 1 FROM meet WHERE meet.a = q.item_id AND meet.b = i.item_id) AS h0")
+    .replace("WITH items AS", f"WITH {sql.lsh_places(LSH, LSH_LEAST)}, items AS"),
     "radial_join": f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_DIST} AS score FROM embeddings a, embeddings b "
     f"WHERE {_DIST} >= 0.42",
     "term_idf": "WITH v AS (SELECT 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT 'type', p_type FROM part "
@@ -671,8 +711,8 @@ SOURCES_SQL = {
     f"FROM part WHERE {_BROKEN}",
     "ingest_counts": f"SELECT count(*) FILTER (NOT ({_BROKEN})) AS successful, count(*) AS total FROM part",
     "file_status": f"SELECT 'success' AS status, count(*) FILTER (NOT ({_BROKEN})) AS successful, count(*) FILTER ({_BROKEN}) AS failed FROM part",
-    "drop_vectors": "SELECT d.doc_id AS item_id, d.text, d.lang, d.source, CAST(e.label AS VARCHAR) AS label FROM documents d "
-    "JOIN embeddings e ON d.doc_id = e.vec_id",
+    "drop_vectors": "SELECT d.doc_id AS item_id, d.text, d.lang, d.source, coalesce(CAST(e.label AS VARCHAR), '') AS label FROM documents d "
+    "LEFT JOIN embeddings e ON d.doc_id = e.vec_id",
     "next_index_name": f"SELECT printf('item%03d-u-1', max(CAST(regexp_extract(index_name, '^item([0-9]+)', 1) AS INT)) + 1) AS index_name FROM {_CATALOG_SQL}",
     "create_index": f"SELECT index_name, file_name, 'Title' AS vectors, user_id FROM {_CATALOG_SQL} UNION ALL "
     f"SELECT printf('item%03d-u-1', count(*)), 'new.xlsx', 'Long Title', 'u-1' FROM {_CATALOG_SQL}",
@@ -703,13 +743,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries of the corpus operators and their SQL; none if that part is not installed."""
+    """Queries of the corpus operators and their SQL; none if that part, or a module that only it needs, is not installed."""
     try:
         import corpus_pipeline
         from kinmatch.llm import queries as corpus
     except ModuleNotFoundError as x:
-        if x.name not in ("corpus_pipeline", "kinmatch.llm", "kinmatch.llm.queries"):
-            raise
+        print(f"corpus queries are left out: {x}", file=sys.stderr)
         return {}, {}
     found = {**corpus.QUERIES, "pipeline": corpus_pipeline.run}
     return found, corpus.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.operators.cells import choose_pivots, nearest_cell, visited_cells
+from kinmatch.operators.lsh import Lsh
 from kinmatch.operators.scoring import Scoring, result_schema, score_block
 
 
@@ -79,14 +80,17 @@ def add_cells(
 
 
 def block_join(
-    q: DataFrame, items: DataFrame, keys: list[str], scoring: Scoring, gen: int | None, **sizes
+    q: DataFrame, items: DataFrame, keys: list[str], scoring: Scoring, gen: int | None, lsh: Lsh | None = None, **sizes
 ) -> DataFrame:
-    """Score all pairs that meet on `keys`; see `score_block` for the result."""
+    """Score all pairs that meet on `keys`; see `score_block` for the result. With `lsh` the keys hold its buckets."""
     q, items, block, partitions = split_blocks(q, items, keys, **sizes)
     schema = result_schema(q.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return score_block(left, right, scoring, gen)
+        once = None
+        if lsh is not None and left.num_rows:
+            once = lsh.judged_here(left.column("_table")[0].as_py(), scoring.clauses[gen].min_score)
+        return score_block(left, right, scoring, gen, once)
 
     left = q.repartition(partitions, *block).groupBy(*block)
     right = items.repartition(partitions, *block).groupBy(*block)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.operators.blocks import add_cells, block_join
+from kinmatch.operators.lsh import Lsh, add_buckets
 from kinmatch.operators.scoring import Scoring
 from kinmatch.operators.search import MatchOptions
 from kinmatch.plans.spec import Clause
@@ -48,30 +45,13 @@ def _vector_sides(queries, items, vector: str, min_score: float, query_id: str,
     return scoring, q, items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v0")).where("v0 is not null")
 
 
-def _near_pairs(q, side, keys: list[str], scoring: Scoring, nq: int, ni: int, opt: MatchOptions) -> DataFrame:
+def _near_pairs(q, side, keys: list[str], scoring: Scoring, nq: int, ni: int, opt: MatchOptions, lsh: Lsh | None = None) -> DataFrame:
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
     rows = min(opt.block_rows, 2048)  # every near pair of a block is held at once
-    pairs = block_join(q, side, keys, scoring, 0, nq=nq, ni=ni, block_rows=rows, spread=spread)
+    pairs = block_join(q, side, keys, scoring, 0, lsh, nq=nq, ni=ni, block_rows=rows, spread=spread)
     return pairs.where(F.col("item_id").isNotNull()).select("query_id", "item_id", "score")
 
 
-def _projection_buckets(vector: Column, tables: int, bucket_length: float, seed: int) -> Column:
-    """array<bigint>: per hash table the bucket of the vector's projection on a random unit direction."""
-
-    @F.pandas_udf("array<bigint>")
-    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            if not len(s):
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(s.to_numpy()).astype(np.float64)
-            directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables))
-            directions /= np.sqrt((directions * directions).sum(0))
-            yield pd.Series(list(np.floor(x @ directions / bucket_length).astype(np.int64)))
-
-    return buckets(vector)
-
-
 def lsh_radial_join(
     queries: DataFrame,
     items: DataFrame,
@@ -79,17 +59,22 @@ def lsh_radial_join(
     min_score: float,
     query_id: str = "item_id",
     item_id: str = "item_id",
-    tables: int = 8,
-    bucket_length: float = 1.0,
-    seed: int = 42,
+    lsh: Lsh | None = None,
     options: MatchOptions | None = None,
 ) -> DataFrame:
-    """Approximate radial join by random projections (p-stable hashing, Datar et al. 2004): only rows that
-    share a bucket in some table are compared. Every pair given is right, some may be missing. Buckets of
-    any size are split into blocks like other keys, and only near pairs leave a block."""
-    opt = options or MatchOptions()
+    """Approximate radial join: only rows that share a bucket in some hash table are compared. Every pair given is right and
+    given once, some may be missing. Buckets of any size are split into blocks like other keys, and only near pairs leave
+    a block."""
+    opt, lsh = options or MatchOptions(), lsh or Lsh()
     scoring, q, side = _vector_sides(queries, items, vector, min_score, query_id, item_id, opt)
-    hashed = F.posexplode(_projection_buckets(F.col("v0"), tables, bucket_length, seed)).alias("_table", "_bucket")
-    nq, ni = queries.count() * tables, items.count() * tables
-    pairs = _near_pairs(q.select("*", hashed), side.select("*", hashed), ["_table", "_bucket"], scoring, nq, ni, opt)
-    return pairs.distinct()
+    q, side = add_buckets(q, side, "v0", min_score, lsh)
+    nq, ni = queries.count() * lsh.tables, items.count() * lsh.tables
+    return _near_pairs(q, side, ["_table", "_bucket"], scoring, nq, ni, opt, lsh)
+
+
+def lsh_comparisons(queries: DataFrame, items: DataFrame, vector: str, min_score: float, lsh: Lsh | None = None) -> DataFrame:
+    """One row (compared): the row pairs that `lsh_radial_join` compares, once for each bucket in which they meet."""
+    lsh = lsh or Lsh()
+    q, side = (df.select(F.col(vector).alias("v")).where("v is not null") for df in (queries, items))
+    q, side = (df.groupBy("_table", "_bucket").agg(F.count("*").alias(n)) for df, n in zip(add_buckets(q, side, "v", min_score, lsh), ("nq", "ni")))
+    return q.join(side, ["_table", "_bucket"]).agg(F.coalesce(F.sum(F.col("nq") * F.col("ni")), F.lit(0)).alias("compared"))

@@ -12,6 +12,7 @@ heavy  exact clauses whose matches `value_groups.py` counts for this query
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,6 +135,7 @@ class _Tile:
     own: tuple[np.ndarray, np.ndarray] | None
     vectors: dict[int, tuple]  # clause -> (query matrix, has vector, item matrix, has vector)
     codes: dict[int, tuple]  # clause -> (query codes, item codes)
+    once: Callable | None = None  # which near pairs are judged here, if they can meet elsewhere too
 
     def part(self, a: slice, b: slice) -> _Tile:
         return _Tile(
@@ -144,6 +146,7 @@ class _Tile:
             None if self.own is None else (self.own[0][a], self.own[1][b]),
             {i: (qv[a], qo[a], xv[b], xo[b]) for i, (qv, qo, xv, xo) in self.vectors.items()},
             {i: (left[a], right[b]) for i, (left, right) in self.codes.items()},
+            self.once,
         )
 
     def pairs(self, gen: int | None, scoring: Scoring, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -157,6 +160,9 @@ class _Tile:
             qi, xi = np.nonzero(q_ok & ((self.act >> gen) & 1 == 1))[0], np.nonzero(x_ok)[0]
             r, c, sim = _near(qv[qi], xv[xi], scoring.clauses[gen].min_score)
             r, c = qi[r], xi[c]
+            if self.once is not None and r.size:
+                here = self.once(qv, xv, r, c)
+                r, c, sim = r[here], c[here], sim[here]
         else:
             left, right = self.codes[gen]
             r, c = np.nonzero((left[:, None] == right[None, :]) & ((self.act >> gen) & 1 == 1)[:, None])
@@ -213,7 +219,7 @@ def _score_tile(t: _Tile, scoring: Scoring, gen: int | None, items: int):
     return (r[pick], c[pick], score[pick], hits[pick], bases[pick]), counts
 
 
-def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None) -> pa.Table:
+def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None, once: Callable | None = None) -> pa.Table:
     """Rows (query_id, item_id, score, hits, bases, n): the kept pairs (bases: unweighted score per clause),
     then per query one row with a null item and the number of pairs it adds to the query's total. With
     `gen` only pairs which that clause hits, and no earlier generator of the query, are taken; without it
@@ -237,6 +243,7 @@ def score_block(q: pa.Table, items: pa.Table, scoring: Scoring, gen: int | None)
         _codes(q.column("query_id"), items.column("item_id")) if scoring.exclude_self else None,
         vectors,
         codes,
+        once,
     )
     found = []
     for a in range(0, q.num_rows, _TILE):

@@ -7,6 +7,8 @@ The pairs to score come from the most restrictive source that keeps the result w
   `value_groups.py` for frequent exact values; a pair found by several sources counts under the first;
 * a handful of queries: one pass over the items.
 
+With `lsh` the radial joins are approximate: rows meet in hash buckets (`lsh.py`) in place of cells.
+
 A query's blank values switch its clauses off, also required ones, so queries are routed one by one.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kinmatch.operators.blocks import add_cells, block_join, partitions_for, scan_join
+from kinmatch.operators.lsh import Lsh, add_buckets
 from kinmatch.operators.scoring import Scoring
 from kinmatch.operators.term_stats import add_counts, idf, idf_value, slot_counts
 from kinmatch.operators.value_groups import count_rows, frequent_only, group_patterns, value_group_matches
@@ -40,6 +43,7 @@ class MatchOptions:
     scan_queries: int = 16  # up to this many queries are scored in one pass over the items
     rare_rows: int | None = None  # exact values on at most this many items are joined directly
     cell_rows: int = 65536  # wanted items per metric cell; fewer items than twice this use no cells
+    lsh: Lsh | None = None  # approximate: pairs of a vector clause meet in hash buckets; found ones are right, some are missed
     broadcast_bytes: int = 8 << 20  # largest value-count table of a field that is broadcast
     stage_rows: int = 1_000_000  # from this many queries on, prepared queries are written once and reread
 
@@ -297,11 +301,15 @@ def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: in
         q, items = q.withColumn("_need", F.col(name)), items.where(F.col(name) != "").withColumn("_need", F.col(name))
         keys.append("_need")
     cells = ni // opt.cell_rows
-    if clause.kind == "vector" and clause.min_score > 0 and cells >= 2:
+    lsh = opt.lsh if clause.kind == "vector" and clause.min_score > 0 else None
+    if lsh:
+        q, items = add_buckets(q, items, column, clause.min_score, lsh)
+        keys += ["_table", "_bucket"]
+    elif clause.kind == "vector" and clause.min_score > 0 and cells >= 2:
         q, items = add_cells(q, items, column, clause.min_score, cells)
         keys.append("_cell")
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
-    return block_join(q, items, keys, scoring, gen, nq=nq, ni=ni, block_rows=opt.block_rows, spread=spread)
+    return block_join(q, items, keys, scoring, gen, lsh, nq=nq, ni=ni, block_rows=opt.block_rows, spread=spread)
 
 
 def _required_values(items: DataFrame, spec: SearchSpec, few) -> DataFrame:

@@ -26,14 +26,18 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+#: The temporary folder of this process, for local sessions without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    """The folder named by spark.checkpoint.dir. Only a local session without one gets a temporary folder, which is kept
+    here: the setting cannot be changed in a running session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="kinmatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.get("root") or _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="kinmatch-"))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)

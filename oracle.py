@@ -5,8 +5,8 @@ from __future__ import annotations
 from kinmatch.plans.spec import SearchSpec
 
 DOCS = (
-    "SELECT d.doc_id AS item_id, d.text, d.lang, d.source, CAST(e.label AS VARCHAR) AS label, "
-    "CAST(e.embedding AS DOUBLE[]) AS textEmbedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+    "SELECT d.doc_id AS item_id, d.text, d.lang, d.source, coalesce(CAST(e.label AS VARCHAR), '') AS label, "
+    "CAST(e.embedding AS DOUBLE[]) AS textEmbedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
 )
 BLANK_DOCS = (
     "SELECT d.doc_id AS item_id, d.text, CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE d.lang END AS lang, "
@@ -80,3 +80,19 @@ def explain_select(spec: SearchSpec) -> str:
         for i, c in enumerate(spec.clauses)
     ]
     return " UNION ALL ".join(rows)
+
+
+def lsh_places(lsh, min_score: float, dimension: int = 64) -> str:
+    """CTEs `place` (vec_id, t, p, x), rebuilding the projections of `kinmatch/operators/lsh.py` from integer arithmetic,
+    and `meet` (a, b, t), the tables in which query a visits the bucket of item b."""
+    h = "(t * 7919 + p * 104729 + j * 611953) % 2147483647"
+    number = f"CAST((({h}) * ({h})) % 2147483647 % {{}} AS DOUBLE)"
+    width = f"(sqrt(1000 * 1001 / 3.0) * {lsh.width} * sqrt(1 / {min_score} - 1))"
+    return f"""
+dir AS (SELECT t, p, list_transform(range(1, {dimension + 1}), lambda j: {number.format(2001)} - 1000) AS w,
+    {number.replace("j * 611953", "0").format(1000)} / 1000 AS off FROM range(0, {lsh.tables}) a(t), range(0, {lsh.projections}) b(p)),
+place AS MATERIALIZED (SELECT vec_id, t, p, list_inner_product(CAST(embedding AS DOUBLE[]), w) / {width} + off AS x FROM embeddings, dir),
+border AS (SELECT *, floor(x) AS home, x - floor(x) AS share FROM place),
+meet AS (SELECT a.vec_id AS a, b.vec_id AS b, a.t FROM border a JOIN border b ON a.t = b.t AND a.p = b.p GROUP BY ALL
+    HAVING bool_and(b.home = a.home OR b.home = a.home + CASE WHEN a.share < 0.5 THEN -1 ELSE 1 END)
+    AND sum(CASE WHEN b.home = a.home THEN 0 ELSE power(least(a.share, 1 - a.share), 2) END) <= {lsh.probe})"""

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from kinmatch import Clause, MatchOptions, SearchSpec, match
 from kinmatch.operators.grouping import group_items
+from kinmatch.operators.lsh import Lsh
 from kinmatch.operators.radial import lsh_radial_join, radial_join, similarity
 
 SCHEMA = "item_id string, v array<float>"
@@ -60,10 +61,26 @@ def test_cells_skip_pairs(vectors, spark):
 def test_lsh_pairs_are_right(vectors):
     df, _ = vectors
     exact = {(r.query_id, r.item_id) for r in radial_join(df, df, "v", 0.6).collect()}
-    near = {(r.query_id, r.item_id) for r in lsh_radial_join(df, df, "v", 0.6, tables=10, bucket_length=2.0).collect()}
+    near = {(r.query_id, r.item_id) for r in lsh_radial_join(df, df, "v", 0.6, lsh=Lsh(10, 2, 2.0, 0.1)).collect()}
     assert near <= exact and len(near) > 0.8 * len(exact)
 
 
+def test_lsh_pairs_come_once_and_are_those_that_meet(vectors):
+    """The buckets that rows are dealt to agree with the rule that says where pairs meet."""
+    df, rows = vectors
+    lsh = Lsh(4, 3, 1.5, 0.2)
+    x = np.array([r.v for r in df.orderBy("item_id").collect()], float)
+    names = [r.item_id for r in df.orderBy("item_id").collect()]
+    place = lsh.places(x, 0.6)
+    want = set()
+    for i in range(len(x)):
+        meets = lsh.meeting(np.repeat(place[i : i + 1], len(x), axis=0), place).any(axis=1)
+        near = 1 / (1 + ((x - x[i]) ** 2).sum(axis=1)) >= 0.6
+        want |= {(names[i], names[j]) for j in np.flatnonzero(meets & near)}
+    got = [(r.query_id, r.item_id) for r in lsh_radial_join(df, df, "v", 0.6, lsh=lsh).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_similarity_expression(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 2.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(similarity(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 1.0]

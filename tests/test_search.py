@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from brute import search
 from kinmatch import Clause, SearchSpec, match
+from kinmatch.operators.lsh import Lsh
 
 V, E = "vector", "exact"
 SCHEMA = T.StructType(
@@ -69,10 +70,11 @@ ROUTES = {
     "rare": dict(scan_queries=0, rare_rows=12, block_rows=8, cell_rows=10, broadcast_bytes=0),
     "direct": dict(scan_queries=0, rare_rows=10**6, block_rows=64, cell_rows=40, stage_rows=1),
     "scan": dict(scan_queries=100),
+    "lsh": dict(scan_queries=0, rare_rows=12, block_rows=16, lsh=Lsh(6, 2, 3.0, 0.4)),  # wide buckets: nothing is missed here
 }
 
 
-CASES = [(n, r) for n in SPECS for r in ROUTES if r != "direct" or n in ("must_vector", "must_term", "should_only")]
+CASES = [(n, r) for n in SPECS for r in ROUTES if r not in ("direct", "lsh") or n in ("must_vector", "must_term", "should_only")]
 
 
 @pytest.mark.parametrize("name,route", CASES)
