@@ -6,11 +6,11 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.functions.text import camel_case
 from kinmatch.plans.spec import EXACT, IGNORE, VECTOR, SearchSpec
+from kinmatch.sources.versions import VersionedTable
 
 CATALOG_SCHEMA = (
     "index_name string, file_name string, vector_fields array<string>, exact_fields array<string>, "
@@ -79,7 +79,7 @@ def create_index(
     created = F.col("known").isNull()
     text = F.when(created, F.lit("created successfully")).otherwise(F.lit("already exists"))
     status = flagged.select("index_name", created.alias("created"), F.concat_ws(" ", F.lit("Index"), "index_name", text).alias("message"))
-    return Created(catalog.unionByName(rows), rows, status)
+    return Created(catalog.unionByName(rows, allowMissingColumns=True), rows, status)
 
 
 def index_config(catalog: DataFrame, index_name: str) -> DataFrame:
@@ -139,10 +139,35 @@ def role_tags(columns: DataFrame, vector_fields: Column, exact_fields: Column, c
     return columns.select(column, tag.alias("role"))
 
 
-def initial_roles(columns: list[str]) -> dict[str, str]:
-    """Every column starts as IGNORE."""
-    return dict.fromkeys(columns, IGNORE)
+class StoredCatalog:
+    """The catalog as a versioned table: every change publishes a new version, with one row for each index."""
 
+    def __init__(self, root: str) -> None:
+        self.table = VersionedTable(root)
 
-def editor_columns(roles: Mapping[str, str]) -> list[str]:
-    return [camel_case(h) for h, r in roles.items() if r != IGNORE]
+    def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        found = self.table.read(spark, version)
+        return empty_catalog(spark) if found is None else found
+
+    def create(self, spark: SparkSession, roles: Mapping[str, str], user_id: str, file_name: str = "", index_name: str | None = None, now: dt.datetime | None = None) -> DataFrame:
+        """Add an index, unless the name exists; returns (index_name, created, message). The number in a name that is not given is
+        drawn again if another writer was faster."""
+        status: list[Row] = []
+
+        def edit(catalog: DataFrame | None) -> DataFrame | None:
+            made = create_index(empty_catalog(spark) if catalog is None else catalog, roles, user_id, file_name, index_name, now)
+            status[:] = made.status.collect()
+            return made.catalog if status[0]["created"] else None
+
+        self.table.change(spark, edit)
+        return spark.createDataFrame(status, "index_name string, created boolean, message string")
+
+    def save_spec(self, spark: SparkSession, index_name: str, spec: SearchSpec, now: dt.datetime | None = None) -> int:
+        """Replace the specification of one index; unknown indexes raise a LookupError."""
+
+        def edit(catalog: DataFrame | None) -> DataFrame:
+            if catalog is None or index_config(catalog, index_name).isEmpty():
+                raise LookupError(f"no index {index_name}")
+            return save_spec(catalog, index_name, spec, now)
+
+        return self.table.change(spark, edit)

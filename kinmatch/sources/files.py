@@ -130,5 +130,6 @@ def widen_workbooks(parsed: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = 10) -> DataFrame:
-    """First rows of a file; the header is `df.columns`."""
-    return df.drop(*POSITION).limit(rows)
+    """First rows of a file in order of position; the header is `df.columns`."""
+    place = [c for c in POSITION if c in df.columns]
+    return (df.orderBy(*place) if place else df).limit(rows).drop(*POSITION)

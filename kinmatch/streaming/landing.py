@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinmatch.functions.embed import Embedder
+from kinmatch.functions.text import camel_case
 from kinmatch.plans.spec import EXACT, VECTOR
 from kinmatch.sources.files import (
     string_schema,
@@ -103,7 +104,7 @@ def ingest_stream(
                     file_errors=errors,
                     positioned=is_workbook,
                 )
-                tables.write_batch(result, group, files)
+                tables.write_batch(result, group, files, [camel_case(h) for h in exacts])
             if any(r.index_name is None for r in seen):
                 _write_misplaced(batch, tables, is_workbook)
         finally:
