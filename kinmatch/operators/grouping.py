@@ -78,3 +78,27 @@ def group_items(
         own = own.join(out.select("item_id"), "item_id", "left_anti")
         out = out.unionByName(own.select("item_id", F.col("item_id").alias("group_id")))
     return out
+
+
+def extend_groups(groups: DataFrame, matches: DataFrame, left: str = "query_id", right: str = "item_id", items: DataFrame | None = None, item_id: str = "item_id", max_rounds: int = 50) -> DataFrame:
+    """(item_id, group_id) after more matches: `groups` as `group_items` gave them, every known group being one node now.
+
+    The rounds work on the new matches alone, mapped to groups, and only items of groups that change are given another
+    group. A group's id is its smallest item id, so the result is that of grouping all matches at once."""
+    spark, folder = groups.sparkSession, scratch_folder(groups.sparkSession, "more-groups")
+    one, two = (groups.select(F.col("item_id").alias(f"_{s}"), F.col("group_id").alias(f"_group_{s}")) for s in "ab")
+    edges = matches.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    edges = edges.join(one, edges.a == one._a, "left").join(two, edges.b == two._b, "left")
+    edges = edges.select(F.coalesce("_group_a", "a").alias("a"), F.coalesce("_group_b", "b").alias("b")).distinct()
+    moved = group_items(edges, "a", "b", max_rounds=max_rounds).select(F.col("item_id").alias("node"), F.col("group_id").alias("to"))
+    # Stored, so that both sides of the joins are shuffled and a group with very many items can be split.
+    moved.write.parquet(folder)
+    moved = spark.read.schema(moved.schema).parquet(folder)
+    kept = groups.join(moved.where("node <> to"), groups.group_id == moved.node, "left")
+    kept = kept.select("item_id", F.coalesce("to", "group_id").alias("group_id"))
+    known = groups.select(F.col("group_id").alias("node")).distinct()
+    out = kept.unionByName(moved.join(known, "node", "left_anti").select(F.col("node").alias("item_id"), F.col("to").alias("group_id")))
+    if items is not None:
+        rest = items.select(F.col(item_id).alias("item_id")).join(out.select("item_id"), "item_id", "left_anti")
+        out = out.unionByName(rest.select("item_id", F.col("item_id").alias("group_id")))
+    return out

@@ -57,9 +57,7 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grid_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Squared distance of all rows of q from all rows of x."""
-    if q.shape[1] != x.shape[1] and len(q) and len(x):
-        raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
+    """Squared distance of all rows of q from all rows of x, by norms and inner products."""
     d2 = q @ x.T
     d2 *= -2.0
     d2 += (q * q).sum(1)[:, None]
@@ -71,33 +69,40 @@ def _similarity(d2: np.ndarray) -> np.ndarray:
     return np.round(1.0 / (1.0 + np.maximum(d2, 0.0)), _SIM_DIGITS)
 
 
-def _near(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs with similarity >= `least`, and that similarity. Distances sort out most pairs, the rest are
-    tested exactly."""
-    d2 = _grid_distance(q, x)
-    loose = least - 1e-11
-    r, c = np.nonzero(d2 <= 1.0 / loose - 1.0) if loose > 0 else np.nonzero(~np.isnan(d2))
-    sim = _similarity(d2[r, c])
-    near = sim >= least
-    return r[near], c[near], sim[near]
+def _same_dimension(q: np.ndarray, x: np.ndarray) -> None:
+    if q.shape[1] != x.shape[1] and len(q) and len(x):
+        raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
 
 
 def _pair_similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Similarity of the row pairs (r, c)."""
-    if not r.size:
-        return np.zeros(0)
-    if r.size * 8 > len(q) * len(x):
-        return _similarity(_grid_distance(q, x)[r, c])
-    if q.shape[1] != x.shape[1]:
-        raise ValueError(f"query vectors have dimension {q.shape[1]}, item vectors {x.shape[1]}")
+    """Similarity of the row pairs (r, c), from the differences of their components: the one formula for what is reported."""
+    _same_dimension(q, x)
     d2 = np.empty(r.size)
-    for start in range(0, r.size, 65536):
-        part = slice(start, start + 65536)
+    for start in range(0, r.size, 32768):
+        part = slice(start, start + 32768)
         diff = q[r[part]] - x[c[part]]
         d2[part] = np.einsum("ij,ij->i", diff, diff)
     return _similarity(d2)
 
 
+def _near(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs with similarity >= `least`, and that similarity. Distances from norms and inner products sort out most pairs:
+    their error is bounded by the norms, so that long vectors lose no pair. The rest are tested by differences."""
+    _same_dimension(q, x)
+    loose = least - 1e-11
+    if loose <= 0:
+        r, c = (a.reshape(-1) for a in np.indices((len(q), len(x))))
+    else:
+        d2 = _grid_distance(q, x)
+        # dimension + 4 roundings of sums whose terms add up to at most (|q| + |x|) ** 2
+        size = np.sqrt((q * q).sum(1))[:, None] + np.sqrt((x * x).sum(1))[None, :]
+        slack = (q.shape[1] + 4) * np.finfo(float).eps * size * size
+        r, c = np.nonzero(d2 - slack <= 1.0 / loose - 1.0)
+    sim = _pair_similarity(q, x, r, c)
+    near = sim >= least
+    return r[near], c[near], sim[near]
+
+
 def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Equal values of two columns as equal integers."""
     both = pa.chunked_array(left.chunks + right.chunks, left.type).combine_chunks()

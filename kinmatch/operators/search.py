@@ -22,17 +22,21 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from kinmatch.operators.blocks import add_cells, block_join, partitions_for, scan_join
 from kinmatch.operators.lsh import Lsh, add_buckets
 from kinmatch.operators.scoring import Scoring
-from kinmatch.operators.term_stats import add_counts, idf, idf_value, slot_counts
-from kinmatch.operators.value_groups import count_rows, frequent_only, group_patterns, value_group_matches
+from kinmatch.operators.topk import top_rows
+from kinmatch.operators.term_stats import add_counts, idf, idf_value, slot_counts, stored_counts, stored_total
+from kinmatch.operators.value_groups import count_rows, frequent_only, group_patterns, subset_count, value_group_matches
 from kinmatch.plans.spec import SearchSpec
 from kinmatch.session import scratch_folder
 
 
+#: With more exact fields the queries, which are joined with the counts of each, are prepared once and reread.
+STAGED_FIELDS = 8
+
+
 @dataclass(frozen=True)
 class MatchOptions:
     term_scoring: str = "bm25"  # or "constant": every exact hit has base 1
@@ -42,6 +46,7 @@ class MatchOptions:
     block_rows: int = 8192  # rows per side of a block pair; larger blocks repeat rows less often
     scan_queries: int = 16  # up to this many queries are scored in one pass over the items
     rare_rows: int | None = None  # exact values on at most this many items are joined directly
+    subsets: int = 512  # of exact fields that are counted one by one; with more, value combinations are compared in blocks
     cell_rows: int = 65536  # wanted items per metric cell; fewer items than twice this use no cells
     lsh: Lsh | None = None  # approximate: pairs of a vector clause meet in hash buckets; found ones are right, some are missed
     broadcast_bytes: int = 8 << 20  # largest value-count table of a field that is broadcast
@@ -54,6 +59,7 @@ class MatchResult:
     pairs: DataFrame  # best rows and counts per block, see `score_block`
     queries: DataFrame  # (query_id)
     merged: bool  # whether a pair can occur twice in `pairs`
+    items: int  # number of items searched
     kept: list[DataFrame] = field(default_factory=list)  # small persisted helper tables
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> MatchResult:
@@ -70,8 +76,7 @@ class MatchResult:
         if self.merged:
             best = F.max(F.struct("score", F.bit_count("hits"), "hits", "bases")).alias("b")
             rows = rows.groupBy("query_id", "item_id").agg(best).select("query_id", "item_id", "b.score", "b.hits", "b.bases")
-        order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
-        ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.spec.size)
+        ranked = top_rows(rows, ["query_id"], [F.col("score").desc(), "item_id"], self.spec.size, "rank", "item_id", self.items)
         return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
     @cached_property
@@ -194,6 +199,7 @@ def match(
     query_id: str = "item_id",
     item_id: str = "item_id",
     index_name: str | None = None,
+    counts: DataFrame | None = None,
     options: MatchOptions | None = None,
     **changes,
 ) -> MatchResult:
@@ -201,7 +207,8 @@ def match(
 
     Both tables hold the spec's exact fields and `<field>Embedding` vectors; ids are unique in each. A vector clause
     whose column a table lacks, and an exact one that both lack, raise a ValueError.
-    `index_name` restricts both to one index. Options can also be given as keywords. Small jobs run at
+    `index_name` restricts both to one index. `counts` are value counts kept by ingest (`Tables.term_counts`); without them
+    the items are counted. Options can also be given as keywords. Small jobs run at
     once (counts, and which clauses the queries use); the search itself is lazy."""
     opt = replace(options or MatchOptions(), **changes)
     if opt.term_scoring not in ("bm25", "constant"):
@@ -216,23 +223,26 @@ def match(
     q = _prepare(queries, spec, query_id, "query_id", False)
     nq = queries.count()
     if nq <= opt.scan_queries:
-        return _scan(q, items, spec, item_id, opt)
+        return _scan(q, items, spec, item_id, opt, counts)
 
-    total = nq if queries.sameSemantics(items) else items.count()
+    total = stored_total(counts) if counts is not None else nq if queries.sameSemantics(items) else items.count()
     kept: list[DataFrame] = []
     slots = [f"t{s}" for s in range(len(exact))]
     plain = q
     if exact and (rare or opt.term_scoring == "bm25"):
-        counts = slot_counts(side, slots).persist(StorageLevel.MEMORY_AND_DISK)
+        fields = dict(zip(slots, (spec.clauses[i].field for i in exact)))
+        counts = stored_counts(counts, fields) if counts is not None else slot_counts(side, slots)
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(counts)
         q = add_counts(q, counts, slots, opt.broadcast_bytes)
     q = _with_bases(_route(q, spec, rare), spec, opt, total)
-    if nq >= opt.stage_rows:
+    staged = nq >= opt.stage_rows or len(exact) > STAGED_FIELDS
+    if staged:
         path = scratch_folder(q.sparkSession, "queries")
         q.write.parquet(path)
         q = q.sparkSession.read.parquet(path)
     # without rare values the routes do not depend on the counts, so the profile can skip them
-    routed = q if rare or nq >= opt.stage_rows else _route(plain, spec, 0)
+    routed = q if rare or staged else _route(plain, spec, 0)
     return _batch(q, routed, side, spec, nq, total, rare, kept, opt)
 
 
@@ -244,7 +254,7 @@ def _batch(q, routed, side, spec: SearchSpec, nq: int, total: int, rare: int, ke
     used = [(gen, on, with_key) for gen in range(len(spec.clauses)) for on, with_key in ((keyed, True), (f"NOT ({keyed})", False))]
     profile = routed.selectExpr(
         "count_if(act = 0) AS blank",
-        "collect_set(CASE WHEN heavy <> 0 THEN heavy END) AS heavy",
+        "coalesce(bit_or(heavy), 0L) AS heavy",
         *[f"count_if({_on('gens', gen)} AND {on})" for gen, on, _ in used],
     ).first()
 
@@ -253,18 +263,24 @@ def _batch(q, routed, side, spec: SearchSpec, nq: int, total: int, rare: int, ke
         if n:
             part = q if n == nq else q.where(f"{_on('gens', gen)} AND {on}")
             parts.append(_pass(part, side, scoring, gen, key if with_key else None, n, total, opt))
-    grouped = group_patterns(scoring, profile["heavy"])
+    grouped = profile["heavy"] != 0
+    if grouped:
+        patterns = None
+        if subset_count(scoring, profile["heavy"]) <= opt.subsets:
+            masks = routed.select("heavy").where("heavy <> 0").distinct().collect()  # at most `subsets` rows
+            patterns = group_patterns(scoring, [m.heavy for m in masks])
+        grouped = patterns is None or len(patterns) > 0
     if grouped:
         frequent = frequent_only(side, scoring, rare) if rare else side
-        parts.append(value_group_matches(q, frequent, scoring, grouped, partitions_for(q.sparkSession, nq)))
+        parts.append(value_group_matches(q, frequent, scoring, patterns, partitions_for(q.sparkSession, nq), total, opt.block_rows))
     ids = q.select("query_id") if rare else routed.select("query_id")
     pairs = reduce(DataFrame.unionByName, parts) if parts else count_rows(ids.limit(0), F.lit(0), side)
     if opt.match_all and profile["blank"]:
         pairs = _with_match_all(pairs, routed, side, scoring, total)
-    return MatchResult(spec, pairs, ids, bool(grouped) and len(parts) > 1, kept)
+    return MatchResult(spec, pairs, ids, bool(grouped) and len(parts) > 1, total, kept)
 
 
-def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: MatchOptions) -> MatchResult:
+def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: MatchOptions, counts: DataFrame | None = None) -> MatchResult:
     """A few queries: they are collected, and every item is scored against them in one pass."""
     scoring = Scoring.of(spec, opt.exclude_self)
     side = _prepare(items, spec, item_id, "item_id", True)
@@ -272,8 +288,13 @@ def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: M
     slots = [f"t{s}" for s in range(sum(c.kind == "exact" for c in spec.clauses))]
     wanted = [(s, v) for s in slots for v in few.column(s).unique().to_pylist() if v]
     counted = wanted if opt.term_scoring == "bm25" else []
-    found = side.agg(F.count("*"), *[F.count_if(F.col(s) == v) for s, v in counted]).first()
-    total, n = found[0], dict(zip(counted, found[1:]))
+    if counts is None:
+        found = side.agg(F.count("*"), *[F.count_if(F.col(s) == v) for s, v in counted]).first()
+        total, n = found[0], dict(zip(counted, found[1:]))
+    else:
+        fields = dict(zip(slots, (c.field for c in spec.clauses if c.kind == "exact")))
+        values = stored_counts(counts, fields).where(F.col("value").isin(sorted({v for _, v in counted}))) if counted else None
+        total, n = stored_total(counts), {(r.slot, r.value): r.n for r in values.collect()} if counted else {}
     zeros = pa.array([0] * few.num_rows, pa.int64())
     bases = [
         [opt.term_scale * (idf_value(n.get((s, v), 0), total) if opt.term_scoring == "bm25" else 1.0) for s, v in zip(slots, row)]
@@ -285,7 +306,7 @@ def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: M
     pairs = scan_join(few, narrowed, scoring, q.schema["query_id"].dataType.simpleString())
     if opt.match_all and 0 in few.column("act").to_pylist():
         pairs = _with_match_all(pairs, q, side, scoring, total)
-    return MatchResult(spec, pairs, q.select("query_id"), False)
+    return MatchResult(spec, pairs, q.select("query_id"), False, total)
 
 
 def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: int, opt: MatchOptions) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,24 @@ def term_stats(items: DataFrame, fields: list[str], total: int | None = None) ->
     return reduce(DataFrame.unionByName, parts).withColumn("idf", idf(F.col("n"), total))
 
 
+def stored_counts(counts: DataFrame, slots: Mapping[str, str]) -> DataFrame:
+    """(slot, value, n) from maintained counts (field, value, n); `slots` maps slots to fields."""
+    names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("slot")) for s, f in slots.items()])
+    wanted = counts.sparkSession.range(1).select(F.inline(names))
+    return counts.where("value <> ''").join(F.broadcast(wanted), "field").select("slot", "value", "n")
+
+
+def stored_total(counts: DataFrame) -> int:
+    """The number of items, which maintained counts keep under the field ''."""
+    return counts.where("field = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def stored_stats(counts: DataFrame, fields: list[str]) -> DataFrame:
+    """`term_stats` from maintained counts."""
+    rows = counts.where(F.col("field").isin(fields)).select("field", "value", "n")
+    return rows.withColumn("idf", idf(F.col("n"), stored_total(counts)))
+
+
 def slot_counts(items: DataFrame, slots: list[str]) -> DataFrame:
     """(slot, value, n) of prepared text columns, from one scan: counts are combined before the shuffle."""
     values = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("value")) for s in slots])

@@ -6,6 +6,11 @@ the lowest `keep` ids are kept. Any item among a query's best `keep` is among th
 combination it agrees on, since the items before it there score at least as high; the totals follow from
 the counts by inclusion and exclusion. Work grows with items + queries, not with their product, however
 frequent a value is.
+
+The number of field subsets doubles with every optional field. Beyond `subsets` of them the distinct value combinations
+of queries and items meet instead, in blocks (`combination_matches`): each combination of the items has a number of rows
+and a lowest id, so that a block pair yields totals and, best first, the combinations that can hold a query's best rows; ids
+are fetched for these alone. That work is linear in the fields, and rows that agree on every field count once.
 """
 
 from __future__ import annotations
@@ -15,12 +20,17 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from kinmatch.operators.scoring import DIGITS, Scoring
+from kinmatch.operators.blocks import split_blocks
+from kinmatch.operators.scoring import DIGITS, Scoring, _codes
+from kinmatch.operators.topk import top_rows
+from kinmatch.session import scratch_folder
 
 
 def _bits(clauses: Iterable[int]) -> int:
@@ -44,6 +54,12 @@ def group_patterns(scoring: Scoring, heavy_masks: Iterable[int]) -> dict[int, in
     return out
 
 
+def subset_count(scoring: Scoring, heavy: int) -> int:
+    """How many field subsets `group_patterns` can give for masks within `heavy`."""
+    optional = sum(1 for i, c in enumerate(scoring.clauses) if c.kind == "exact" and heavy >> i & 1)
+    return 1 << optional
+
+
 def _key(scoring: Scoring) -> tuple[list[str], Column, Column]:
     """Text columns; the key array under the row's pattern; and whether every field of it has a value."""
     exact = [i for i, c in enumerate(scoring.clauses) if c.kind == "exact"]
@@ -72,57 +88,53 @@ def frequent_only(items: DataFrame, scoring: Scoring, threshold: int) -> DataFra
     return items
 
 
-def _groups(items: DataFrame, cols: list[str], key: Column, whole: Column, patterns: Iterable[int], keep: int) -> DataFrame:
+def _groups(items: DataFrame, cols: list[str], key: Column, whole: Column, patterns: Iterable[int], keep: int, ni: int) -> DataFrame:
     """(pattern, key, n, ids): count and lowest `keep` ids of every value combination. Items are reduced to
     their distinct value combinations first, so that only those are spread over the field subsets; both
     windows are cut to `keep` rows per group before they are shuffled."""
     spread = F.explode(_patterns(patterns)).alias("pattern")
     counts = items.groupBy(*cols).agg(F.count("*").alias("n")).select("*", spread).where(whole)
     counts = counts.groupBy("pattern", key.alias("key")).agg(F.sum("n").alias("n"))
-    first = W.partitionBy(*cols).orderBy("item_id")
-    ids = items.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep).drop("_r")
+    ids = top_rows(items, cols, ["item_id"], keep, "_r", "item_id", ni).drop("_r")
     ids = ids.select("*", spread).where(whole).select("pattern", key.alias("key"), "item_id")
-    first = W.partitionBy("pattern", "key").orderBy("item_id")
-    ids = ids.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
+    ids = top_rows(ids, ["pattern", "key"], ["item_id"], keep, "_r", "item_id", ni)
     ids = ids.groupBy("pattern", "key").agg(F.collect_list("item_id").alias("ids"))
     return counts.join(ids, ["pattern", "key"])
 
 
-def value_group_matches(
-    q: DataFrame, items: DataFrame, scoring: Scoring, patterns: dict[int, int], partitions: int
-) -> DataFrame:
-    """Rows as from `score_block`, for the queries with a non-zero `heavy` mask; see `group_patterns`.
-    A query's total stands on the row of its best item here."""
-    cols, key, whole = _key(scoring)
-    keep = scoring.keep + (1 if scoring.exclude_self else 0)
-    must_mask = F.lit(_bits(i for i, c in enumerate(scoring.clauses) if c.occur == "must" and c.kind == "exact"))
+def _masked(scoring: Scoring, cols: list[str]) -> tuple[list[Column], Column]:
+    """Query values and bases under the mask of frequent clauses; others are blank and zero."""
     exact = [i for i, c in enumerate(scoring.clauses) if c.kind == "exact"]
-    items = items.select("item_id", *cols)
-    groups = _groups(items, cols, key, whole, patterns, keep)
 
-    # one row per distinct combination of frequent query values, then one per usable field subset
     def masked(i: int, value: Column, blank) -> Column:
         return F.when(F.col("heavy").bitwiseAND(F.lit(1 << i)) != 0, value).otherwise(F.lit(blank))
 
-    combos = q.where(F.col("heavy") != 0).select(
-        "query_id",
-        "heavy",
-        *[masked(i, F.col(c), "").alias(c) for i, c in zip(exact, cols)],
-        F.array(*[masked(i, F.col("base")[scoring.slot(i)], 0.0) for i in exact]).alias("base"),
-    )
+    values = [masked(i, F.col(c), "").alias(c) for i, c in zip(exact, cols)]
+    return values, F.array(*[masked(i, F.col("base")[scoring.slot(i)], 0.0) for i in exact]).alias("base")
+
+
+def _bases_of(scoring: Scoring, hits: str) -> list[Column]:
+    """Score of a hit by clause, from a column of hit bits and the bases of the exact clauses."""
+    zero, bases = F.lit(0.0), [F.lit(0.0)] * len(scoring.clauses)
+    for slot, i in enumerate(i for i, c in enumerate(scoring.clauses) if c.kind == "exact"):
+        bases[i] = F.when(F.col(hits).bitwiseAND(F.lit(1 << i)) != 0, F.col("base")[slot]).otherwise(zero)
+    return bases
+
+
+def _pattern_matches(asked: DataFrame, items: DataFrame, scoring: Scoring, cols: list[str], key: Column, whole: Column, patterns: dict[int, int], keep: int, partitions: int, ni: int) -> DataFrame:
+    """The best items of every combination of query values, by field subsets."""
+    must_mask = F.lit(_bits(i for i, c in enumerate(scoring.clauses) if c.occur == "must" and c.kind == "exact"))
+    combo = ["heavy", *cols]
+    groups = _groups(items, cols, key, whole, patterns, keep, ni)
+
+    # one row per distinct combination of frequent query values, then one per usable field subset
     usable = F.filter(
         _patterns(patterns),
         lambda p: (p.bitwiseAND(F.col("heavy")) == p)
         & (p.bitwiseAND(must_mask) == F.col("heavy").bitwiseAND(must_mask)),
     )
-    combo = ["heavy", *cols]
-    asked = combos.groupBy(*combo).agg(F.first("base").alias("base"))
     asked = asked.withColumn("pattern", F.explode(usable)).withColumn("key", key)
-
-    zero = F.lit(0.0)
-    bases = [zero] * len(scoring.clauses)
-    for slot, i in enumerate(exact):
-        bases[i] = F.when(F.col("pattern").bitwiseAND(F.lit(1 << i)) != 0, F.col("base")[slot]).otherwise(zero)
+    bases = _bases_of(scoring, "pattern")
     score = reduce(lambda a, b: a + b, [b * F.lit(float(c.weight)) for b, c in zip(bases, scoring.clauses)])
     signs = ", ".join(f"{p}L, {s}" for p, s in patterns.items())
     sign = F.try_element_at(F.expr(f"map({signs})"), F.col("pattern"))
@@ -139,9 +151,113 @@ def value_group_matches(
     best = F.max(F.struct("score", F.col("pattern").alias("hits"), "bases")).alias("best")
     found = found.withColumn("item_id", F.explode("ids")).groupBy(*combo, "item_id").agg(best, F.first("total").alias("total"))
     order = per_combo.orderBy(F.col("best.score").desc(), "item_id")
-    found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+
+
+def _score_combinations(scoring: Scoring, cols: list[str], keep: int):
+    """For query combinations against item combinations: the best `keep` of the latter by score and lowest id, and how many
+    items of the block match in all."""
+    exact = [(i, c) for i, c in enumerate(scoring.clauses) if c.kind == "exact"]
+    must = _bits(i for i, c in exact if c.occur == "must")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("least")
+        n = right.column("n").to_numpy()
+        codes = [_codes(left.column(c), right.column(c)) for c in cols]
+        heavy, rows = left.column("heavy").to_numpy(), ([], [], [], [])
+        base = np.stack(left.column("base").to_numpy()) if left.num_rows else np.zeros((0, len(cols)))
+        totals = np.zeros(left.num_rows, np.int64)
+        for a in range(0, left.num_rows if right.num_rows else 0, 256):
+            part = slice(a, a + 256)
+            shape = (len(heavy[part]), right.num_rows)
+            points, hits, optional, fits = np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape, np.int16), np.ones(shape, bool)
+            for slot, ((i, clause), (q, x)) in enumerate(zip(exact, codes)):
+                on = (heavy[part] >> i & 1 == 1)[:, None]
+                hit = on & (q[part][:, None] == x[None, :])
+                points += hit * (base[part, slot] * clause.weight)[:, None]
+                hits |= hit.astype(np.int64) << i
+                if clause.occur == "must":
+                    fits &= hit | ~on
+                else:
+                    optional += hit
+            wanted = np.where(heavy[part] & must != 0, scoring.min_should, max(scoring.min_should, 1))
+            fits &= optional >= wanted[:, None]
+            points = np.round(points, DIGITS)
+            totals[part] = fits @ n
+            for r in range(shape[0]):
+                at = np.flatnonzero(fits[r])
+                if len(at) > keep:
+                    at = at[points[r, at] >= np.partition(points[r, at], -keep)[-keep]]
+                at = at[np.lexsort((at, -points[r, at]))[:keep]]  # in order of the lowest id
+                for out, values in zip(rows, (np.full(len(at), a + r), at, points[r, at], hits[r, at])):
+                    out.append(values)
+        r, at, points, hits = (np.concatenate([np.zeros(0, t), *v]) for v, t in zip(rows, (np.int64, np.int64, float, np.int64)))
+        who = np.flatnonzero(totals)
+        none = lambda kind: pa.nulls(len(who), kind)
+        made = [
+            left.column("query_id").take(pa.array(np.concatenate([r, who]))),
+            pa.chunked_array([*right.column("item_id").take(pa.array(at)).chunks, none(pa.int64())]),
+            pa.chunked_array([*right.column("least").take(pa.array(at)).chunks, none(right.schema.field("least").type)]),
+            pa.chunked_array([pa.array(points), none(pa.float64())]),
+            pa.chunked_array([pa.array(hits), none(pa.int64())]),
+            pa.chunked_array([pa.nulls(len(r), pa.int64()), pa.array(totals[who])]),
+        ]
+        return pa.table(made, names=["query_id", "combination", "least", "score", "hits", "n"])
+
+    return score
+
+
+def _combination_matches(asked: DataFrame, items: DataFrame, scoring: Scoring, cols: list[str], keep: int, block_rows: int, rows: int) -> DataFrame:
+    """The best items of every combination of query values, by blocks of combinations."""
+    spark, folder = asked.sparkSession, scratch_folder(asked.sparkSession, "combinations")
+
+    def stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        df.write.parquet(f"{folder}/{name}")
+        found = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return found, found.count()
+
+    # ids are drawn once, when the combinations are stored
+    asked, nq = stored(asked.withColumn("query_id", F.monotonically_increasing_id()), "asked")
+    least = items.groupBy(*cols).agg(F.count("*").alias("n"), F.min("item_id").alias("least"))
+    known, ni = stored(least.withColumn("item_id", F.monotonically_increasing_id()), "known")
+    spread = 4 * spark.sparkContext.defaultParallelism
+    q, side, block, partitions = split_blocks(asked, known, [], nq, ni, block_rows, spread)
+    shape = f"query_id bigint, combination bigint, least {items.schema['item_id'].dataType.simpleString()}, score double, hits bigint, n bigint"
+    pairs = q.repartition(partitions, *block).groupBy(*block).cogroup(side.repartition(partitions, *block).groupBy(*block))
+    pairs, _ = stored(pairs.applyInArrow(_score_combinations(scoring, cols, keep), shape), "pairs")
+
+    best = top_rows(pairs.where("combination IS NOT NULL"), ["query_id"], [F.desc("score"), "least"], keep, "_r", "combination", ni).drop("_r", "n", "least")
+    ids = top_rows(items, cols, ["item_id"], keep, "_r", "item_id", rows).drop("_r")
+    ids, _ = stored(ids.join(known.select(*cols, F.col("item_id").alias("combination")), cols).select("combination", "item_id"), "ids")
+    ranked = top_rows(best.join(ids, "combination"), ["query_id"], [F.desc("score"), "item_id"], keep, "_r", "item_id", min(rows, keep * keep))
+    totals = pairs.where("combination IS NULL").groupBy("query_id").agg(F.sum("n").alias("total"))
+    found = ranked.join(totals, "query_id").join(asked, "query_id")
+    best = F.struct("score", "hits", F.array(*_bases_of(scoring, "hits")).alias("bases")).alias("best")
+    return found.select("heavy", *cols, "item_id", best, "total", "_r")
+
+
+def value_group_matches(
+    q: DataFrame, items: DataFrame, scoring: Scoring, patterns: dict[int, int] | None, partitions: int, ni: int, block_rows: int = 8192
+) -> DataFrame:
+    """Rows as from `score_block`, for the queries with a non-zero `heavy` mask. With `patterns` (see `group_patterns`) by
+    field subsets, without by combinations. A query's total stands on the row of its best item here."""
+    cols, key, whole = _key(scoring)
+    keep = scoring.keep + (1 if scoring.exclude_self else 0)
+    items = items.select("item_id", *cols)
+    values, base = _masked(scoring, cols)
+    combo = ["heavy", *cols]
+    combos = q.where(F.col("heavy") != 0).select("query_id", "heavy", *values, base)
+    asked = combos.groupBy(*combo).agg(F.first("base").alias("base"))
+    if patterns is None:
+        found = _combination_matches(asked, items, scoring, cols, keep, block_rows, ni)
+    else:
+        found = _pattern_matches(asked, items, scoring, cols, key, whole, patterns, keep, partitions, ni)
 
-    # back to the single queries
+    # Back to the single queries. The few rows found are stored, so that both sides of the join are shuffled and a
+    # combination that a third of all queries share can be split.
+    path = scratch_folder(q.sparkSession, "value-groups")
+    found.write.parquet(path)
+    found = q.sparkSession.read.schema(found.schema).parquet(path)
     rows = combos.drop("base").join(found, combo)
     own = F.col("query_id") == F.col("item_id") if scoring.exclude_self else F.lit(False)
     out = rows.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmatch import Clause, MatchOptions, SearchSpec, match
-from kinmatch.operators.grouping import group_items
+from kinmatch.operators.grouping import extend_groups, group_items
 from kinmatch.operators.lsh import Lsh
 from kinmatch.operators.radial import lsh_radial_join, radial_join, similarity
 
@@ -137,3 +137,26 @@ def test_groups(spark):
     items = spark.createDataFrame([(i,) for i in (1, 2, 9999)], "item_id bigint")
     more = {r.item_id: r.group_id for r in group_items(df.where("item_id < 100"), items=items).collect()}
     assert more[9999] == 9999 and more[1] == 0
+
+
+def test_groups_extended_equal_groups_at_once(spark):
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(70)] + [(0, k) for k in range(60, 80)]
+    for cut in (0, 30, len(edges)):
+        one, two = (spark.createDataFrame(e, "query_id bigint, item_id bigint") for e in (edges[:cut], edges[cut:]))
+        whole = spark.createDataFrame(edges, "query_id bigint, item_id bigint")
+        items = spark.range(125).withColumnRenamed("id", "item_id")
+        got = sorted(tuple(r) for r in extend_groups(group_items(one), two, items=items).collect())
+        assert got == sorted(tuple(r) for r in group_items(whole, items=items).collect())
+
+
+def test_top_rows_in_parts(spark, monkeypatch):
+    from kinmatch.operators import topk
+
+    df = spark.range(5000).selectExpr("id % 3 AS k", "id AS item_id", "(id * 7919) % 101 AS score")
+    whole = topk.top_rows(df, ["k"], [F.desc("score"), "item_id"], 1200, "r", "item_id", 5000)
+    monkeypatch.setattr(topk, "PART_ROWS", 500)
+    parts = topk.top_rows(df, ["k"], [F.desc("score"), "item_id"], 1200, "r", "item_id", 5000)
+    assert parts.columns == whole.columns and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    plan = parts._jdf.queryExecution().toString()
+    assert plan.count("Window [") >= 2

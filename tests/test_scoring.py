@@ -68,3 +68,22 @@ def test_best_of_many():
     score = rnd.integers(0, 5, 3000).astype(float)
     want = [i for k in range(6) for i in sorted(np.nonzero(r == k)[0], key=lambda i: (-score[i], c[i]))[:7]]
     assert sc._best(r, c, score, 7).tolist() == want
+
+
+@pytest.mark.parametrize("length", [1.0, 1e3, 1e6])
+def test_long_vectors_lose_no_pair(length):
+    """Copies, and pairs just above the threshold, are found whatever the norms and however many pairs a block has."""
+    from kinmatch.operators.scoring import _near, _pair_similarity
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 64))
+    x *= length / np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.standard_normal((300, 64))
+    step *= 0.999 / np.linalg.norm(step, axis=1, keepdims=True)
+    r, c, sim = _near(np.concatenate([x, x + step]), x, 0.5)
+    found = dict(zip(zip(r.tolist(), c.tolist()), sim.tolist()))
+    assert all(found[i, i] == 1.0 for i in range(300))
+    assert all(0.5 <= found[300 + i, i] < 0.51 for i in range(300))
+    pairs = np.array(list(found))
+    few = _pair_similarity(np.concatenate([x, x + step]), x, pairs[:5, 0], pairs[:5, 1])
+    assert few.tolist() == [found[tuple(p)] for p in pairs[:5].tolist()]

@@ -70,11 +70,13 @@ ROUTES = {
     "rare": dict(scan_queries=0, rare_rows=12, block_rows=8, cell_rows=10, broadcast_bytes=0),
     "direct": dict(scan_queries=0, rare_rows=10**6, block_rows=64, cell_rows=40, stage_rows=1),
     "scan": dict(scan_queries=100),
+    "combinations": dict(scan_queries=0, rare_rows=0, block_rows=16, cell_rows=10**9, subsets=0),
+    "rare_combinations": dict(scan_queries=0, rare_rows=12, block_rows=16, cell_rows=10**9, subsets=0),
     "lsh": dict(scan_queries=0, rare_rows=12, block_rows=16, lsh=Lsh(6, 2, 3.0, 0.4)),  # wide buckets: nothing is missed here
 }
 
 
-CASES = [(n, r) for n in SPECS for r in ROUTES if r not in ("direct", "lsh") or n in ("must_vector", "must_term", "should_only")]
+CASES = [(n, r) for n in SPECS for r in ROUTES if r not in ("direct", "lsh", "rare_combinations") or n in ("must_vector", "must_term", "should_only")]
 
 
 @pytest.mark.parametrize("name,route", CASES)
