@@ -22,6 +22,7 @@ class Clause:
     occur: str = "should"  # "must" or "should"
     weight: float = 1.0
     min_score: float = 0.0  # vector clauses only
+    label: str = ""  # the name that a stored clause gives itself
 
     def __post_init__(self):
         if self.kind not in ("vector", "exact") or self.occur not in ("must", "should"):
@@ -35,7 +36,7 @@ class Clause:
 
     @property
     def name(self) -> str:
-        return f"{self.column}_function"
+        return self.label or f"{self.column}_function"
 
 
 def _leading_int(value, default: int) -> int:
@@ -43,6 +44,12 @@ def _leading_int(value, default: int) -> int:
     return int(found.group(1)) if found else default
 
 
+def edited_number(value, default: float) -> float:
+    """What the editor makes of a typed number: its leading digits count; nothing, text and zero give the default."""
+    found = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", str(value)) if value is not None else None
+    return (float(found.group(1)) if found else 0.0) or default
+
+
 def _clause(occur: str, node) -> Clause | None:
     scored = node.get("function_score") if isinstance(node, dict) else None
     if not scored:
@@ -53,9 +60,9 @@ def _clause(occur: str, node) -> Clause | None:
     if query.get("knn"):
         column, body = next(iter(query["knn"].items()))
         least = body.get("min_score")
-        return Clause(source_name(column), "vector", occur, weight, 0.0 if least is None else float(least))
+        return Clause(source_name(column), "vector", occur, weight, 0.0 if least is None else float(least), scored.get("_name") or "")
     if query.get("term"):
-        return Clause(next(iter(query["term"])), "exact", occur, weight)
+        return Clause(next(iter(query["term"])), "exact", occur, weight, 0.0, scored.get("_name") or "")
     return None
 
 
@@ -108,7 +115,9 @@ class SearchSpec:
             doc = json.loads(text) if isinstance(text, str) else text
         except json.JSONDecodeError as e:
             raise ValueError(f"invalid JSON in search configuration: {e}") from e
-        boolean = (doc.get("query") or {}).get("bool") or {}
+        boolean = (doc.get("query") or {}).get("bool") if isinstance(doc, Mapping) else None
+        if not isinstance(boolean, Mapping):
+            raise ValueError("search configuration has no query.bool")
         found = (_clause(occur, node) for occur in ("must", "should") for node in boolean.get(occur) or [])
         return cls(
             tuple(c for c in found if c),
@@ -129,6 +138,22 @@ class SearchSpec:
         gone = set(remove)
         return replace(self, clauses=tuple(c for f, c in sorted(table.items()) if f not in gone))
 
+    def edited(self, rows: Mapping[str, Mapping]) -> SearchSpec:
+        """The specification after changes in the editor: `rows` maps fields to what was typed, any of kind (vector, exact or
+        none), placement, weight and min_score. A weight of zero, or one that is no number, becomes 1; a least
+        similarity that is no number becomes 0; a field switched to vector starts at 0; fields set to none go."""
+        table, gone = self.fields(), {f for f, r in rows.items() if r.get("kind") == "none"}
+        changes = []
+        for name, typed in rows.items():
+            if name in gone:
+                continue
+            old = table.get(name) or Clause(name, typed.get("kind", "exact"), "must")
+            kind = typed.get("kind", old.kind)
+            weight = edited_number(typed["weight"], 1.0) if "weight" in typed else old.weight
+            least = edited_number(typed["min_score"], 0.0) if "min_score" in typed else old.min_score
+            changes.append(Clause(name, kind, typed.get("placement", old.occur), weight, least if kind == "vector" else 0.0))
+        return self.with_fields(changes, gone)
+
     # ---- output -------------------------------------------------------------------------------
 
     def to_dict(self, named: bool = False) -> dict:

@@ -107,3 +107,22 @@ def test_function_embedder_skips_blanks(spark):
 
     rows = embed.function_embedder(lengths, batch_rows=1)(df, "c", "v").orderBy("i").collect()
     assert [r.v for r in rows] == [[2.0, 1.0], None, None, [4.0, 1.0]]
+
+
+def test_scores_round_their_exact_value(spark):
+    """As toFixed does: ties of the binary value go up, decimal look-alikes of ties do not."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [0.125, 1.005, 2.675, 0.375, 0.5, 0.0, 0.995, 0.9999, 12345.678, 1 / 3, 1e-9, 0.045, 1.045, 8.345, 99.995, -1.125, 1e9 + 0.375, None]
+    values += [k / 64 + k / 977 for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3):
+        want = [None if v is None else str(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in values]
+        got = [r[0] for r in df.select(display.score_text(F.col("v"), digits)).collect()]
+        assert got == [w if w is None or Decimal(w) or not w.startswith("-") else w for w in want]
+
+
+def test_row_ids_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a", "", "b"), ("ab", None, None)], "x string, y string, z string")
+    ids = [r[0] for r in df.select(display.row_id(F.col("x"), F.col("y"), F.col("z"))).collect()]
+    assert len(set(ids)) == 5 and None not in ids

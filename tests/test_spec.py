@@ -92,3 +92,25 @@ def test_spec_table(spark):
     assert two["title"] == ("should", 0.1, 9.0) and len(two) == 14
     assert not [r for r in rows if r.index_name == "i3"]
     assert {(r.size, r.explain, r.min_should) for r in rows} == {(15, True, 0)}
+
+
+def test_stored_names_are_kept_and_bool_is_needed():
+    clause = {"function_score": {"query": {"term": {"genre": "genre"}}, "weight": 2, "_name": "mine"}}
+    spec = SearchSpec.from_json({"query": {"bool": {"should": [clause]}}})
+    assert spec.clauses[0].name == "mine" and spec.clauses[0].weight == 2
+    assert spec.to_dict(named=True)["query"]["bool"]["should"][0]["function_score"]["_name"] == "mine"
+    for bad in ("{}", "[]", '{"query": {}}', '{"query": {"bool": null}}', "{"):
+        with pytest.raises(ValueError):
+            SearchSpec.from_json(bad)
+
+
+@pytest.mark.parametrize("typed,want", [("0", 1.0), ("", 1.0), ("x", 1.0), ("2.5kg", 2.5), (" 3", 3.0), (None, 1.0), (0, 1.0), ("-2e1", None), (".5", 0.5), ("0.0", 1.0)])
+def test_typed_weights(typed, want):
+    rows = {"a": {"kind": "vector", "weight": typed}, "b": {"kind": "none"}}
+    start = SearchSpec((Clause("a", "exact", "should", 4.0), Clause("b", "exact")))
+    if want is None:
+        with pytest.raises(ValueError):
+            start.edited(rows)
+        return
+    (made,) = start.edited(rows).clauses
+    assert (made.kind, made.occur, made.weight, made.min_score) == ("vector", "should", want, 0.0)
