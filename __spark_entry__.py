@@ -16,11 +16,11 @@ import oracle as sql  # noqa: E402
 import workbook_sample  # noqa: E402
 from kinmatch import Clause, SearchSpec, match  # noqa: E402
 from kinmatch.functions import cells, display, embed, text  # noqa: E402
-from kinmatch.operators.grouping import group_items  # noqa: E402
+from kinmatch.operators.grouping import extend_groups, group_items  # noqa: E402
 from kinmatch.operators.related import embed_queries, map_queue, related_items
 from kinmatch.operators.lsh import Lsh  # noqa: E402
 from kinmatch.operators.radial import lsh_comparisons, lsh_radial_join, radial_join  # noqa: E402
-from kinmatch.operators.term_stats import term_stats  # noqa: E402
+from kinmatch.operators.term_stats import stored_stats, term_stats  # noqa: E402
 from kinmatch.plans.spec_table import spec_fields  # noqa: E402
 from kinmatch.session import scratch_folder  # noqa: E402
 from kinmatch.sources import catalog as cat  # noqa: E402
@@ -185,6 +185,12 @@ def _by_index(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(related_items(cat.save_spec(catalog, "item001-en", HYBRID), items, items, "item001-en"))
 
 
+def _grouped_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches arrive in two batches; the second also joins groups of the first."""
+    edges, first = _edges(spark, sf), F.expr("(query_id + item_id) % 3 <> 0")
+    return extend_groups(group_items(edges.where(first)), edges.where(~first))
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings")
     return radial_join(vectors, vectors, "embedding", 0.45, "vec_id", "vec_id")
@@ -281,6 +287,60 @@ SEARCH_SQL = {
     ),
 }
 
+LARGE = SearchSpec((Clause("brand", "exact", "must"), Clause("type", "exact", "should", 0.5), Clause("size", "exact", "should", 2.0)), 1500)
+
+
+def _hot_brand(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of which three quarters share one brand."""
+    return _parts(spark, sf).withColumn("brand", F.when(F.col("item_id") % 4 != 0, F.lit("hot")).otherwise(F.col("brand")))
+
+
+def _large_size(spark: SparkSession, sf: str) -> DataFrame:
+    """1,500 hits for every twentieth part, against all parts."""
+    items = _hot_brand(spark, sf)
+    return _hits(match(items.where("item_id % 20 IN (0, 1)"), items, LARGE))
+
+
+_HOT_SQL = sql.PARTS.replace("p_brand AS brand", "CASE WHEN p_partkey % 4 <> 0 THEN 'hot' ELSE p_brand END AS brand")
+SEARCHES["large_size"] = _large_size
+SEARCH_SQL["large_size"] = sql.brute_sql(_HOT_SQL, LARGE, sql.HITS, queries="SELECT * FROM items WHERE item_id % 20 IN (0, 1)")
+
+LONG_LEAST = 0.5
+LONG_SPEC = SearchSpec((Clause("text", "vector", "must", 1.0, LONG_LEAST), Clause("lang", "exact", "should", 1.0)), 10)
+
+
+def _long_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose vectors have lengths from 1 to a million."""
+    longer = F.pow(F.lit(10.0), (F.col("item_id") % 7).cast("double"))
+    return _docs(spark, sf).withColumn("textEmbedding", F.transform("textEmbedding", lambda x: (x.cast("double") * longer).cast("float")))
+
+
+SEARCHES["long_vectors"] = _search(_long_vectors, LONG_SPEC, _hits)
+SEARCH_SQL["long_vectors"] = sql.brute_sql(
+    sql.DOCS.replace("CAST(e.embedding AS DOUBLE[])", "CAST(CAST(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * power(10, d.doc_id % 7)) AS FLOAT[]) AS DOUBLE[])"), LONG_SPEC, sql.HITS
+)
+
+MANY = 20
+MANY_FIELDS = SearchSpec(tuple(Clause(f"f{k}", "exact", "should", 1 + k / 8) for k in range(MANY)), 10, False, 2)
+_MANY_ROWS = 0  # no value is rare: all go through the combinations
+
+
+def _many_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with 20 fields of few values each; about half of the cells are blank."""
+    key = F.col("p_partkey")
+    value = lambda k: ((key + F.col("p_size")) * (k + 7) % (3 + k)).cast("string")
+    cells = [F.when((key + F.lit(k * k)) * 7919 % 1009 % 2 == 0, F.lit("")).otherwise(value(k)).alias(f"f{k}") for k in range(MANY)]
+    return _table(spark, sf, "part").select(key.alias("item_id"), *cells)
+
+
+MANY_SQL = "SELECT p_partkey AS item_id, " + ", ".join(
+    f"CASE WHEN (p_partkey + {k * k}) * 7919 % 1009 % 2 = 0 THEN '' ELSE CAST((p_partkey + p_size) * {k + 7} % {3 + k} AS VARCHAR) END AS f{k}" for k in range(MANY)
+) + " FROM part"
+SEARCHES["many_fields"] = _search(_many_fields, MANY_FIELDS, _hits, rare_rows=_MANY_ROWS)
+SEARCHES["many_fields_summary"] = _search(_many_fields, MANY_FIELDS, _summary, rare_rows=_MANY_ROWS)
+SEARCH_SQL["many_fields"] = sql.brute_sql(MANY_SQL, MANY_FIELDS, sql.HITS)
+SEARCH_SQL["many_fields_summary"] = sql.brute_sql(MANY_SQL, MANY_FIELDS, sql.SUMMARY)
+
 # ---- similarity, statistics, grouping -----------------------------------------------------------------
 
 _DIST = "round(1 / (1 + power(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2)), 6)"
@@ -326,13 +386,43 @@ def _idf(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select("field", "value", "n", F.round("idf", 6).alias("idf"))
 
 
+def _counted_parts(spark: SparkSession, sf: str) -> Tables:
+    """Parts ingested as two files, one of them twice, with value counts kept beside the items."""
+    tables = Tables(scratch_folder(spark, "tables"))
+    source = F.concat(F.lit("file-"), (F.col("p_partkey") % 2).cast("string"))
+    raw = _raw_parts(spark, sf).withColumn("source_path", source)
+    for name in ("file-0", "file-1", "file-0"):
+        made = ing.ingest(raw.where(F.col("source_path") == name), ROLES, index_name="item001-u", positioned=True)
+        tables.write_batch(made, ["item001-u"], [name], ["pBrand", "pType", "pSize"])
+    return tables
+
+
+def _kept_idf(spark: SparkSession, sf: str) -> DataFrame:
+    stats = stored_stats(_counted_parts(spark, sf).term_counts(spark, "item001-u"), ["pBrand", "pType", "pSize"])
+    return stats.select("field", "value", "n", F.round("idf", 6).alias("idf"))
+
+
+COUNTED = SearchSpec((Clause("pBrand", "exact"), Clause("pType", "exact", "should", 0.7), Clause("pSize", "exact", "should", 3.0)), 15)
+
+
+def _kept_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The search takes its statistics from the kept counts."""
+    tables = _counted_parts(spark, sf)
+    key = F.col("pPartkey").cast("bigint").alias("item_id")
+    items = tables.read(spark, "items").select(key, "pBrand", "pType", "pSize")
+    return _hits(match(items, items, COUNTED, counts=tables.term_counts(spark, "item001-u")))
+
+
 OTHER_JOINS: dict[str, Query] = {
     "radial_join": _radial,
     "lsh_join": _lsh,
     "lsh_recall": _lsh_recall,
     "lsh_search": _lsh_hits,
     "term_idf": _idf,
+    "term_idf_incremental": _kept_idf,
+    "kept_counts_search": _kept_search,
     "group_items": lambda spark, sf: group_items(_edges(spark, sf)),
+    "group_items_incremental": _grouped_twice,
 }
 _LSH_NEAR = f"near AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS score FROM embeddings a, embeddings b WHERE {_DIST} >= {LSH_LEAST})"
 OTHER_JOINS_SQL = {
@@ -356,6 +446,11 @@ OTHER_JOINS_SQL = {
     "SELECT a AS item_id, min(b) AS group_id FROM reach GROUP BY a",
 }
 
+_PART_FIELD = "CASE field WHEN 'brand' THEN 'pBrand' WHEN 'type' THEN 'pType' ELSE 'pSize' END"
+OTHER_JOINS_SQL["term_idf_incremental"] = f"SELECT * REPLACE ({_PART_FIELD} AS field) FROM ({OTHER_JOINS_SQL['term_idf']})"
+OTHER_JOINS_SQL["kept_counts_search"] = sql.brute_sql(sql.PARTS, PARTS, sql.HITS)
+OTHER_JOINS_SQL["group_items_incremental"] = OTHER_JOINS_SQL["group_items"]
+
 # ---- functions ----------------------------------------------------------------------------------------
 
 
@@ -443,7 +538,7 @@ FUNCTIONS: dict[str, Query] = {
         lambda: display.score_text(F.col("p_retailprice") / 64).alias("score"),
         lambda: display.score_text(F.col("p_retailprice") / 64, 3).alias("max_score"),
     ),
-    "row_id": _select("part", "p_partkey", lambda: display.row_id(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("item_id")),
+    "row_id": _select("part", "p_partkey", lambda: display.row_id(F.col("p_name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")), F.col("p_size")).alias("item_id")),
     "hashed_embedding": _hashed("part", "p_partkey", "p_name"),
     "hashed_embedding_texts": _hashed("documents", "doc_id", "text"),
     "stored_embedding": _stored_vectors,
@@ -488,9 +583,9 @@ FUNCTIONS_SQL = {
     "iso_timestamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM events",
     "display_truncate": "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS shown FROM documents",
     "display_blank": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_size % 5 AS VARCHAR) END AS shown FROM part",
-    "score_format": "SELECT p_partkey, CAST(CAST(CAST(p_retailprice / 64 AS DECIMAL(30,12)) AS DECIMAL(18,2)) AS VARCHAR) AS score, "
-    "CAST(CAST(CAST(p_retailprice / 64 AS DECIMAL(30,12)) AS DECIMAL(18,3)) AS VARCHAR) AS max_score FROM part",
-    "row_id": "SELECT p_partkey, sha256(length(p_name) || ':' || p_name || length(p_brand) || ':' || p_brand || "
+    "score_format": "WITH s AS (SELECT p_partkey, CAST(printf('%.30f', p_retailprice / 64) AS DECIMAL(38,30)) AS exact FROM part) "
+    "SELECT p_partkey, CAST(CAST(exact AS DECIMAL(18,2)) AS VARCHAR) AS score, CAST(CAST(exact AS DECIMAL(18,3)) AS VARCHAR) AS max_score FROM s",
+    "row_id": "SELECT p_partkey, sha256(length(p_name) || ':' || p_name || CASE WHEN p_partkey % 5 = 0 THEN '-:' ELSE length(p_brand) || ':' || p_brand END || "
     "length(CAST(p_size AS VARCHAR)) || ':' || p_size) AS item_id FROM part",
     "hashed_embedding": _hashed_sql("part", "p_partkey", "p_name"),
     "hashed_embedding_texts": _hashed_sql("documents", "doc_id", "text"),
@@ -646,6 +741,72 @@ def _saved_spec(spark: SparkSession, sf: str) -> DataFrame:
     return fields.groupBy("index_name").agg(F.max("size").alias("size"), F.count("*").alias("fields"))
 
 
+def _catalog_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored catalog: loaded by key in two halves that overlap, an index added, one that exists refused, two changed, read back."""
+    stored, rows = cat.StoredCatalog(scratch_folder(spark, "catalog")), _catalog(spark, sf)
+    key = F.substring("index_name", 5, 3).cast("int")
+    stored.table.replace(rows.where(key % 3 != 0).withColumn("file_name", F.lit("old.xlsx")).drop("updated_at"), ["index_name"])
+    stored.table.replace(rows.where(key % 3 != 1).withColumn("pages", key), ["index_name"])
+    stored.create(spark, _NEW_ROLES, "u-1", "new.xlsx")
+    stored.create(spark, _NEW_ROLES, "u-2", "new.xlsx", "item007-machinery")
+    stored.save_spec(spark, "item001-machinery", HYBRID)
+    stored.save_spec(spark, "item007-machinery", HYBRID)
+    reloaded = cat.StoredCatalog(stored.table.root).read(spark)
+    sizes = spec_fields(reloaded).groupBy("index_name").agg(F.max("size").alias("size"), F.count("*").alias("fields"))
+    versions = F.lit(stored.table.latest(spark)["version"]).alias("version")
+    return reloaded.join(sizes, "index_name").select("index_name", "file_name", "pages", "size", "fields", versions)
+
+
+def _spec_rows(spark: SparkSession, spec: SearchSpec, keys: tuple = (), schema: str = "") -> DataFrame:
+    rows = [(*keys, c.field, c.kind, c.occur, c.name, c.weight, c.min_score, spec.size, spec.explain, spec.min_should) for c in spec.clauses]
+    return spark.createDataFrame(rows, schema + "field string, kind string, placement string, name string, weight double, min_score double, size int, explain boolean, min_should int")
+
+
+def _headers(spark: SparkSession, sf: str) -> list[str]:
+    """Column headers of a made-up workbook: the order priorities."""
+    found = _table(spark, sf, "orders").select(F.regexp_replace("o_orderpriority", "^[0-9]-", "").alias("h")).distinct()
+    return sorted(r.h for r in found.collect())
+
+
+def _default_spec(spark: SparkSession, sf: str) -> DataFrame:
+    roles = {h: ("VECTOR", "EXACT", "IGNORE")[len(h) % 3] for h in _headers(spark, sf)}
+    return _spec_rows(spark, SearchSpec.from_roles(roles))
+
+
+def _required_spec(spark: SparkSession, sf: str) -> DataFrame:
+    headers = [text.camel_case(h) for h in _headers(spark, sf)]
+    vectors = {h: (len(h) / 16, len(h) / 2) for h in headers if len(h) % 2}
+    made = SearchSpec.vectors_required(vectors, {h: len(h) / 4 for h in headers if h not in vectors}, 7, 1)
+    return _spec_rows(spark, SearchSpec.from_json(made.to_json()))
+
+
+def _reset_spec(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits that were not saved are gone once the stored specification is loaded again."""
+    stored = cat.StoredCatalog(scratch_folder(spark, "catalog"))
+    stored.table.replace(_catalog(spark, sf), ["index_name"])
+    index = stored.read(spark).agg(F.max("index_name")).first()[0]
+    cat.load_spec(stored.read(spark), index).edited({"title": {"kind": "none"}, "genre": {"weight": "7"}})
+    return _spec_rows(spark, cat.load_spec(stored.read(spark), index), (index,), "index_name string, ")
+
+
+def _edited_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights typed in the editor, saved and loaded again: 0 and what is no number become 1."""
+    sizes = _table(spark, sf, "part").select(F.col("p_size").cast("string").alias("s")).distinct().collect()  # fifty sizes
+    typed = {f"f{r.s}": {"kind": "exact", "placement": "should", "weight": ("0", "", f"{r.s}.5x", " " + r.s, "x" + r.s)[int(r.s) % 5]} for r in sizes}
+    spec = SearchSpec.from_json(SearchSpec().edited(typed).to_json())
+    return _spec_rows(spark, spec).select("field", "weight")
+
+
+def _own_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Clause names that a stored specification brings along."""
+    stored = PARTS_TWO.to_dict(named=True)
+    for clause in stored["query"]["bool"]["should"][:2]:
+        clause["function_score"]["_name"] = "same " + next(iter(clause["function_score"]["query"]["term"]))
+    del stored["query"]["bool"]["should"][2]["function_score"]["_name"]
+    parts = _parts(spark, sf)
+    return _names(match(parts, parts, SearchSpec.from_json(stored)))
+
+
 def _queue(spark: SparkSession, sf: str) -> DataFrame:
     orders = _table(spark, sf, "orders")
     return orders.select(
@@ -685,6 +846,12 @@ SOURCES: dict[str, Query] = {
     "catalog_by_user": lambda spark, sf: cat.indexes_by_creation(_catalog(spark, sf), "building").select("index_name", "file_name"),
     "list_user_indexes": lambda spark, sf: cat.list_indexes(_catalog(spark, sf), "building"),
     "save_spec": _saved_spec,
+    "catalog_roundtrip": _catalog_roundtrip,
+    "default_spec": _default_spec,
+    "required_spec": _required_spec,
+    "reset_spec": _reset_spec,
+    "edited_weights": _edited_weights,
+    "own_clause_names": _own_names,
     "spec_fields": lambda spark, sf: spec_fields(_catalog(spark, sf)),
     "role_tags": _role_tags,
     "queue_page": lambda spark, sf: queue_page(_queue(spark, sf), "item003-u"),
@@ -692,7 +859,27 @@ SOURCES: dict[str, Query] = {
 }
 
 _BROKEN = "p_partkey % 13 = 0"
+_HEADERS_SQL = (
+    "(SELECT h, length(h) AS n, array_to_string(list_transform(string_split(h, ' '), lambda w, i: CASE WHEN i = 1 THEN lower(w) "
+    "ELSE upper(w[1]) || lower(w[2:]) END), '') AS f FROM (SELECT DISTINCT regexp_replace(o_orderpriority, '^[0-9]-', '') AS h FROM orders))"
+)
 SOURCES_SQL = {
+    "default_spec": "SELECT f AS field, CASE n % 3 WHEN 0 THEN 'vector' ELSE 'exact' END AS kind, 'should' AS placement, "
+    "CASE n % 3 WHEN 0 THEN f || 'Embedding_function' ELSE f || '_function' END AS name, CAST(1 AS DOUBLE) AS weight, CASE n % 3 WHEN 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS min_score, "
+    f"15 AS size, true AS explain, 0 AS min_should FROM {_HEADERS_SQL} WHERE n % 3 < 2",
+    "required_spec": f"WITH h AS (SELECT f, length(f) AS n FROM {_HEADERS_SQL}) SELECT f AS field, CASE WHEN n % 2 = 1 THEN 'vector' ELSE 'exact' END AS kind, CASE WHEN n % 2 = 1 THEN 'must' ELSE 'should' END AS placement, "
+    "CASE WHEN n % 2 = 1 THEN f || 'Embedding_function' ELSE f || '_function' END AS name, CASE WHEN n % 2 = 1 THEN n / 2 ELSE n / 4 END AS weight, "
+    f"CASE WHEN n % 2 = 1 THEN n / 16 ELSE 0 END AS min_score, 7 AS size, false AS explain, 1 AS min_should FROM h",
+    "reset_spec": f"WITH c AS (SELECT index_name, c_nationkey FROM {_CATALOG_SQL} ORDER BY index_name DESC LIMIT 1) SELECT index_name, field, kind, placement, name, "
+    "CASE field WHEN 'title' THEN CAST(c_nationkey AS DOUBLE) WHEN 'genre' THEN 1.1 ELSE 1 END AS weight, CASE WHEN kind = 'vector' THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS min_score, "
+    "10 AS size, true AS explain, 1 AS min_should FROM c, (VALUES ('title', 'vector', 'must', 'titleEmbedding_function'), ('genre', 'exact', 'should', 'genre_function'), "
+    "('year', 'exact', 'should', 'year_function')) f(field, kind, placement, name)",
+    "edited_weights": "SELECT DISTINCT 'f' || p_size AS field, CAST(CASE p_size % 5 WHEN 2 THEN p_size + 0.5 WHEN 3 THEN p_size ELSE 1 END AS DOUBLE) AS weight FROM part",
+    "own_clause_names": sql.brute_sql(sql.PARTS, PARTS_TWO, sql.NAMES).replace("'brand_function'", "'same brand'").replace("'type_function'", "'same type'"),
+    "catalog_roundtrip": f"WITH c AS (SELECT index_name, CAST(index_name[5:7] AS INT) AS k, file_name FROM {_CATALOG_SQL}), n AS (SELECT index_name, CASE WHEN k % 3 = 1 THEN 'old.xlsx' "
+    "ELSE file_name END AS file_name, CASE WHEN k % 3 <> 1 THEN k END AS pages, CASE WHEN index_name IN ('item001-machinery', 'item007-machinery') THEN 15 ELSE 10 END AS size, "
+    "CAST(3 AS BIGINT) AS fields FROM c UNION ALL SELECT printf('item%03d-u-1', max(CAST(regexp_extract(index_name, '^item([0-9]+)', 1) AS INT)) + 1), 'new.xlsx', NULL, 15, 2 FROM c) "
+    "SELECT *, CAST(5 AS BIGINT) AS version FROM n",
     "file_preview": "SELECT * FROM part ORDER BY p_partkey LIMIT 10",
     "file_types": "WITH f AS (SELECT 'file' || p_partkey || ['.xlsx', '.xls', '.csv', '.XLSX', '.xlsx.zip'][p_partkey % 5 + 1] AS file_name, "
     "CASE WHEN p_size % 2 = 0 THEN 'application/vnd.ms-excel' ELSE 'text/csv' END AS media_type FROM part) "
