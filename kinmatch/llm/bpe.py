@@ -38,6 +38,9 @@ WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+
 class Bpe(ChunkEncoder):
     """Encoder and decoder of one vocabulary file."""
 
+    #: Words remembered beside the chunks, which are single words mostly and are remembered as such.
+    WORDS_LIMIT = 100_000
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             saved = json.load(f)
@@ -94,14 +97,14 @@ class Bpe(ChunkEncoder):
                     heapq.heappush(queue, (found[0], h, found[1]))
         return [x for x in ids if x is not None]
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str, remember: bool = True) -> tuple[int, ...]:
         """Ids of one word of the pattern."""
         found = self.known_words.get(word)
         if found is None:
             data = word.encode()
             symbols = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
             found = tuple(self.merge([s for s in symbols if s is not None]))
-            if len(self.known_words) < self.LIMIT and len(word) <= self.LONGEST:
+            if remember and len(self.known_words) < self.WORDS_LIMIT and len(word) <= self.LONGEST:
                 self.known_words[word] = found
         return found
 
@@ -110,7 +113,8 @@ class Bpe(ChunkEncoder):
         text = unicodedata.normalize("NFC", text)
         # Character by character: the final sigma has no rule of its own here.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return [i for w in self.words.findall(text) for i in self.word(w)]
+        found = self.words.findall(text)
+        return [i for w in found for i in self.word(w, len(found) > 1)]
 
     def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
         return {c: np.array(self.plain(c), np.uint32).tobytes() for c in chunks}
@@ -131,33 +135,49 @@ def bpe(path: str) -> Bpe:
     return cache[key]
 
 
+def _id_lists(coder: Bpe, texts: pa.Array) -> pa.ListArray:
+    found = coder.encode(texts.fill_null("").to_pylist())
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _texts(coder: Bpe, ids: pa.Array) -> pa.Array:
+    return pa.array([coder.decode(x) if x else "" for x in ids.to_pylist()], pa.string())
+
+
+def _mapped(docs: DataFrame, keep: list[str], made: dict[str, T.DataType], pieces, columns) -> DataFrame:
+    """The kept columns with those that `columns` makes of each piece of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns(batch)], [*keep, *made])
+
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(*m) for m in made.items()]]))
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """The rows with the ids of each text."""
     keep = [c for c in docs.columns if c != out]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
-        for batch in slices(batches, text):
-            found = coder.encode(batch.column(text).fill_null("").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, out])
-
-    shape = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(encode, shape)
+    return _mapped(docs, keep, {out: _IDS}, lambda b: slices(b, text), lambda b: [_id_lists(bpe(path), b.column(text))])
 
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", rows: int = 500) -> DataFrame:
     """The rows with the text of their ids; null ids decode to ""."""
     keep = [c for c in docs.columns if c != out]
+    pieces = lambda batches: (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+    return _mapped(docs, keep, {out: T.StringType()}, pieces, lambda b: [_texts(bpe(path), b.column(ids))])
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The rows with the ids of each text and the text of these ids in place of the text, by one Python worker for each core."""
+    keep = [c for c in docs.columns if c not in (text, ids, decoded)]
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                batch = whole.slice(i, rows)
-                texts = [coder.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, out])
+    def both(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = _id_lists(bpe(path), batch.column(text))
+        return [found, _texts(bpe(path), found)]
 
-    return docs.mapInArrow(decode, T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.StringType())]))
+    return _mapped(docs, keep, {ids: _IDS, decoded: T.StringType()}, lambda b: slices(b, text), both)

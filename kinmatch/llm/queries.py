@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm.bpe import decode_ids, encode_texts
+from kinmatch.llm.bpe import round_trip
 from kinmatch.llm.embedding_duplicates import embedding_duplicates
 from kinmatch.llm.filter_audit import filter_audit
 from kinmatch.llm.lexical_search import lexical_search
@@ -62,7 +62,7 @@ def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode_ids(encode_texts(_documents(spark, sf).select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = round_trip(_documents(spark, sf).select("doc_id", "text"), path)
     digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
