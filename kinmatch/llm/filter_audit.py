@@ -15,8 +15,9 @@ that of a document with a smaller id, so a document that arrives late may change
 4. Every micro-batch writes the changes to the part counters, under its number, so that a batch that is run again after a
    failure replaces its own. The counters are their sum, and the report is made from them.
 
-State lives in RocksDB and, like the counters, in the shared scratch folder; nothing is collected. Counters have one row for
-each part, mask and labels, however many documents there are.
+State lives in the session's state store (some 60 bytes for each different text; with RocksDB as
+spark.sql.streaming.stateStore.providerClass it may exceed memory) and, like the counters, in the shared scratch folder; nothing is
+collected. Counters have one row for each part, mask and labels, however many documents there are.
 
 Edge cases: null and empty texts are one text, of no words. Null parts count as the empty string. Rows under one id with one text
 share their verdict on E, and each counts. A null id is smaller than none, and none is smaller than it: such rows never
@@ -41,6 +42,8 @@ from kinmatch.session import scratch_folder
 FILTERS = "ABCDE"
 BATCHES = 4
 BUCKET = 1000
+#: A partition of the state holds about so many documents; each has files of its own in every micro-batch.
+PARTITION = 50_000
 #: Rows that a task holds to keep the smallest ids by text.
 HELD = 200_000
 
@@ -160,7 +163,8 @@ def part_counters(spark, path: str, labels: DataFrame, batches: int = BATCHES, h
     folder = scratch_folder(spark, "filter-audit")
     given = spark.read.parquet(path)
     files = given.inputFiles()
-    buckets = max(1, given.count() // bucket)
+    n = given.count()
+    buckets = max(1, n // bucket)
     flags = [F.max(F.when(F.col(c) == 1, 1).otherwise(0)).cast("int").alias(c) for c in ("quality", "toxic")]
     labels.where("doc_id IS NOT NULL").select("doc_id", "quality", "toxic").groupBy("doc_id").agg(*flags).write.parquet(f"{folder}/labels")
     labels = spark.read.parquet(f"{folder}/labels")
@@ -179,15 +183,15 @@ def part_counters(spark, path: str, labels: DataFrame, batches: int = BATCHES, h
         summed = batch.groupBy("part", "mask").agg(F.sum("n").alias("n"))
         summed.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    partitions = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, min(int(before), 1 + n // PARTITION))
     try:
         writer = changes.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True)
         query = writer.option("checkpointLocation", f"{folder}/checkpoint").start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        spark.conf.set(partitions, before)
     shape = "part string, mask int, n bigint"
     written = query.lastProgress is not None and query.lastProgress["batchId"] >= 0 and files
     found = spark.read.schema(shape).parquet(f"{folder}/changes/*") if written else spark.createDataFrame([], shape)
