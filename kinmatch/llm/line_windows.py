@@ -89,11 +89,13 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 def line_windows_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of the corpus pipeline: repeated lines go, and with them documents of which nothing is left.
 
-    Documents without a removed line stay as they are; n_chars follows the new text.
+    Documents without a removed line stay as they are; n_chars, if there, follows the new text.
     """
     boxed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
     cut = line_windows(boxed, keep=["doc"]).where("n_removed = 0 OR n_removed < n_lines")
     text = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept_text"))
-    new = {"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept_text"))
+        new["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
     return cut.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

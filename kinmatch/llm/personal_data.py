@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.flat import worker_cache
+from kinmatch.llm.flat import slices, worker_cache
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "url", "account", "secret"]
@@ -147,12 +147,14 @@ def url_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
         start -= 1
     while start < at and not text[start].isalpha():
         start += 1
+    if start == at:
+        return None
     end, n = at + 3, len(text)
     while end < n and text[end] not in _URL_END:
         end += 1
     while end > at + 3 and text[end - 1] in _TRAILING:
         end -= 1
-    return (start, end) if start < at and end > at + 3 else None
+    return (start, end) if end > at + 3 else None
 
 
 def iban_holds(value: str) -> bool:
@@ -267,13 +269,15 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = _anchors()
-    for batch in batches:
+    for batch in slices(batches, "text"):
         texts = [t if not t else redact(t, find_spans(t, anchors)) for t in batch.column("text").to_pylist()]
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
 def personal_data_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the corpus pipeline: what was found is replaced by its kind. n_chars follows the new text."""
+    """Stage of the corpus pipeline: what was found is replaced by its kind. n_chars, if there, follows the new text."""
     redacted = docs.mapInArrow(_redact_batches, docs.schema)
-    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return redacted.select(docs.columns)
