@@ -14,14 +14,16 @@ sets is at least 0.75. Documents of equal sets form a class, and only one text p
    classes that left may be linked to each other and to the ring.
 4. Candidates (estimate at least CANDIDATE) are confirmed on whole sets, taken from whole texts, in two turns. First every
    leaf gives a spanning forest of its candidates, best first, and pivots give theirs: a handful for each class, however
-   large its group. Texts are kept by the task that read them (parts.py), and only those of candidates are moved. Components follow from confirmed links. Then leaves, and the classes that left a node
-   with each other and with its ring, are compared again, in blocks, for candidates between different components, and all of these are confirmed.
-   So no link that joins two components is lost, and pairs inside a component are never listed.
+   large its group. Texts are kept by the task that read them (parts.py), and only those of candidates are moved. Components
+   follow from confirmed links. Then leaves, and the classes that left a node with each other and with its ring, are
+   compared again, in blocks, for candidates between different components. Classes that have one meet once more with their
+   sets, by 32 bits of each shingle, and pairs near by these are confirmed on whole sets. So no link that joins two
+   components is lost, and neither pairs inside a component nor the many candidates that are no links are ever listed.
 
 Every level, candidate set and confirmed link table is written to the shared scratch folder. Nothing is collected.
 
 Edge cases: null and empty texts and texts of white space have an empty set and are linked with nothing; fewer than
-five words are one shingle. Repeated rows are equal sets. Rows under one id are all kept or all dropped together.
+five words are one shingle. Repeated rows are equal sets. Rows under one id are judged by their texts, each on its own.
 A null id never names a component: where only null ids are linked, the component is null. Other columns are ignored.
 """
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinmatch.llm.flat import LOWER, U, flat_text, mix, slices, span_hashes, words
@@ -52,6 +54,8 @@ CANDIDATE = 0.67
 #: A class leaves a large node if it looks like a pivot by so much; RING: 1 - 2 * (1 - 0.75) less the error of estimates.
 LEAVE, RING = 0.78, 0.38
 BLOCK = 256
+#: Sets known by 32 bits of each shingle are held to a share that is so many hundredths lower, since hashes may be equal by chance.
+ROUGH = 1
 
 _SHINGLE_FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=U)) | U(1)
 _A, _B = mix(np.arange(1000, 1000 + HASHES, dtype=U)) | U(1), mix(np.arange(5000, 5000 + HASHES, dtype=U))
@@ -141,6 +145,7 @@ def flat_text_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Other columns pass through."""
     for batch in slices(batches, "text"):
         keys, counts, tokens, low = [], [], [], []
         for s in shingle_sets(batch.column("text")):
@@ -150,7 +155,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(t[:BRANCHING].tobytes() if len(s) else None)
             low.append((t & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
         made = [pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *made], ["doc_id", "uid", "n_shingles", "cls", "tokens", "token_bytes"])
+        given = [c for c in batch.schema.names if c not in ("text", "part")]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, given), *made], [*given, "n_shingles", "cls", "tokens", "token_bytes"])
 
 
 def _class_texts(folder: str):
@@ -193,40 +199,62 @@ def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, n: int) -> list[int]:
     return kept
 
 
-def _compare_cells(forest: bool):
-    """Compares the members of each cell; rows come sorted by cell, and a cell has a bounded number of rows.
-
-    With `forest`, a spanning forest of the candidates, else all candidates whose groups differ, in every cell where
-    they meet. side: 0 meets all, 1 meets only 2, 2 only 1. The last cell of a batch waits for the next.
-    """
-    def pairs(part: pa.Table) -> pa.RecordBatch:
-        cell = part.column("cell").to_numpy()
-        names = part.column("cls").to_pylist()
-        tokens = _matrix(part.column("token_bytes").combine_chunks())
-        side = part.column("side").to_numpy()
-        group = np.zeros(len(cell), np.int64) if forest else part.column("group").to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]).tolist()
-        left, right, share = [], [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2 or not (forest or (group[a:b] != group[a]).any()):
-                continue
-            i, j = np.triu_indices(b - a, 1)
+def _candidates_in(part: pa.Table, split: bool) -> Iterator[tuple]:
+    """For each cell its first row, its number of rows, and the candidates in it: positions i < j and estimates. With
+    `split` only those whose groups differ and whose sides meet: side 0 meets all, 1 meets only 2, 2 only 1."""
+    cell = part.column("cell").to_numpy()
+    tokens = _matrix(part.column("token_bytes").combine_chunks())
+    side, group = (part.column(c).to_numpy(zero_copy_only=False) for c in ("side", "group")) if split else (None, None)
+    cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a < 2 or (split and not (group[a:b] != group[a]).any()):
+            continue
+        i, j = np.triu_indices(b - a, 1)
+        if split:
             s, g = side[a:b], group[a:b]
-            if not forest:
-                meet = (g[i] != g[j]) & ((s[i] == 0) | (s[i] != s[j]))
-                i, j = i[meet], j[meet]
-            m = tokens[a:b]
-            est = np.concatenate([_estimates(m[i[k : k + 4096]], m[j[k : k + 4096]]) for k in range(0, len(i), 4096)]) if len(i) else np.empty(0)
-            near = est >= CANDIDATE
-            i, j, est = i[near], j[near], est[near]
-            for k in _forest(i, j, est, b - a) if forest else range(len(i)):
-                x, y = names[a + int(i[k])], names[a + int(j[k])]
-                left.append(min(x, y))
-                right.append(max(x, y))
-                share.append(float(est[k]))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(share, pa.float64())], ["a", "b", "est"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            meet = (g[i] != g[j]) & ((s[i] == 0) | (s[i] != s[j]))
+            i, j = i[meet], j[meet]
+        m = tokens[a:b]
+        est = np.concatenate([np.empty(0), *(_estimates(m[i[k : k + 4096]], m[j[k : k + 4096]]) for k in range(0, len(i), 4096))])
+        near = est >= CANDIDATE
+        yield a, b - a, i[near], j[near], est[near]
+
+
+def _forest_pairs(part: pa.Table) -> pa.RecordBatch:
+    """(a, b, est) of a spanning forest of each cell's candidates."""
+    names = part.column("cls").to_pylist()
+    found = [(names[a + int(i[k])], names[a + int(j[k])], float(est[k])) for a, n, i, j, est in _candidates_in(part, False) for k in _forest(i, j, est, n)]
+    columns = [pa.array([min(x, y) for x, y, _ in found], pa.string()), pa.array([max(x, y) for x, y, _ in found], pa.string()), pa.array([e for *_, e in found], pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "est"])
+
+
+def _meeting_rows(part: pa.Table) -> pa.RecordBatch:
+    """The rows with a candidate of another group in their cell."""
+    at = [np.unique(np.concatenate([i, j])) + a for a, _, i, j, _ in _candidates_in(part, True)]
+    rows = part.select(["cell", "cls", "side", "group"]).take(pa.array(np.concatenate([np.empty(0, np.int64), *at])))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in rows.columns], rows.schema.names)
+
+
+def _near_pairs(part: pa.Table) -> pa.RecordBatch:
+    """(a, b) of each cell's candidates of different groups whose sets, by 32 bits of each shingle, are near."""
+    names, sets = part.column("cls").to_pylist(), [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
+    found = []
+    for a, _, i, j, _ in _candidates_in(part, True):
+        for x, y in zip((i + a).tolist(), (j + a).tolist(), strict=True):
+            one, two = sets[x], sets[y]
+            if DEN * min(len(one), len(two)) < (NUM - ROUGH) * max(len(one), len(two)):
+                continue
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if DEN * both >= (NUM - ROUGH) * (len(one) + len(two) - both):
+                found.append((min(names[x], names[y]), max(names[x], names[y])))
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.string()) for k in (0, 1)], ["a", "b"])
+
+
+def _each_cell(make):
+    """`make` of all rows of some cells at a time. Rows come sorted by cell, and a cell has a bounded number of rows; the last
+    cell of a batch waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
@@ -235,12 +263,24 @@ def _compare_cells(forest: bool):
             cell = part.column("cell").to_numpy()
             cut = int(np.searchsorted(cell, cell[-1], "left"))
             if cut:
-                yield pairs(part.slice(0, cut))
+                yield make(part.slice(0, cut))
             rest = part.slice(cut)
         if rest is not None:
-            yield pairs(rest)
+            yield make(rest)
 
-    return compare
+    return run
+
+
+def _class_sets(folder: str):
+    """(cls, shingles) of the classes asked for: 32 bits of each shingle's hash, sorted and distinct."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _class_texts(folder)(batches):
+            for piece in slices(iter([batch]), "text"):
+                sets = [np.unique((s >> U(32)).astype(np.uint32)).tobytes() for s in shingle_sets(piece.column("text"))]
+                yield pa.RecordBatch.from_arrays([piece.column("cls"), pa.array(sets, pa.binary())], ["cls", "shingles"])
+
+    return fetch
 
 
 def _meet_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,33 +321,35 @@ class _Store:
     def __init__(self, spark) -> None:
         self.spark, self.folder, self.number = spark, scratch_folder(spark, "near-duplicates"), 0
 
-    def put(self, df: DataFrame, *digest: str) -> tuple[DataFrame, int]:
+    def put(self, df: DataFrame, *digest: str, name: str = "") -> tuple[DataFrame, int]:
         """The stored table and its number of rows, or a digest of the columns asked for."""
         self.number += 1
-        path, seen = f"{self.folder}/{self.number}", Observation()
+        path, seen = f"{self.folder}/{name or self.number}", Observation()
         value = F.sum(F.xxhash64(*digest).cast("decimal(38,0)")) if digest else F.count("*")
         df.observe(seen, value.alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
+    def levels(self, name: str, like: DataFrame) -> DataFrame:
+        """All tables stored as <name>/level=<number>, as one: a plan of the same size for any number of levels."""
+        return self.spark.read.schema(like.schema).parquet(f"{self.folder}/{name}")
+
 
-def _cells(rows: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Candidates (a, b, est) of the cells of rows (cell, cls, side and, without `forest`, group)."""
-    rows = rows.join(classes.select("cls", "token_bytes"), "cls")
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "cls")
-    return rows.mapInArrow(_compare_cells(forest), "a string, b string, est double")
+def _cells(rows: DataFrame, known: DataFrame, make, shape: str) -> DataFrame:
+    """What `make` gives for the cells of rows (cell, cls, ...), with the columns that `known` has for each class."""
+    rows = rows.join(known, "cls").repartition("cell").sortWithinPartitions("cell", "cls")
+    return rows.mapInArrow(_each_cell(make), shape)
 
 
 def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, est): forests of leaves and links to pivots. The leaves (node, cls). What met pivots in large nodes."""
     spark = store.spark
     rows = classes.mapInArrow(_branch_roots, "cls string, nodes array<bigint>").select("cls", F.explode("nodes").alias("node"))
-    leaves, found, met = [], [], []
     slim = classes.select("cls", "tokens", "token_bytes")
+    depth, level = 0, None
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes, _ = store.put(sizes)  # stored, so that the join below shuffles both sides and a hot node can be split
-        shared, many = store.put(rows.join(sizes, "node"))
-        leaves.append(shared.where(F.col("n") <= LEAF).select("node", "cls"))
+        shared, many = store.put(rows.join(sizes, "node"), name=f"shared/level={depth}")
         large = shared.where(F.col("n") > LEAF).select("node", "cls")
         if not many or large.isEmpty():
             break
@@ -318,25 +360,26 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
             pivots = pivots.join(classes.select(F.col("cls").alias(f"pivot_{k}"), F.col("token_bytes").alias(f"tokens_{k}")), f"pivot_{k}")
         meeting = large.join(slim, "cls").join(pivots, "node")
         shape = "node bigint, cls string, leaves boolean, ring boolean, nodes array<bigint>, links array<struct<b:string,est:double>>"
-        level, _ = store.put(meeting.mapInArrow(_meet_pivots, shape))
-        link = level.select("cls", F.explode("links").alias("l"))
-        found.append(link.select(F.least("cls", "l.b").alias("a"), F.greatest("cls", "l.b").alias("b"), F.col("l.est").alias("est")))
-        met.append(level.select("node", "cls", "leaves", "ring"))
+        level, _ = store.put(meeting.mapInArrow(_meet_pivots, shape), name=f"met/level={depth}")
         rows = level.where(~F.col("leaves")).select("cls", F.explode("nodes").alias("node"))
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side")), classes, True)
-    for more in found:
-        pairs = pairs.unionByName(more)
-    ring = spark.createDataFrame([], "node bigint, cls string, leaves boolean, ring boolean")
-    for more in met:
-        ring = ring.unionByName(more)
+        depth += 1
+    leaf = store.levels("shared", shared).where(F.col("n") <= LEAF).select("node", "cls")
+    known = classes.select("cls", "token_bytes")
+    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls"), known, _forest_pairs, "a string, b string, est double")
+    if level is None:
+        ring = spark.createDataFrame([], "node bigint, cls string, leaves boolean, ring boolean")
+    else:
+        met = store.levels("met", level)
+        link = met.select("cls", F.explode("links").alias("l"))
+        pairs = pairs.unionByName(link.select(F.least("cls", "l.b").alias("a"), F.greatest("cls", "l.b").alias("b"), F.col("l.est").alias("est")))
+        ring = met.select("node", "cls", "leaves", "ring")
     return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), leaf, ring
 
 
 def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates between different components: in leaves, among what left a large node, and between that and the ring."""
+    """Pairs that may link different components: in leaves, among what left a large node, and between that and the ring.
+
+    The rows of a cell that have a candidate there meet once more, with their sets, so that only near pairs leave the cell."""
     group = F.xxhash64(F.coalesce("group", "cls")).alias("group")
     named = leaf.join(groups, "cls", "left").select("node", "cls", group)
     # Leaves that lie in one component have nothing to compare.
@@ -372,7 +415,13 @@ def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: Da
                 cell, at = [F.col("own"), F.col("other")][:: 1 if side == 1 else -1], F.lit(side)
             cell = F.xxhash64("node", F.lit(kind), *[c.cast("bigint") for c in cell]).alias("cell")
             rows = rows.unionByName(met_by.select(cell, "cls", at.alias("side"), "group"))
-    return _cells(rows, classes, False).select("a", "b").distinct()
+    known = classes.select("cls", "token_bytes")
+    again, n_again = store.put(_cells(rows, known, _meeting_rows, "cell bigint, cls string, side int, group bigint"))
+    if not n_again:
+        return store.spark.createDataFrame([], "a string, b string")
+    needed = again.select("cls").distinct().join(classes.select("cls", "uid"), "cls")
+    sets, _ = store.put(to_parts(needed).mapInArrow(_class_sets(f"{store.folder}/texts"), "cls string, shingles binary"))
+    return _cells(again, known.join(sets, "cls"), _near_pairs, "a string, b string").distinct()
 
 
 def _components(store: _Store, links: DataFrame) -> DataFrame:
@@ -424,12 +473,14 @@ def _texts(store: _Store, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return store.put(to_parts(needed).mapInArrow(_class_texts(f"{store.folder}/texts"), "cls string, text string"))[0]
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id); with `digest` also
+    digest, which tells the texts under one id apart."""
     store = _Store(docs.sparkSession)
-    plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, uid bigint, n_shingles bigint, cls string, tokens binary, token_bytes binary"
+    more = [text_digest(docs[text]).alias("digest")] if digest else []
+    plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), *more)
+    kind, extra = plain.schema["doc_id"].dataType.simpleString(), ["digest"] if digest else []
+    shape = f"doc_id {kind}, {'digest binary, ' if digest else ''}uid bigint, n_shingles bigint, cls string, tokens binary, token_bytes binary"
     signed, _ = store.put(write_parts(plain, f"{store.folder}/texts").mapInArrow(_sign, shape))
     same = [F.first(c).alias(c) for c in ("tokens", "token_bytes")]
     classes, _ = store.put(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), *same))
@@ -449,12 +500,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         names = names.join(named.join(least, "group").select("cls", "least"), "cls", "left")
         names = names.select("cls", F.coalesce("least", "component_id").alias("component_id"))
     names, _ = store.put(names)  # as above: a class may hold a third of all rows
-    out = signed.select("doc_id", "n_shingles", "cls").join(names, "cls", "left")
+    out = signed.select("doc_id", *extra, "n_shingles", "cls").join(names, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", *extra, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the corpus pipeline: one document of each group stays, that with the smallest id; rows without an id stay."""
-    dropped = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Stage of the corpus pipeline: one document of each group stays, that with the smallest id; rows without an id stay.
+
+    Rows are dropped by id and text, so that a text of its own stays though another under its id goes."""
+    dropped = near_duplicates(docs, digest=True).where("NOT kept AND doc_id IS NOT NULL")
+    dropped = dropped.select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct()
+    same = (docs["doc_id"] == F.col("dropped_id")) & (text_digest(docs["text"]) == F.col("dropped_digest"))
+    return docs.join(dropped, same, "left_anti").select(docs.columns)

@@ -7,15 +7,19 @@ import pytest
 
 from kinmatch.llm import near_duplicates as near
 
-LEVEL = "node bigint, cls string, root int, leaves boolean, ring boolean"
+LEVEL = "node bigint, cls string, leaves boolean, ring boolean"
 
 
-def other_pairs(spark, leaf, met, groups, tokens):
-    """Pairs of the second turn; tokens: class to bytes."""
-    classes = spark.createDataFrame([(c, bytearray(t)) for c, t in tokens.items()], "cls string, token_bytes binary")
+def other_pairs(spark, monkeypatch, leaf, met, groups, tokens, sets):
+    """Pairs of the second turn; tokens and sets: class to bytes."""
+    classes = spark.createDataFrame([(c, i, bytearray(t)) for i, (c, t) in enumerate(tokens.items())], "cls string, uid bigint, token_bytes binary")
+    known = spark.createDataFrame([(c, bytearray(x)) for c, x in sets.items()], "cls string, shingles binary")
+    # Texts are not stored here: the sets come from a table.
+    monkeypatch.setattr(near, "to_parts", lambda needed: needed.join(known, "cls").select("cls", "shingles"))
+    monkeypatch.setattr(near, "_class_sets", lambda folder: lambda batches: batches)
     found = near._other_candidates(
         near._Store(spark),
-        spark.createDataFrame(leaf, "node bigint, cls string, root int"),
+        spark.createDataFrame(leaf, "node bigint, cls string"),
         spark.createDataFrame(met, LEVEL),
         spark.createDataFrame(groups, "cls string, group string"),
         classes,
@@ -23,6 +27,9 @@ def other_pairs(spark, leaf, met, groups, tokens):
     return sorted((r.a, r.b) for r in found.collect())
 
 
+SET = np.arange(100, dtype=np.uint32).tobytes()
+
+
 def test_classes_that_left_one_node_meet(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 3)
     rng = np.random.default_rng(1)
@@ -30,8 +37,8 @@ def test_classes_that_left_one_node_meet(spark, monkeypatch):
     left = {f"{g}{i}": g for g, n in (("a", 9), ("b", 5), ("c", 2)) for i in range(n)}
     ring = {f"{g}{i}": g for g, n in (("a", 19), ("b", 9), ("d", 2)) for i in range(n) if f"{g}{i}" not in left}
     both = left | ring
-    met = [(1, c, 0, c in left, c in ring) for c in both]
-    got = other_pairs(spark, [], met, list(both.items()), dict.fromkeys(both, same))
+    met = [(1, c, c in left, c in ring) for c in both]
+    got = other_pairs(spark, monkeypatch, [], met, list(both.items()), dict.fromkeys(both, same), dict.fromkeys(both, SET))
     assert got == sorted((x, y) for x in both for y in both if x < y and both[x] != both[y] and (x in left or y in left))
 
 
@@ -70,8 +77,10 @@ def test_bridged_groups_in_large_nodes(spark, monkeypatch, seed):
     assert got == {i: head(i) for i in range(len(texts))}
 
 
-def test_pairs_from_any_root(spark):
-    """Two classes whose bytes agree everywhere meet in a node below the last root only."""
+def test_only_near_sets_leave_a_cell(spark, monkeypatch):
+    """Three classes with equal tokens, of which two have near sets."""
     same = bytes(range(256))
-    leaf = [(5, "x", 9), (5, "y", 9)]
-    assert other_pairs(spark, leaf, [], [("x", "x"), ("y", "y")], dict.fromkeys("xy", same)) == [("x", "y")]
+    sets = {"x": SET, "y": np.arange(10, 110, dtype=np.uint32).tobytes(), "z": np.arange(30, 130, dtype=np.uint32).tobytes()}
+    groups = [(c, c) for c in "xyz"]
+    got = other_pairs(spark, monkeypatch, [(5, c) for c in "xyz"], [], groups, dict.fromkeys("xyz", same), sets)
+    assert got == [("x", "y")]
