@@ -29,6 +29,8 @@ class Clause:
             raise ValueError(f"bad clause {self}")
         if not self.weight >= 0:
             raise ValueError(f"weight of {self.field} is negative")
+        if self.label == f"{self.column}_function":
+            object.__setattr__(self, "label", "")  # the name that a clause has anyway
 
     @property
     def column(self) -> str:
@@ -109,15 +111,17 @@ class SearchSpec:
         return cls(tuple(must + should), size, explain, min_should)
 
     @classmethod
-    def from_json(cls, text: str | Mapping) -> SearchSpec:
-        """Read a stored query in either of its written forms; text or parsed object."""
+    def from_json(cls, text: str | Mapping, strict: bool = False) -> SearchSpec:
+        """Read a stored query in either of its written forms; text or parsed object. The editor takes one without query.bool
+        for an empty specification; a search is `strict`, there it is an error."""
         try:
             doc = json.loads(text) if isinstance(text, str) else text
         except json.JSONDecodeError as e:
             raise ValueError(f"invalid JSON in search configuration: {e}") from e
         boolean = (doc.get("query") or {}).get("bool") if isinstance(doc, Mapping) else None
-        if not isinstance(boolean, Mapping):
+        if strict and not isinstance(boolean, Mapping):
             raise ValueError("search configuration has no query.bool")
+        boolean = boolean or {}
         found = (_clause(occur, node) for occur in ("must", "should") for node in boolean.get(occur) or [])
         return cls(
             tuple(c for c in found if c),

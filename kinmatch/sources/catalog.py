@@ -100,7 +100,7 @@ def load_spec(catalog: DataFrame, index_name: str) -> SearchSpec:
     row = index_config(catalog, index_name).select("search_config").first()
     if row is None or not row[0]:
         raise LookupError(f"search configuration not found for index {index_name}")
-    return SearchSpec.from_json(row[0])
+    return SearchSpec.from_json(row[0], strict=True)
 
 
 def save_spec(catalog: DataFrame, index_name: str, spec: SearchSpec, now: dt.datetime | None = None) -> DataFrame:
