@@ -76,6 +76,8 @@ def _same_dimension(q: np.ndarray, x: np.ndarray) -> None:
 
 def _pair_similarity(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Similarity of the row pairs (r, c), from the differences of their components: the one formula for what is reported."""
+    if not r.size:
+        return np.zeros(0)  # a side without any vector has no dimension
     _same_dimension(q, x)
     d2 = np.empty(r.size)
     for start in range(0, r.size, 32768):
