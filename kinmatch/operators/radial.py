@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.operators.blocks import add_cells, block_join
+from kinmatch.operators.blocks import block_join, useful_cells
 from kinmatch.operators.lsh import Lsh, add_buckets
 from kinmatch.operators.scoring import Scoring
 from kinmatch.operators.search import MatchOptions
@@ -32,8 +32,9 @@ def radial_join(
     scoring, q, side = _vector_sides(queries, items, vector, min_score, query_id, item_id, opt)
     nq, ni, keys = queries.count(), items.count(), []
     if min_score > 0 and ni // opt.cell_rows >= 2:
-        q, side = add_cells(q, side, "v0", min_score, ni // opt.cell_rows)
-        keys = ["_cell"]
+        placed = useful_cells(q, side, "v0", min_score, ni // opt.cell_rows)
+        if placed:
+            (q, side), keys = placed, ["_cell"]
     return _near_pairs(q, side, keys, scoring, nq, ni, opt)
 
 
@@ -47,8 +48,7 @@ def _vector_sides(queries, items, vector: str, min_score: float, query_id: str,
 
 def _near_pairs(q, side, keys: list[str], scoring: Scoring, nq: int, ni: int, opt: MatchOptions, lsh: Lsh | None = None) -> DataFrame:
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
-    rows = min(opt.block_rows, 2048)  # every near pair of a block is held at once
-    pairs = block_join(q, side, keys, scoring, 0, lsh, nq=nq, ni=ni, block_rows=rows, spread=spread)
+    pairs = block_join(q, side, keys, scoring, 0, lsh, nq=nq, ni=ni, held_rows=opt.held_rows, spread=spread)
     return pairs.where(F.col("item_id").isNotNull()).select("query_id", "item_id", "score")
 
 

@@ -160,3 +160,49 @@ def test_top_rows_in_parts(spark, monkeypatch):
     assert parts.columns == whole.columns and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
     plan = parts._jdf.queryExecution().toString()
     assert plan.count("Window [") >= 2
+
+
+def test_held_blocks_copy_rows_no_oftener_with_more_rows(spark):
+    """Shuffled rows grow in proportion: without keys, with one hot key, and where a part would be too large to hold."""
+    from kinmatch.operators.blocks import held_blocks
+
+    def copies(n, keys, held):
+        q = spark.range(n).selectExpr("id AS query_id", "if(id % 4 > 0, 'hot', concat('k', id % 50)) AS k")
+        side = q.withColumnRenamed("query_id", "item_id")
+        a, b, block, _ = held_blocks(q, side, keys, n, n, held, 16)
+        largest = b.groupBy(*block).count().agg(F.max("count")).first()[0]
+        return (a.count() + b.count()) / n, largest
+
+    for keys in ([], ["k"]):
+        few, many = copies(8000, keys, 10**6), copies(64000, keys, 10**6)
+        assert many[0] <= 1.3 * few[0] <= 13
+        assert copies(64000, keys, 2000)[1] < 2600
+
+
+@pytest.mark.parametrize("held_rows", [10**6, 70])
+def test_streamed_queries_meet_all_items(vectors, held_rows):
+    """Every block, with queries in batches of any size, gives each near pair once and whole totals."""
+    df, x = vectors
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    near = np.round(1 / (1 + d2), 12) >= 0.5
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = radial_join(df, df, "v", 0.5, options=MatchOptions(held_rows=held_rows)).collect()
+        both = df.withColumnRenamed("v", "vEmbedding").withColumn("v", F.lit("x"))
+        totals = match(both, both, SearchSpec((Clause("v", "vector", "must", 1.0, 0.5),), 3), scan_queries=0, held_rows=held_rows).summary.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == near.sum() and {(r.query_id, r.item_id) for r in got} == {(f"i{a:03d}", f"i{b:03d}") for a, b in zip(*np.nonzero(near))}
+    assert {r.query_id: r.total_results for r in totals} == {f"i{k:03d}": n for k, n in enumerate(near.sum(1))}
+
+
+def test_matches_are_cut_to_a_forest_before_they_move(spark, monkeypatch):
+    from kinmatch.operators import grouping
+
+    edges = [(a, b) for a in range(60) for b in range(60)] + [(f, f) for f in (900, 901)]
+    df = spark.createDataFrame(edges, "query_id bigint, item_id bigint").coalesce(1)
+    rows = sorted(map(tuple, grouping.connected(df).collect()))
+    assert len(rows) == 61 and rows[-2:] == [(900, 900), (901, 901)]
+    names = df.selectExpr("concat('n', query_id) AS query_id", "concat('n', item_id) AS item_id")
+    assert {r.group_id for r in group_items(names).collect()} == {"n0", "n900", "n901"}
