@@ -17,8 +17,9 @@ suffixes at anchors are sorted, about one in forty.
    splitters. A bucket sorts each window around its anchors, window by window, and sees which has an earlier equal; the
    windows of one anchor overlap, so what they cover is one span. Windows are compared as 64-bit hashes within a group.
 4. A key that more than GROUP anchors share gives one row for each window instead, keyed by the window's hash and spread
-   over all buckets. In each batch only a window's earliest row is sent on, the others being settled at once. So a
-   passage of a third of all documents needs neither a large group nor a large task.
+   over all buckets. A task sends on only a window's earliest row of a slice, and none if it sent an earlier one before (SEEN
+   windows are remembered); the others are settled at once, as spans of all that they cover. So a passage of a third of
+   all documents needs neither a large group nor a large task, and no row for each of its windows.
 5. Spans meet their texts, overlaps are merged, and what is left is put together.
 
 Edge cases: null and empty texts have no bytes and lose none; a text under LENGTH bytes loses none. A null id comes last.
@@ -49,6 +50,8 @@ SAMPLE = 2000
 #: Slices of about so many bytes of text, and pieces of so many contexts: both bound the memory of a task.
 SLICE = 1 << 20
 PIECE = 5_000
+#: Windows that a task remembers to have sent on.
+SEEN = 1 << 18
 LAST = (1 << 63) - 1
 _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -156,53 +159,102 @@ def _fetch_contexts(folder: str, splitters: list[int], buckets: int):
         made = [bucket.astype(np.int32), key, order, uid, pos.astype(np.int32), low.astype(np.int32), high.astype(np.int32)]
         return pa.RecordBatch.from_arrays([*[pa.array(x) for x in made], raw, pa.array(np.full(n, settled))], names)
 
+    def hot_windows(batch, data, offsets, at, low, high, seen) -> Iterator[pa.RecordBatch]:
+        """Rows of the windows around anchors of hot keys: what repeats is settled here, and what may be first is sent on."""
+        edges = np.zeros(len(data) + 1, np.int64)
+        fits = low <= high
+        np.add.at(edges, (at - high)[fits], 1)
+        np.add.at(edges, (at - low)[fits] + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edges) > 0)
+        if not len(starts):
+            return
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * _powers(_P, len(data)), out=sums[1:])
+        window = mix((sums[starts + LENGTH] - sums[starts]) * _powers(_P_INV, len(data))[starts]).view(np.int64)
+        row = np.searchsorted(offsets, starts, "right") - 1
+        order, uid, first = batch.column("ord").to_numpy()[row], batch.column("uid").to_numpy()[row], starts - offsets[row]
+        by = np.argsort(order, kind="stable")  # starts come by uid and place
+        by = by[np.argsort(window[by], kind="stable")]
+        window, order, uid, first, starts, row = (x[by] for x in (window, order, uid, first, starts, row))
+        later = np.concatenate([[False], window[1:] == window[:-1]])
+        heads = np.flatnonzero(~later)
+        head = heads[np.cumsum(~later) - 1]
+        same = later & (order == order[head]) & (first == first[head])
+        # Sent on: the earliest row of each window, and its twins under one id and text.
+        go = (~later | same) & ~seen.earlier(window[heads], order[heads], first[heads])[np.cumsum(~later) - 1]
+        zero = np.zeros(int(go.sum()), np.int32)
+        bucket = (window[go].view(U) % U(buckets)).astype(np.int32)
+        yield rows_of(window[go], order[go], uid[go], first[go], zero, zero, None, False, bucket)
+        if not go.all():
+            by = np.flatnonzero(~go)
+            by = by[np.argsort(starts[by])]
+            apart = (np.diff(starts[by]) > LENGTH) | (np.diff(row[by]) != 0)
+            a, b = by[np.concatenate([[True], apart])], by[np.concatenate([apart, [True]])]
+            bucket = (mix(uid[a].astype(U)) % U(buckets)).astype(np.int32)
+            zero = np.zeros(len(a), np.int32)
+            yield rows_of(window[a], order[a], uid[a], first[a], zero, first[b] + LENGTH - first[a], None, True, bucket)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for part, rows in by_part(batches):
             uids, places = rows.column("uid").to_numpy(), rows.column("pos").to_numpy()
             keys, hot = rows.column("key").to_numpy(), rows.column("hot").to_numpy(zero_copy_only=False)
             for batch in slices(read_part(folder, part, ["uid", "ord", "text"]), "text", SLICE):
                 own = batch.column("uid").to_numpy()
-                a, b = np.searchsorted(uids, own[0], "left"), np.searchsorted(uids, own[-1], "right")
-                for i in range(a, b, PIECE):
-                    some = slice(i, min(b, i + PIECE))
-                    data, offsets = flat_text(batch.column("text"))
+                mine = np.arange(np.searchsorted(uids, own[0], "left"), np.searchsorted(uids, own[-1], "right"))
+                if not len(mine):
+                    continue
+                data, offsets = flat_text(batch.column("text"))
+
+                def around(some):
                     row = np.searchsorted(own, uids[some])
                     start, end = offsets[row], offsets[row + 1]
                     at = start + places[some]
+                    # Windows start `low` to `high` bytes before the anchor.
+                    return row, start, end, at, np.maximum(0, LENGTH - (end - at)), np.minimum(BEFORE, at - start)
+
+                many, mine = mine[hot[mine]], mine[~hot[mine]]
+                if len(many):
+                    yield from hot_windows(batch, data, offsets, *around(many)[3:], seen)
+                for i in range(0, len(mine), PIECE):
+                    some = mine[i : i + PIECE]
+                    row, start, end, at, low, high = around(some)
                     index = at[:, None] + np.arange(-BEFORE, LENGTH)
                     inside = (index >= start[:, None]) & (index < end[:, None])
                     context = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
-                    # Windows start `low` to `high` bytes before the anchor.
-                    low, high = np.maximum(0, LENGTH - (end - at)), np.minimum(BEFORE, at - start)
-                    order, key, uid, pos, many = batch.column("ord").to_numpy()[row], keys[some], uids[some], places[some], hot[some]
-                    if (~many).any():
-                        k = ~many
-                        bucket = np.searchsorted(cuts, key[k], "right")
-                        yield rows_of(key[k], order[k], uid[k], pos[k], low[k], high[k], context[k], False, bucket)
-                    if many.any():
-                        k = np.flatnonzero(many)
-                        found, starts = [], []
-                        for before, h in _window_hashes(context[k]):
-                            fits = np.flatnonzero((low[k] <= before) & (before <= high[k]))
-                            found.append((h[fits].view(np.int64), k[fits]))
-                            starts.append(pos[k[fits]] - before)
-                        window, who, first = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), np.concatenate(starts)
-                        sort = np.lexsort((first, uid[who], order[who], window))
-                        window, who, first = window[sort], who[sort], first[sort]
-                        later = np.concatenate([[False], window[1:] == window[:-1]])
-                        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(later))))
-                        same = later & (order[who] == order[who[head]]) & (first == first[head])
-                        zero = np.zeros(len(who), np.int32)
-                        # Sent on: the earliest row of each window, and its twins under one id and text.
-                        go = ~later | same
-                        for chosen, settled in ((go, False), (~go, True)):
-                            w, r, f = window[chosen], who[chosen], first[chosen]
-                            z = zero[: len(w)]
-                            yield rows_of(w, order[r], uid[r], f, z, z, None, settled, (w.view(U) % U(buckets)).astype(np.int32))
+                    bucket = np.searchsorted(cuts, keys[some], "right")
+                    yield rows_of(keys[some], batch.column("ord").to_numpy()[row], uids[some], places[some], low, high, context, False, bucket)
 
     return fetch
 
 
+class _Seen:
+    """The earliest row (order, place) of the windows that a task sent on; beyond SEEN those that came up last."""
+
+    def __init__(self) -> None:
+        self.window, self.order, self.first = (np.empty(0, np.int64) for _ in range(3))
+
+    def earlier(self, window: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether a row before was earlier; what was not is remembered. Windows come sorted and once each."""
+        at = np.searchsorted(self.window, window)
+        known = np.zeros(len(window), bool)
+        there = at < len(self.window)
+        known[there] = self.window[at[there]] == window[there]
+        out, k = np.zeros(len(window), bool), at[known]
+        out[known] = (self.order[k] < order[known]) | ((self.order[k] == order[known]) & (self.first[k] < first[known]))
+        less = known & ~out
+        self.order[at[less]], self.first[at[less]] = order[less], first[less]
+        new = ~known
+        if len(self.window) + new.sum() > SEEN:
+            kept = at[known]
+            self.window, self.order, self.first = self.window[kept], self.order[kept], self.first[kept]
+            at = np.searchsorted(self.window, window)
+        self.window = np.insert(self.window, at[new], window[new])
+        self.order = np.insert(self.order, at[new], order[new])
+        self.first = np.insert(self.first, at[new], first[new])
+        return out
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans that repeats cover. Rows come sorted by key, then by document and place; a key with contexts has a bounded
     number of rows. For keys that are windows only the first row is remembered from batch to batch."""
@@ -241,7 +293,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if settled.any():
             done = batch.filter(pa.array(settled))
             pos = done.column("pos").to_numpy()
-            yield spans(done.column("uid").to_numpy(), pos, pos + LENGTH)
+            yield spans(done.column("uid").to_numpy(), pos, pos + done.column("high").to_numpy())
         if (window & ~settled).any():
             rows = batch.filter(pa.array(window & ~settled))
             key, order, pos = (rows.column(c).to_numpy() for c in ("key", "ord", "pos"))
