@@ -20,7 +20,9 @@ sets is at least 0.75. Documents of equal sets form a class, and only one text p
    sets, by 32 bits of each shingle, and pairs near by these are confirmed on whole sets. So no link that joins two
    components is lost, and neither pairs inside a component nor the many candidates that are no links are ever listed.
 
-Every level, candidate set and confirmed link table is written to the shared scratch folder. Nothing is collected.
+Every level, candidate set and confirmed link table is written to the shared scratch folder. Nothing is collected. Many of
+these tables are small, so what shuffles deal out is worked off by as many tasks as the documents call for (SHARE), each
+taking several partitions one after another: with many shuffle partitions, the time would go into tasks and files.
 
 Edge cases: null and empty texts and texts of white space have an empty set and are linked with nothing; fewer than
 five words are one shingle. Repeated rows are equal sets. Rows under one id are judged by their texts, each on its own.
@@ -56,6 +58,8 @@ LEAVE, RING = 0.78, 0.38
 BLOCK = 256
 #: Sets known by 32 bits of each shingle are held to a share that is so many hundredths lower, since hashes may be equal by chance.
 ROUGH = 1
+#: Words of a task, and the words that a document counts for at least.
+SHARE, LEAST_WORDS = 5_000_000, 1000
 
 _SHINGLE_FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=U)) | U(1)
 _A, _B = mix(np.arange(1000, 1000 + HASHES, dtype=U)) | U(1), mix(np.arange(5000, 5000 + HASHES, dtype=U))
@@ -251,8 +255,8 @@ def _near_pairs(part: pa.Table) -> pa.RecordBatch:
 
 
 def _each_cell(make):
-    """`make` of all rows of some cells at a time. Rows come sorted by cell, and a cell has a bounded number of rows; the last
-    cell of a batch waits for the next."""
+    """`make` of all rows of some cells at a time. The rows of a cell come together, and a cell has a bounded number of rows;
+    the last cell of a batch waits for the next. Cells need not ascend, as a task may take several partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -261,7 +265,8 @@ def _each_cell(make):
                 continue
             part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             cell = part.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1], "left"))
+            other = np.flatnonzero(cell != cell[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield make(part.slice(0, cut))
             rest = part.slice(cut)
@@ -320,13 +325,22 @@ class _Store:
 
     def __init__(self, spark) -> None:
         self.spark, self.folder, self.number = spark, scratch_folder(spark, "near-duplicates"), 0
+        self.tasks = 0  # not known yet
 
-    def put(self, df: DataFrame, *digest: str, name: str = "") -> tuple[DataFrame, int]:
-        """The stored table and its number of rows, or a digest of the columns asked for."""
+    def plan(self, n_words: int) -> None:
+        self.tasks = max(2 * self.spark.sparkContext.defaultParallelism, -(-n_words // SHARE))
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """The same rows in as many partitions as the documents call for, or fewer. Partitions are put together whole."""
+        return df.coalesce(self.tasks) if self.tasks else df
+
+    def put(self, df: DataFrame, *digest: str, name: str = "", value: Column | None = None) -> tuple[DataFrame, int]:
+        """The stored table and its number of rows, or a digest of the columns asked for, or `value`."""
         self.number += 1
         path, seen = f"{self.folder}/{name or self.number}", Observation()
-        value = F.sum(F.xxhash64(*digest).cast("decimal(38,0)")) if digest else F.count("*")
-        df.observe(seen, value.alias("n")).write.parquet(path)
+        if value is None:
+            value = F.sum(F.xxhash64(*digest).cast("decimal(38,0)")) if digest else F.count("*")
+        self.few(df).observe(seen, value.alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def levels(self, name: str, like: DataFrame) -> DataFrame:
@@ -334,10 +348,10 @@ class _Store:
         return self.spark.read.schema(like.schema).parquet(f"{self.folder}/{name}")
 
 
-def _cells(rows: DataFrame, known: DataFrame, make, shape: str) -> DataFrame:
+def _cells(store: _Store, rows: DataFrame, known: DataFrame, make, shape: str) -> DataFrame:
     """What `make` gives for the cells of rows (cell, cls, ...), with the columns that `known` has for each class."""
     rows = rows.join(known, "cls").repartition("cell").sortWithinPartitions("cell", "cls")
-    return rows.mapInArrow(_each_cell(make), shape)
+    return store.few(rows).mapInArrow(_each_cell(make), shape)
 
 
 def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -349,23 +363,30 @@ def _candidates(store: _Store, classes: DataFrame) -> tuple[DataFrame, DataFrame
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes, _ = store.put(sizes)  # stored, so that the join below shuffles both sides and a hot node can be split
-        shared, many = store.put(rows.join(sizes, "node"), name=f"shared/level={depth}")
-        large = shared.where(F.col("n") > LEAF).select("node", "cls")
-        if not many or large.isEmpty():
+        # Most of these rows are alone in their node: the names of classes travel as bytes.
+        met_by = rows.select("node", F.unhex("cls").alias("cls")).join(sizes, "node").withColumn("cls", F.lower(F.hex("cls")))
+        shared, _ = store.put(met_by, name=f"shared/level={depth}")
+        # Stored apart, so that its size is known: while it is small, the tokens of all classes need not be shuffled for it.
+        large, n_large = store.put(shared.where(F.col("n") > LEAF).select("node", F.unhex("cls").alias("cls")))
+        if not n_large:
             break
+        large = large.select("node", F.lower(F.hex("cls")).alias("cls"))
         # PIVOTS members of each node by the least of as many hashes; grouped minima combine before the shuffle.
         first = [F.min(F.struct(F.xxhash64("cls", "node", F.lit(k)).alias("h"), "cls"))["cls"].alias(f"pivot_{k}") for k in range(PIVOTS)]
-        pivots = large.groupBy("node").agg(*first)
-        for k in range(PIVOTS):
-            pivots = pivots.join(classes.select(F.col("cls").alias(f"pivot_{k}"), F.col("token_bytes").alias(f"tokens_{k}")), f"pivot_{k}")
-        meeting = large.join(slim, "cls").join(pivots, "node")
+        picked = large.groupBy("node").agg(*first)
+        picked, _ = store.put(picked.select("node", F.posexplode(F.array(*[f"pivot_{k}" for k in range(PIVOTS)])).alias("k", "cls")))
+        known = F.sort_array(F.collect_list(F.struct("k", "cls", "token_bytes"))).alias("known")
+        pivots = picked.join(classes.select("cls", "token_bytes"), "cls").groupBy("node").agg(known)
+        of = [F.col("known")[k][c].alias(f"{name}_{k}") for k in range(PIVOTS) for c, name in (("cls", "pivot"), ("token_bytes", "tokens"))]
+        pivots, _ = store.put(pivots.select("node", *of))  # PIVOTS rows of each large node were joined once
+        meeting = store.few(large.join(slim, "cls").join(pivots, "node"))
         shape = "node bigint, cls string, leaves boolean, ring boolean, nodes array<bigint>, links array<struct<b:string,est:double>>"
         level, _ = store.put(meeting.mapInArrow(_meet_pivots, shape), name=f"met/level={depth}")
         rows = level.where(~F.col("leaves")).select("cls", F.explode("nodes").alias("node"))
         depth += 1
     leaf = store.levels("shared", shared).where(F.col("n") <= LEAF).select("node", "cls")
     known = classes.select("cls", "token_bytes")
-    pairs = _cells(leaf.select(F.col("node").alias("cell"), "cls"), known, _forest_pairs, "a string, b string, est double")
+    pairs = _cells(store, leaf.select(F.col("node").alias("cell"), "cls"), known, _forest_pairs, "a string, b string, est double")
     if level is None:
         ring = spark.createDataFrame([], "node bigint, cls string, leaves boolean, ring boolean")
     else:
@@ -381,12 +402,12 @@ def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: Da
 
     The rows of a cell that have a candidate there meet once more, with their sets, so that only near pairs leave the cell."""
     group = F.xxhash64(F.coalesce("group", "cls")).alias("group")
-    named = leaf.join(groups, "cls", "left").select("node", "cls", group)
+    named, _ = store.put(leaf.join(groups, "cls", "left").select("node", "cls", group))
     # Leaves that lie in one component have nothing to compare.
     mixed = named.groupBy("node").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("node")
     mixed, _ = store.put(mixed)
     rows = named.join(mixed, "node").select(F.col("node").alias("cell"), "cls", F.lit(0).alias("side"), "group")
-    named = met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "leaves", group)
+    named, _ = store.put(met.where("leaves OR ring").join(groups, "cls", "left").select("node", "cls", "leaves", group))
     # The largest group of a node has nothing to compare inside; all that left and is of other groups (first) meets all.
     counts = named.groupBy("node", "group").agg(F.count_if("leaves").alias("n_left"), F.count("*").alias("n"))
     most = F.max(F.struct("n", "group", "n_left"))
@@ -400,28 +421,27 @@ def _other_candidates(store: _Store, leaf: DataFrame, met: DataFrame, groups: Da
         named = named.join(sizes, "node").withColumn("hash", F.xxhash64("cls"))
         is_first, is_main = F.expr("leaves AND group != main"), F.expr("leaves AND group = main")
         parts = [
-            (0, is_first, "b_first", "b_first", None),
+            (0, is_first, "b_first", "b_first", 0),
             (1, is_first, "b_first", "b_rest", 1),
             (1, ~is_first, "b_rest", "b_first", 2),
             (2, is_main, "b_main", "b_ring", 1),
             (2, F.expr("NOT leaves AND group != main"), "b_ring", "b_main", 2),
         ]
-        for kind, member, own, other, side in parts:
-            met_by = named.where(member & (F.col(other) > 0)).withColumn("own", F.pmod(F.col("hash"), F.col(own)))
-            met_by = met_by.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            if side is None:  # blocks of one part: a block meets itself once
-                cell, at = [F.least("own", "other"), F.greatest("own", "other")], F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
-            else:
-                cell, at = [F.col("own"), F.col("other")][:: 1 if side == 1 else -1], F.lit(side)
-            cell = F.xxhash64("node", F.lit(kind), *[c.cast("bigint") for c in cell]).alias("cell")
-            rows = rows.unionByName(met_by.select(cell, "cls", at.alias("side"), "group"))
+        meets = [F.when(member & (F.col(other) > 0), F.struct(F.lit(kind).alias("kind"), F.col(own).alias("n_own"), F.col(other).alias("n_other"), F.lit(side).alias("side"))) for kind, member, own, other, side in parts]
+        named = named.withColumn("meet", F.explode(F.filter(F.array(*meets), F.isnotnull))).select("*", "meet.*")
+        named = named.withColumn("own", F.pmod("hash", "n_own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+        # Blocks of one part (side 0): a block meets itself once.
+        low, high = F.expr("CASE side WHEN 0 THEN least(own, other) WHEN 1 THEN own ELSE other END"), F.expr("CASE side WHEN 0 THEN greatest(own, other) WHEN 1 THEN other ELSE own END")
+        at = F.expr("CASE WHEN side > 0 THEN side WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side")
+        cell = F.xxhash64("node", "kind", low.cast("bigint"), high.cast("bigint")).alias("cell")
+        rows = rows.unionByName(named.select(cell, "cls", at, "group"))
     known = classes.select("cls", "token_bytes")
-    again, n_again = store.put(_cells(rows, known, _meeting_rows, "cell bigint, cls string, side int, group bigint"))
+    again, n_again = store.put(_cells(store, rows, known, _meeting_rows, "cell bigint, cls string, side int, group bigint"))
     if not n_again:
         return store.spark.createDataFrame([], "a string, b string")
     needed = again.select("cls").distinct().join(classes.select("cls", "uid"), "cls")
-    sets, _ = store.put(to_parts(needed).mapInArrow(_class_sets(f"{store.folder}/texts"), "cls string, shingles binary"))
-    return _cells(again, known.join(sets, "cls"), _near_pairs, "a string, b string").distinct()
+    sets, _ = store.put(store.few(to_parts(needed)).mapInArrow(_class_sets(f"{store.folder}/texts"), "cls string, shingles binary"))
+    return _cells(store, again, known.join(sets, "cls"), _near_pairs, "a string, b string").distinct()
 
 
 def _components(store: _Store, links: DataFrame) -> DataFrame:
@@ -432,7 +452,7 @@ def _components(store: _Store, links: DataFrame) -> DataFrame:
     """
 
     def down(edges: DataFrame) -> DataFrame:
-        return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+        return store.few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")).distinct()
 
     def lowest(edges: DataFrame) -> DataFrame:
         return store.put(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")))[0]
@@ -462,15 +482,15 @@ def _joined(store: _Store, groups: DataFrame, links: DataFrame) -> DataFrame:
     return store.put(kept.unionByName(new.select("cls", "group")))[0]
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(store: _Store, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = (texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm, "a string, b string")
+    return store.few(pairs.select("a", "b").join(one, "a").join(two, "b")).mapInArrow(_confirm, "a string, b string")
 
 
 def _texts(store: _Store, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One whole text for each class in the pairs."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "uid"), "cls")
-    return store.put(to_parts(needed).mapInArrow(_class_texts(f"{store.folder}/texts"), "cls string, text string"))[0]
+    return store.put(store.few(to_parts(needed)).mapInArrow(_class_texts(f"{store.folder}/texts"), "cls string, text string"))[0]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -481,7 +501,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), *more)
     kind, extra = plain.schema["doc_id"].dataType.simpleString(), ["digest"] if digest else []
     shape = f"doc_id {kind}, {'digest binary, ' if digest else ''}uid bigint, n_shingles bigint, cls string, tokens binary, token_bytes binary"
-    signed, _ = store.put(write_parts(plain, f"{store.folder}/texts").mapInArrow(_sign, shape))
+    n_words = F.sum(F.greatest(F.lit(LEAST_WORDS), "n_shingles"))
+    signed, n_words = store.put(write_parts(plain, f"{store.folder}/texts").mapInArrow(_sign, shape), value=n_words)
+    store.plan(n_words or 0)
     same = [F.first(c).alias(c) for c in ("tokens", "token_bytes")]
     classes, _ = store.put(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), *same))
 
@@ -489,18 +511,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs, n_pairs = store.put(pairs)
     names = classes.select("cls", F.col("rep").alias("component_id"))
     if n_pairs:
-        links, _ = store.put(_linked(pairs, _texts(store, classes, pairs)))
+        links, _ = store.put(_linked(store, pairs, _texts(store, classes, pairs)))
         groups, _ = store.put(_components(store, links))
         rest, n_rest = store.put(_other_candidates(store, leaf, met, groups, classes).join(pairs, ["a", "b"], "left_anti"))
         if n_rest:
-            more, n_more = store.put(_linked(rest, _texts(store, classes, rest)))
+            more, n_more = store.put(_linked(store, rest, _texts(store, classes, rest)))
             groups = _joined(store, groups, more) if n_more else groups
         named = classes.select("cls", "rep").join(groups, "cls")
         least = named.groupBy("group").agg(F.min("rep").alias("least"))
         names = names.join(named.join(least, "group").select("cls", "least"), "cls", "left")
         names = names.select("cls", F.coalesce("least", "component_id").alias("component_id"))
     names, _ = store.put(names)  # as above: a class may hold a third of all rows
-    out = signed.select("doc_id", *extra, "n_shingles", "cls").join(names, "cls", "left")
+    out = store.few(signed.select("doc_id", *extra, "n_shingles", "cls").join(names, "cls", "left"))
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", *extra, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
