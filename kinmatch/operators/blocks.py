@@ -10,7 +10,7 @@ table has at most about `spread` keys, so it is broadcast.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from kinmatch.operators.cells import choose_pivots, nearest_cell, visited_cells
 from kinmatch.operators.lsh import Lsh
+from kinmatch.operators.near_block import NearBlock, suits
 from kinmatch.operators.scoring import ItemBlock, Scoring, result_schema, score_block
 
 
 _LEAST = 64  # rows that are not cut further for balance alone
 MOST_VISITS = 16  # cells that a query may visit in the mean: so often its row is copied
+_ASKED = 1 << 15  # queries of a block that are looked at together
 _WHOLE = 4096 * 4096  # pairs up to which keys are not looked at for balance
 
 
@@ -132,29 +134,53 @@ def block_join(
 ) -> DataFrame:
     """Score all pairs that meet on `keys`; see `ItemBlock.score` for the result. With `lsh` the keys hold its buckets. Both
     sides of a block arrive in one task, its items first."""
+    return block_scores(q, items, keys, gen, lsh, **sizes)(scoring, True)
+
+
+def block_scores(
+    q: DataFrame, items: DataFrame, keys: list[str], gen: int | None, lsh: Lsh | None = None, **sizes
+) -> Callable[[Scoring, bool], DataFrame]:
+    """`block_join` for a scoring rule, with the totals of the queries or, where these are not wanted, possibly without."""
     q, items, block, partitions = held_blocks(q, items, keys, **sizes)
     schema = result_schema(q.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
     both = items.withColumn("_side", F.lit(0)).unionByName(q.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     both = both.repartitionById(partitions, F.col("_block")) if block == ["_block"] else both.repartition(partitions, *block)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, rows, held = None, [], None
-        for batch in batches:
-            for run in _runs(batch, [*block, "_side"]):
-                key = tuple(run.column(k)[0].as_py() for k in block)
-                if key != here:
-                    here, rows, held = key, [], None
-                if run.column("_side")[0].as_py() == 0:
-                    rows.append(run)
-                    continue
-                if held is None and rows:
-                    once = lsh.judged_here(key[block.index("_table")], scoring.clauses[gen].min_score) if lsh is not None else None
-                    held, rows = ItemBlock(pa.Table.from_batches(rows), scoring, gen, once), []
-                if held is not None:
-                    for found in held.score(pa.Table.from_batches([run])):
-                        yield from found.to_batches()
-
-    return both.sortWithinPartitions(*block, "_side").mapInArrow(score, schema)
+    both = both.sortWithinPartitions(*block, "_side")
+
+    def scores(scoring: Scoring, counted: bool) -> DataFrame:
+        def held_items(key: tuple, rows: list[pa.RecordBatch]) -> ItemBlock:
+            if lsh is None and suits(scoring, gen):
+                return NearBlock(pa.Table.from_batches(rows), scoring, gen, counted)
+            once = lsh.judged_here(key[block.index("_table")], scoring.clauses[gen].min_score) if lsh is not None else None
+            return ItemBlock(pa.Table.from_batches(rows), scoring, gen, once)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, rows, held, asked, waits = None, [], None, [], 0
+            for batch in batches:
+                for run in _runs(batch, [*block, "_side"]):
+                    key = tuple(run.column(k)[0].as_py() for k in block)
+                    if key != here or waits >= _ASKED:
+                        if asked:
+                            for found in held.score(pa.Table.from_batches(asked)):
+                                yield from found.to_batches()
+                        asked, waits = [], 0
+                    if key != here:
+                        here, rows, held = key, [], None
+                    if run.column("_side")[0].as_py() == 0:
+                        rows.append(run)
+                        continue
+                    if held is None and rows:
+                        held, rows = held_items(key, rows), []
+                    if held is not None:
+                        asked.append(run)
+                        waits += run.num_rows
+            if asked:
+                for found in held.score(pa.Table.from_batches(asked)):
+                    yield from found.to_batches()
+
+        return both.mapInArrow(score, schema)
+
+    return scores
 
 
 def scan_join(few: pa.Table, items: DataFrame, scoring: Scoring, query_type: str) -> DataFrame:

@@ -14,6 +14,7 @@ A query's blank values switch its clauses off, also required ones, so queries ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.operators.blocks import block_join, partitions_for, scan_join, useful_cells
+from kinmatch.operators.blocks import block_scores, partitions_for, scan_join, useful_cells
 from kinmatch.operators.lsh import Lsh, add_buckets
 from kinmatch.operators.scoring import Scoring
 from kinmatch.operators.topk import top_rows
@@ -51,7 +52,7 @@ class MatchOptions:
     cell_rows: int = 65536  # wanted items per metric cell; fewer items than twice this use no cells
     lsh: Lsh | None = None  # approximate: pairs of a vector clause meet in hash buckets; found ones are right, some are missed
     broadcast_bytes: int = 8 << 20  # largest value-count table of a field that is broadcast
-    stage_rows: int = 1_000_000  # from this many queries on, prepared queries are written once and reread
+    stage_rows: int = 1_000_000  # from this many queries on, prepared queries are written once and reread; so are items with vectors
 
 
 @dataclass
@@ -62,10 +63,12 @@ class MatchResult:
     merged: bool  # whether a pair can occur twice in `pairs`
     items: int  # number of items searched
     kept: list[DataFrame] = field(default_factory=list)  # small persisted helper tables
+    best: DataFrame | None = None  # `pairs` where no totals are wanted
+    totals: DataFrame | None = None  # `pairs` where no more than the best score and the totals are wanted
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> MatchResult:
         """Keep the scored pairs while both `hits` and `summary` are read."""
-        return replace(self, pairs=self.pairs.persist(level))
+        return replace(self, pairs=self.pairs.persist(level), best=None, totals=None)
 
     def unpersist(self) -> None:
         for df in [self.pairs, *self.kept]:
@@ -73,7 +76,7 @@ class MatchResult:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        rows = self.pairs.where(F.col("item_id").isNotNull()).drop("n")
+        rows = (self.pairs if self.best is None else self.best).where(F.col("item_id").isNotNull()).drop("n")
         if self.merged:
             best = F.max(F.struct("score", F.bit_count("hits"), "hits", "bases")).alias("b")
             rows = rows.groupBy("query_id", "item_id").agg(best).select("query_id", "item_id", "b.score", "b.hits", "b.bases")
@@ -103,7 +106,7 @@ class MatchResult:
     @cached_property
     def summary(self) -> DataFrame:
         """(query_id, total_results, max_score), one row per query, also without results."""
-        rows = self.pairs.select("query_id", "score", "n")
+        rows = (self.pairs if self.totals is None else self.totals).select("query_id", "score", "n")
         none = self.queries.select("query_id", F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("n"))
         return (
             rows.unionByName(none)
@@ -243,6 +246,11 @@ def match(
         path = scratch_folder(q.sparkSession, "queries")
         q.write.parquet(path)
         q = q.sparkSession.read.parquet(path)
+    if total >= opt.stage_rows and any(c.kind == "vector" for c in spec.clauses):
+        # cells and blocks read the items several times, and their vectors may be made on the way
+        path, shape = scratch_folder(q.sparkSession, "items"), side.schema
+        side.write.parquet(path)
+        side = q.sparkSession.read.schema(shape).parquet(path)
     # without rare values the routes do not depend on the counts, so the profile can skip them
     routed = q if rare or staged else _route(plain, spec, 0)
     return _batch(q, routed, side, spec, nq, total, rare, kept, opt)
@@ -260,11 +268,11 @@ def _batch(q, routed, side, spec: SearchSpec, nq: int, total: int, rare: int, ke
         *[f"count_if({_on('gens', gen)} AND {on})" for gen, on, _ in used],
     ).first()
 
-    parts: list[DataFrame] = []
+    passes = []
     for (gen, on, with_key), n in zip(used, profile[2:]):
         if n:
             part = q if n == nq else q.where(f"{_on('gens', gen)} AND {on}")
-            parts.append(_pass(part, side, scoring, gen, key if with_key else None, n, total, opt))
+            passes.append(_pass(part, side, scoring, gen, key if with_key else None, n, total, opt))
     grouped = profile["heavy"] != 0
     if grouped:
         patterns = None
@@ -272,14 +280,21 @@ def _batch(q, routed, side, spec: SearchSpec, nq: int, total: int, rare: int, ke
             masks = routed.select("heavy").where("heavy <> 0").distinct().collect()  # at most `subsets` rows
             patterns = group_patterns(scoring, [m.heavy for m in masks])
         grouped = patterns is None or len(patterns) > 0
+    others = []
     if grouped:
         frequent = frequent_only(side, scoring, rare) if rare else side
-        parts.append(value_group_matches(q, frequent, scoring, patterns, partitions_for(q.sparkSession, nq), total, opt.block_rows))
+        others.append(value_group_matches(q, frequent, scoring, patterns, partitions_for(q.sparkSession, nq), total, opt.block_rows))
     ids = q.select("query_id") if rare else routed.select("query_id")
-    pairs = reduce(DataFrame.unionByName, parts) if parts else count_rows(ids.limit(0), F.lit(0), side)
     if opt.match_all and profile["blank"]:
-        pairs = _with_match_all(pairs, routed, side, scoring, total)
-    return MatchResult(spec, pairs, ids, bool(grouped) and len(parts) > 1, total, kept)
+        others.append(_match_all(routed, side, scoring, total))
+    if not passes and not others:
+        others.append(count_rows(ids.limit(0), F.lit(0), side))
+    merged = bool(grouped) and len(passes) > 0
+    pairs, best, totals = (
+        reduce(DataFrame.unionByName, [*(scores(rule, counted) for scores in passes), *others])
+        for rule, counted in ((scoring, True), (scoring, False), (replace(scoring, keep=1), True))
+    )
+    return MatchResult(spec, pairs, ids, merged, total, kept, best, totals)
 
 
 def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: MatchOptions, counts: DataFrame | None = None) -> MatchResult:
@@ -307,12 +322,12 @@ def _scan(q: DataFrame, items: DataFrame, spec: SearchSpec, item_id: str, opt: M
     narrowed = _prepare(_required_values(items, spec, few), spec, item_id, "item_id", True)
     pairs = scan_join(few, narrowed, scoring, q.schema["query_id"].dataType.simpleString())
     if opt.match_all and 0 in few.column("act").to_pylist():
-        pairs = _with_match_all(pairs, q, side, scoring, total)
+        pairs = pairs.unionByName(_match_all(q, side, scoring, total))
     return MatchResult(spec, pairs, q.select("query_id"), False, total)
 
 
-def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: int, opt: MatchOptions) -> DataFrame:
-    """Pairs whose first generator is clause `gen`, met on the values that have to be equal."""
+def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: int, opt: MatchOptions) -> Callable[[Scoring, bool], DataFrame]:
+    """Pairs whose first generator is clause `gen`, met on the values that have to be equal; see `block_scores`."""
     clause, keys = scoring.clauses[gen], []
     column = f"{'v' if clause.kind == 'vector' else 't'}{scoring.slot(gen)}"
     items = items.where(F.col(column).isNotNull() if clause.kind == "vector" else F.col(column) != "")
@@ -334,7 +349,7 @@ def _pass(q, items, scoring: Scoring, gen: int, key: int | None, nq: int, ni: in
             q, items = placed
             keys.append("_cell")
     spread = 4 * q.sparkSession.sparkContext.defaultParallelism
-    return block_join(q, items, keys, scoring, gen, lsh, nq=nq, ni=ni, held_rows=opt.held_rows, spread=spread)
+    return block_scores(q, items, keys, gen, lsh, nq=nq, ni=ni, held_rows=opt.held_rows, spread=spread)
 
 
 def _required_values(items: DataFrame, spec: SearchSpec, few) -> DataFrame:
@@ -349,7 +364,7 @@ def _required_values(items: DataFrame, spec: SearchSpec, few) -> DataFrame:
     return items
 
 
-def _with_match_all(pairs: DataFrame, q: DataFrame, items: DataFrame, scoring: Scoring, total: int) -> DataFrame:
+def _match_all(q: DataFrame, items: DataFrame, scoring: Scoring, total: int) -> DataFrame:
     """Queries without any active clause get the first items by id, with score 1."""
     keep = scoring.keep + (1 if scoring.exclude_self else 0)
     first = items.select("item_id").orderBy("item_id").limit(keep).toArrow().column(0).to_pylist()
@@ -367,8 +382,8 @@ def _with_match_all(pairs: DataFrame, q: DataFrame, items: DataFrame, scoring: S
     if scoring.exclude_self:
         rows = rows.where(F.col("item_id") != F.col("query_id"))
         own = blank.join(items.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
-        pairs = pairs.unionByName(count_rows(own, F.lit(-1), items))
-    return pairs.unionByName(rows).unionByName(count_rows(blank, F.lit(total), items))
+        rows = rows.unionByName(count_rows(own, F.lit(-1), items))
+    return rows.unionByName(count_rows(blank, F.lit(total), items))
 
 
 def _json_list(values: list) -> str:
