@@ -57,6 +57,7 @@ def test_equal_to_every_pair(monkeypatch, name, alike, tile):
     monkeypatch.setattr(near_block, "FEW", 0)
     monkeypatch.setattr(near_block, "TILE", tile[0])
     monkeypatch.setattr(near_block, "WIDTH", tile[1])
+    monkeypatch.setattr(near_block, "ROWS", tile[0])  # queries in parts
     rng, spec = np.random.default_rng(len(name)), SPECS[name]
     vectors = rng.random((30 if alike else 900, 8)).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
